@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, quality, sharding
+from lectern.llm import bpe, mixing, quality, secrets, sharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op3_sharding": sharding.op3_sharding,
+        "op4_secret_scans": secrets.op4_secret_scans,
+        "op5_token_counts": token_counts.op5_token_counts,
+        "op7_bpe": bpe.op7_bpe,
         "op8_mixing": mixing.op8_mixing,
     }
 
