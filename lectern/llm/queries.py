@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, mixing, quality, secrets, sharding, token_counts
+from lectern.llm import bpe, mixing, quality, secrets, sharding, simhash, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_sharding": sharding.op3_sharding,
         "op4_secret_scans": secrets.op4_secret_scans,
         "op5_token_counts": token_counts.op5_token_counts,
+        "op6_simhash": simhash.op6_simhash,
         "op7_bpe": bpe.op7_bpe,
         "op8_mixing": mixing.op8_mixing,
     }
