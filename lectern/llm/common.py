@@ -67,3 +67,19 @@ def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
     first = spark.createDataFrame(starts or [(0, 0)], "_part long, _start long")
     index = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return dealt.join(F.broadcast(first), "_part").withColumn(name, index + F.col("_start")).drop("_at", "_part", "_start")
+
+
+#: Rows up to which a counted table is broadcast; of narrow rows that is a few MB.
+BROADCAST_ROWS = 100_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast only if its counted rows prove it small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def files(path: str):
+    """(file system, path in it) of a folder that executors share."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import global_rank, source_key, words, written
+from lectern.llm.common import global_rank, small, source_key, words, written
 
 SCALE = 1 << 26
 STEPS = 60
@@ -122,6 +122,14 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share_percent: int = 150, cap: int =
     )
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """docs with each row as often as the mix takes it; rows with a null key are taken once."""
+    sized = docs.filter(F.col(key).isNotNull()).select(key, source, F.size(words(F.col(text))).cast("long").alias("_words"))
+    chosen = written(mix(sized, key=key, source=source, size="_words", **options).groupBy(key).agg(F.max("copies").alias("_copies")))
+    taken = docs.join(small(chosen), key, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)).cast("int"))
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).drop("_copy")
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
