@@ -15,7 +15,7 @@ from lectern.llm.common import written
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that break a quality rule."""
-    return quality.quality_rules(docs).filter("kept").select(*docs.columns)
+    return quality.passing(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
