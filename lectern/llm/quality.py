@@ -79,27 +79,34 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with the columns, each computed once per row.
+
+    A generator of exactly one row: unlike a projection, the planner never copies its expressions into
+    the filters and projections above, where each use would compute them anew.
+    """
+    one = F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return rows.drop(*columns).select("*", one)
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts and ratios that the threshold table may name."""
     body = F.coalesce(F.col(text), F.lit(""))
-    counted = docs.withColumn("_words", words(F.col(text))).withColumn(
-        "_lines", F.filter(F.split(body, "\n", -1), lambda line: F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]")))
-    )
+    lines = F.filter(F.split(body, "\n", -1), lambda line: F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]")))
     size = lambda a: F.size(a).cast("long")
+    counts = {
+        "n_words": size(F.col("_words")),
+        "word_chars": F.length(F.translate(body, " \t\n\x0b\f\r", "")).cast("long"),
+        "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+        "n_lines": size(F.col("_lines")),
+        "n_dup_lines": size(F.col("_lines")) - size(F.array_distinct("_lines")),
+        "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
+        "n_stop_words": size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
+        "n_bullet_lines": size(F.filter("_lines", lambda x: F.regexp_like(x, F.lit(r"^[\x20\x09]*[-*]\x20")))),
+        "n_ellipsis_lines": size(F.filter("_lines", lambda x: x.endswith("...") | x.endswith("…"))),
+    }
     return (
-        counted.withColumns(
-            {
-                "n_words": size(F.col("_words")),
-                "word_chars": F.length(F.translate(body, " \t\n\x0b\f\r", "")).cast("long"),
-                "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
-                "n_lines": size(F.col("_lines")),
-                "n_dup_lines": size(F.col("_lines")) - size(F.array_distinct("_lines")),
-                "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-                "n_stop_words": size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
-                "n_bullet_lines": size(F.filter("_lines", lambda x: F.regexp_like(x, F.lit(r"^[\x20\x09]*[-*]\x20")))),
-                "n_ellipsis_lines": size(F.filter("_lines", lambda x: x.endswith("...") | x.endswith("…"))),
-            }
-        )
+        once(once(docs, {"_words": words(F.col(text)), "_lines": lines}), counts)
         .drop("_words", "_lines")
         .withColumns(
             {
@@ -140,10 +147,7 @@ def quality_rules(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame
 
 def passing(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The rows of docs that pass, with their own columns."""
-    # The planner would copy the verdict's expression into the filter once for every use of a metric; it
-    # leaves a column beside a random number where it is, computed once.
-    judged = quality_rules(docs, rules, text).withColumn("_pass", F.col("kept") & (F.rand() >= 0))
-    return judged.filter("_pass").select(*docs.columns)
+    return quality_rules(docs, rules, text).filter("kept").select(*docs.columns)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
