@@ -1,23 +1,217 @@
-"""The queries of the speech-text library, by name."""
+"""The queries of the speech-text library, by name, with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import words as W
+from lectern.operators import dates, emoji, markdown, numbers, rules, times, units
+from lectern.plans.normalize import Profile, normalize, normalize_distinct
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _spoken(name: str, table: str, key: str, sentence: str, say: Callable[[Column], Column], sql: str) -> None:
+    """A query over every row of a table: say(sentence) by key; sql is the expected text."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _table(spark, sf_dir, table).select(F.expr(key).alias("id"), F.expr(sentence).alias("text"))
+        return rows.select("id", say(F.col("text")).alias("spoken"))
+
+    _QUERIES[name] = query
+    _SQL[name] = f"SELECT {key} AS id, {sql} AS spoken FROM {table}"
+
+
+# Dates: the orders' dates are written in a format, spoken, and compared with words made from their parts.
+_MONTH = f"{_list(W.EN_MONTHS)}[month(o_orderdate)]"
+_DE_MONTH = f"{_list(W.DE_MONTHS)}[month(o_orderdate)]"
+_DAY, _DE_DAY = f"{_list(W.EN_DAYS)}[day(o_orderdate)]", f"{_list(W.DE_DAYS)}[day(o_orderdate)]"
+_LOW, _HIGH = "(year(o_orderdate) % 100 + 1)", "(year(o_orderdate) // 100 + 1)"
+_YEAR = (
+    f"CASE WHEN year(o_orderdate) >= 2000 THEN 'two thousand' || CASE WHEN {_LOW} = 1 THEN '' ELSE ' ' || {_list(W.EN_100)}[{_LOW}] END "
+    f"ELSE {_list(W.EN_100)}[{_HIGH}] || ' ' || {_list(W.EN_100)}[{_LOW}] END"
+)
+_DE_YEAR = (
+    f"CASE WHEN year(o_orderdate) >= 2000 THEN 'zweitausend' || CASE WHEN {_LOW} = 1 THEN '' ELSE {_list(W.DE_100)}[{_LOW}] END "
+    f"ELSE {_list(W.DE_100)}[{_HIGH}] || 'hundert' || {_list(W.DE_100)}[{_LOW}] END"
+)
+
+
+def _dated(name: str, before: str, form: str, locale: str, formats: list[str] | None, sql: str) -> None:
+    _spoken(
+        f"date_{name}", "orders", "o_orderkey", f"concat('{before}', date_format(o_orderdate, '{form}'), ', noted')",
+        lambda t: dates.speak_dates(t, locale, formats), f"'{before}' || {sql} || ', noted'",
+    )
+
+
+_dated("mdy_us", "Due ", "MM/dd/yyyy", "en-US", None, f"{_MONTH} || ' ' || {_DAY} || ' ' || {_YEAR}")
+_dated("dmy_gb", "Due ", "dd/MM/yyyy", "en-GB", None, f"{_DAY} || ' of ' || {_MONTH} || ' ' || {_YEAR}")
+_dated("iso_ca", "Due ", "yyyy-MM-dd", "en-CA", None, f"{_MONTH} || ' ' || {_DAY} || ' ' || {_YEAR}")
+_dated("month_name_en", "Due ", "MMMM d, yyyy", "en-US", ["mdy_month_name"], f"{_MONTH} || ' ' || {_DAY} || ' ' || {_YEAR}")
+for _name, _before, _form, _end in (
+    ("iso_de", "Termin ", "yyyy-MM-dd", "er"), ("dot_de_am", "Termin am ", "dd.MM.yyyy", "en"), ("dot_de_der", "der ", "dd.MM.yyyy", "e"),
+    ("dot_de_ab", "gilt ab ", "dd.MM.yyyy", "em"), ("spaced_de", "Termin ", "d. M. yyyy", "er"),
+):
+    _dated(_name, _before, _form, "de-DE", None, f"{_DE_DAY} || '{_end} ' || {_DE_MONTH} || ' ' || {_DE_YEAR}")
+_dated("no_year_de", "am ", "dd.MM.", "de-DE", None, f"{_DE_DAY} || 'en ' || {_DE_MONTH}")
+_dated("left_alone", "v1", "dd.MM.yyyy", "de-DE", None, "strftime(o_orderdate, '%d.%m.%Y')")
+_spoken("standalone_year_en", "orders", "o_orderkey", "concat('In ', year(o_orderdate), ' and PIN ', year(o_orderdate))", lambda t: dates.speak_years(t, "en-US"), f"'In ' || {_YEAR} || ' and PIN ' || year(o_orderdate)")
+_spoken("standalone_year_de", "orders", "o_orderkey", "concat('Seit ', year(o_orderdate), '.')", lambda t: dates.speak_years(t, "de-DE"), f"'Seit ' || {_DE_YEAR} || '.'")
+
+# Times from the events.
+_H, _M = "hour(ts)", "minute(ts)"
+_EN_CLOCK = f"{_list(W.EN_100)}[{_H} + 1] || CASE WHEN {_M} = 0 THEN '' WHEN {_M} < 10 THEN ' oh ' || {_list(W.EN_100)}[{_M} + 1] ELSE ' ' || {_list(W.EN_100)}[{_M} + 1] END"
+_DE_CLOCK = f"CASE WHEN {_H} = 1 THEN 'ein' ELSE {_list(W.DE_100)}[{_H} + 1] END || ' Uhr' || CASE WHEN {_M} = 0 THEN '' ELSE ' ' || {_list(W.DE_100)}[{_M} + 1] END"
+_spoken("clock_en", "events", "event_id", "concat('At ', date_format(ts, 'HH:mm'), '.')", lambda t: times.speak_times(t, "en-US"), f"'At ' || {_EN_CLOCK} || '.'")
+_spoken("clock_de", "events", "event_id", "concat('Um ', date_format(ts, 'HH:mm'), ' Uhr.')", lambda t: times.speak_times(t, "de"), f"'Um ' || {_DE_CLOCK} || '.'")
+_spoken("clock_range_de", "events", "event_id", "concat(date_format(ts, 'HH:mm'), '-', date_format(ts, 'HH:mm'))", lambda t: times.speak_times(t, "de"), f"{_DE_CLOCK} || ' bis ' || {_DE_CLOCK}")
+_spoken("clock_range_en", "events", "event_id", "concat(date_format(ts, 'HH:mm'), ' to ', date_format(ts, 'HH:mm'))", lambda t: times.speak_times(t, "en-GB"), f"{_EN_CLOCK} || ' to ' || {_EN_CLOCK}")
+
+
+def _many(value: str, one: str, name: str, table: list[str], plural: str) -> str:
+    return f"CASE WHEN {value} = 0 THEN NULL WHEN {value} = 1 THEN '{one} {name}' ELSE {_list(table)}[{value} + 1] || ' {name}{plural}' END"
+
+
+_spoken("duration_hms_en", "events", "event_id", "date_format(ts, 'HH:mm:ss')", lambda t: times.speak_times(t, "en-US", durations=True),
+        f"coalesce(nullif(concat_ws(' ', {_many(_H, 'one', 'hour', W.EN_100, 's')}, {_many(_M, 'one', 'minute', W.EN_100, 's')}, {_many('second(ts)', 'one', 'second', W.EN_100, 's')}), ''), 'zero seconds')")
+_spoken("duration_hm_de", "events", "event_id", "date_format(ts, 'HH:mm''h''')", lambda t: times.speak_times(t, "de", durations=True),
+        f"coalesce(nullif(concat_ws(' ', {_many(_H, 'eine', 'Stunde', W.DE_100, 'n')}, {_many(_M, 'eine', 'Minute', W.DE_100, 'n')}), ''), 'null Sekunden')")
+
+# Numbers and units from parts.
+_P = "p_size"
+_spoken("number_int_en", "part", "p_partkey", "concat('Size ', p_size, ' and -', p_size)", lambda t: numbers.speak_numbers(t, "en"), f"'Size ' || {_list(W.EN_100)}[{_P} + 1] || ' and minus ' || {_list(W.EN_100)}[{_P} + 1]")
+_spoken("number_int_de", "part", "p_partkey", "concat('Wert ', p_size, '.')", lambda t: numbers.speak_numbers(t, "de"), f"'Wert ' || {_list(W.DE_100)}[{_P} + 1] || '.'")
+_spoken("number_decimal_de", "part", "p_partkey", "concat(p_size, ',', lpad(p_size, 2, '0'))", lambda t: numbers.speak_numbers(t, "de"),
+        f"{_list(W.DE_100)}[{_P} + 1] || ' Komma ' || {_list(W.DE_SMALL[:10])}[{_P} // 10 + 1] || CASE WHEN {_P} % 10 = 0 THEN '' ELSE ' ' || {_list(W.DE_SMALL[:10])}[{_P} % 10 + 1] END")
+_spoken("number_leading_zero", "part", "p_partkey", "concat('0', lpad(p_size, 2, '0'))", lambda t: numbers.speak_numbers(t, "en"), f"'zero ' || {_list(W.EN_SMALL[:10])}[{_P} // 10 + 1] || ' ' || {_list(W.EN_SMALL[:10])}[{_P} % 10 + 1]")
+_spoken("number_grouped_en", "part", "p_partkey", "concat(p_size, ',', lpad(p_size, 3, '0'))", lambda t: numbers.speak_numbers(t, "en", True), f"{_list(W.EN_100)}[{_P} + 1] || ' thousand and ' || {_list(W.EN_100)}[{_P} + 1]")
+_spoken("number_left_alone", "part", "p_partkey", "concat('sensor_', p_size, ' 10.0.0.', p_size, ' v', p_size, '.1')", lambda t: numbers.speak_numbers(t, "de"), "'sensor_' || p_size || ' 10.0.0.' || p_size || ' v' || p_size || '.1'")
+_spoken("unit_en", "part", "p_partkey", "concat(p_size, 'kWh, ', p_size, ' %')", lambda t: units.speak_units(t, "en-GB"), "p_size || CASE WHEN p_size = 1 THEN ' kilowatt hour, ' ELSE ' kilowatt hours, ' END || p_size || ' percent'")
+_spoken("unit_de", "part", "p_partkey", "concat(p_size, '°C und ', p_size, ' Wh')", lambda t: units.speak_units(t, "de"), "p_size || ' Grad und ' || p_size || CASE WHEN p_size = 1 THEN ' Wattstunde' ELSE ' Wattstunden' END")
+_spoken("unit_us_temperature", "part", "p_partkey", "concat(p_size, '°F ', p_size, '°C')", lambda t: units.speak_units(t, "en-US"), "p_size || CASE WHEN p_size = 1 THEN ' degree ' ELSE ' degrees ' END || p_size || CASE WHEN p_size = 1 THEN ' degree Celsius' ELSE ' degrees Celsius' END")
+_spoken("unit_grouped", "part", "p_partkey", "concat(p_size, '.000W')", lambda t: units.speak_units(t, "de"), "p_size || '.000W'")
+
+# Rules, tags and lines over whole texts.
+_spoken("rules_literal", "documents", "doc_id", "text", lambda t: rules.apply_rule(t, rules.Rule("the", "THE")), r"replace(text, 'the', 'THE')")
+_spoken("rules_ci", "part", "p_partkey", "p_name", lambda t: rules.apply_rule(t, rules.Rule("a", "$1", ignore_case=True)), r"regexp_replace(p_name, 'a', '$1', 'gi')")
+_spoken("rules_regex", "part", "p_partkey", "p_name", lambda t: rules.apply_rule(t, rules.Rule(r"(\w+) (\w+)", r"\2 \1", "regex")), r"regexp_replace(p_name, '(\w+) (\w+)', '\2 \1', 'g')")
+_spoken("tags_opaque", "part", "p_partkey", "concat('[', p_size, 'W] ', p_size, 'W')", lambda t: units.speak_units(t, "de"), "'[' || p_size || 'W] ' || p_size || ' Watt'")
+_spoken("join_lines", "conversations", "concat(conv_id, '-', turn)", "text", rules.join_lines, r"regexp_replace(text, '[ \t]*[\r\n]+([ \t]*[\r\n]+)*[ \t]*', ' ', 'g')")
+
+# Markdown built from columns.
+_spoken("md_headings", "part", "p_partkey", r"concat('## ', p_size, ' ##\nbody')", markdown.headings, "p_size || chr(10) || 'body'")
+_spoken("md_list_markers", "part", "p_partkey", r"concat('- [x] ', p_size, '\n', p_size, '. b')", markdown.list_markers, "p_size || chr(10) || 'b'")
+_spoken("md_tables", "part", "p_partkey", r"concat('| Size | Key |\n| --- | --- |\n| ', p_size, ' | ', p_partkey, ' |')", markdown.tables, "'Size. Key.' || chr(10) || p_size || '. ' || p_partkey || '.'")
+_spoken("md_links", "part", "p_partkey", "concat('[', p_size, '](https://x.y/', p_size, ')')", markdown.links, "p_size::VARCHAR")
+_spoken("md_images", "part", "p_partkey", "concat('![', p_size, '](https://x.y/', p_size, ')')", markdown.images, "p_size::VARCHAR")
+_spoken("md_emphasis", "part", "p_partkey", "concat('**', p_size, '** _b_')", markdown.emphasis, "p_size || ' b'")
+_spoken("md_code", "part", "p_partkey", "concat('`', p_size, '` ~~x~~')", lambda t: markdown.strikethrough(markdown.inline_code(t)), "p_size || ' x'")
+_spoken("md_dividers", "part", "p_partkey", r"concat(p_size, '\n***\n- - -')", markdown.dividers, "p_size::VARCHAR")
+_spoken("md_blockquotes", "part", "p_partkey", r"concat('> ', p_size)", markdown.blockquotes, "p_size::VARCHAR")
+_spoken("md_code_blocks", "part", "p_partkey", r"concat(p_size, '\n```\ncode\n```\nend')", markdown.code_blocks, "p_size || chr(10) || 'end'")
+_spoken("md_plain_urls", "part", "p_partkey", "concat('see https://x.y/', p_size, ' now')", markdown.plain_urls, "'see  now'")
+
+# Emoji.
+_spoken("emoji_remove", "part", "p_partkey", "concat('A ', p_size, ' 🔥 B')", emoji.remove_emoji, "'A ' || p_size || ' B'")
+_spoken("emoji_spell", "part", "p_partkey", "concat('Wert ', p_size, ' 🔥👍')", lambda t: emoji.spell_emoji(t, "de"), "'Wert ' || p_size || ', feuer, thumbs up'")
+
+# The whole chain.
+_GERMAN = Profile("de-DE", dates=True, times=True, units=True, numbers=True, lines=True)
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.expr(r"concat('Termin ', date_format(o_orderdate, 'dd.MM.yyyy'), '\n um 13:40 Uhr mit 30W.')").alias("text")
+    )
+
+
+_FULL = f"SELECT o_orderkey AS id, 'Termin ' || {_DE_DAY} || 'er ' || {_DE_MONTH} || ' ' || {_DE_YEAR} || ' um dreizehn Uhr vierzig mit dreißig Watt.' AS text FROM orders"
+_QUERIES["normalize_full"] = lambda spark, sf_dir: normalize(_sentences(spark, sf_dir), _GERMAN)
+_QUERIES["normalize_distinct"] = lambda spark, sf_dir: normalize_distinct(_sentences(spark, sf_dir), _GERMAN)
+_SQL["normalize_full"] = _SQL["normalize_distinct"] = _FULL
+
+
+# Audits.
+_QUERIES["rule_hits"] = lambda spark, sf_dir: rules.rule_hits(_table(spark, sf_dir, "part").select(F.col("p_name").alias("text")), [rules.Rule("a", "e"), rules.Rule("e", "i")])
+_SQL["rule_hits"] = "SELECT 1 AS rule_no, sum(length(p_name) - length(replace(p_name, 'a', '')))::BIGINT AS hits FROM part UNION ALL SELECT 2, sum(length(p_name) - length(replace(replace(p_name, 'a', 'e'), 'e', '')))::BIGINT FROM part"
+_QUERIES["extract_tags"] = lambda spark, sf_dir: rules.extract_tags(_table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "page_id").groupBy("page_id").agg(F.count("*").alias("n_tags"))
+_SQL["extract_tags"] = r"SELECT page_id, len(regexp_extract_all(html, '<[^>]*>|\[[^\]]*\]'))::BIGINT AS n_tags FROM pages WHERE len(regexp_extract_all(html, '<[^>]*>|\[[^\]]*\]')) > 0"
+
+
+def token_counts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric tokens by language and source, with subtotals."""
+    docs = _table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\d"))
+    tokens = docs.select("lang", "source", F.explode(F.regexp_extract_all("text", F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0))).alias("token"))
+    return tokens.rollup("lang", "source").agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_distinct"))
+
+
+_QUERIES["token_counts_rollup"] = token_counts_rollup
+_SQL["token_counts_rollup"] = r"SELECT lang, source, count(*) AS n, count(DISTINCT token) AS n_distinct FROM (SELECT lang, source, unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?')) AS token FROM documents) GROUP BY ROLLUP (lang, source)"
+
+
+def change_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of texts that joining lines alters, by role."""
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.groupBy("role").agg(F.count("*").alias("n"), F.sum((rules.join_lines(F.col("text")) != F.col("text")).cast("long")).alias("changed"))
+
+
+_QUERIES["change_rate"] = change_rate
+_SQL["change_rate"] = r"SELECT role, count(*) AS n, sum(regexp_matches(text, '[\r\n]')::BIGINT)::BIGINT AS changed FROM conversations GROUP BY role"
+
+
+def unsupported_lang_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in a language without words of our own."""
+    known = spark.createDataFrame([(x,) for x in W.CARDINAL], "lang string")
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang").join(F.broadcast(known), "lang", "left_anti")
+
+
+_QUERIES["unsupported_lang_anti"] = unsupported_lang_anti
+_SQL["unsupported_lang_anti"] = "SELECT doc_id, lang FROM documents WHERE lang NOT IN ('en', 'de') OR lang IS NULL"
+
+
+def reassemble_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation joined in order."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    return rows.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"))
+
+
+_QUERIES["reassemble_chunks"] = reassemble_chunks
+_SQL["reassemble_chunks"] = "SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn, text), '') AS text FROM conversations GROUP BY conv_id"
+
+
+def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).cast("long").alias("upto"))
+
+
+_QUERIES["chunk_offsets"] = chunk_offsets
+_SQL["chunk_offsets"] = "SELECT conv_id, turn, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM conversations"
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the date query is in place."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderdate").agg(F.count("*").alias("n"))
+    """Orders by spoken due date."""
+    spoken = _QUERIES["date_mdy_us"](spark, sf_dir)
+    return spoken.groupBy("spoken").agg(F.count("*").alias("n_orders"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
