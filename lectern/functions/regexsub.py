@@ -29,6 +29,32 @@ def is_tag(match: Column) -> Column:
     return match.startswith("<") | match.startswith("[")
 
 
+def sides(m: Column, g: Column, i: Column) -> tuple[Column, Column]:
+    """The original text left and right of match i, given all matches and the gaps around them."""
+
+    def beyond(k: Column) -> Column:
+        return F.when(F.coalesce(is_tag(F.get(m, k)), F.lit(True)), F.lit("")).otherwise(F.get(m, k))
+
+    return F.concat(beyond(i - 1), F.get(g, i)), F.concat(F.get(g, i + 1), beyond(i + 1))
+
+
+def regex_find(text: Column, pattern: str, gate: str | None = None) -> Column:
+    """The matches that regex_sub would render, as array<struct<token, left, right>>; tags are left out."""
+    whole = f"(?U)(?:{TAG}|{pattern})"
+    kind = "array<struct<token:string,left:string,right:string>>"
+
+    def listed(m: Column, g: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            left, right = sides(m, g, i)
+            return F.struct(x.alias("token"), left.alias("left"), right.alias("right"))
+
+        return F.filter(F.transform(m, one), lambda x: ~is_tag(x["token"])).cast(kind)
+
+    found = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
+    done = let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, whole, -1), lambda g: listed(m, g))))
+    return F.coalesce(F.when(like(text, gate), done) if gate else done, F.array().cast(kind))
+
+
 def regex_sub(text: Column, pattern: str, render: Callable[[Column, Column, Column], Column], gate: str | None = None, tags: bool = True) -> Column:
     """text with every match replaced by render(match, left, right).
 
@@ -38,10 +64,8 @@ def regex_sub(text: Column, pattern: str, render: Callable[[Column, Column, Colu
     whole = f"(?U)(?:{TAG}|{pattern})" if tags else f"(?U)(?:{pattern})"
 
     def rebuilt(m: Column, g: Column) -> Column:
-        beyond = lambda i: F.when(F.coalesce(is_tag(F.get(m, i)), F.lit(True)), F.lit("")).otherwise(F.get(m, i))
-
         def one(x: Column, i: Column) -> Column:
-            spoken = render(x, F.concat(beyond(i - 1), F.get(g, i)), F.concat(F.get(g, i + 1), beyond(i + 1)))
+            spoken = render(x, *sides(m, g, i))
             return F.concat(F.get(g, i), F.when(is_tag(x), x).otherwise(F.coalesce(spoken, x)))
 
         return F.concat(F.array_join(F.transform(m, one), ""), F.element_at(g, -1))

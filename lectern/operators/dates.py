@@ -35,13 +35,20 @@ ENDINGS = {
 }
 
 
+#: The formats tried for a locale unless others are given, in order.
+DEFAULT_FORMATS = {
+    "de": "dmy_dot dmy_dot_spaced dmy_dot_no_year dmy_month_name ymd_dash".split(),
+    "en-GB": "dmy_slash dmy_slash_no_year dmy_month_name ymd_dash".split(),
+    "en-CA": "ymd_dash mdy_month_name".split(),
+    "en": "mdy_slash mdy_slash_no_year mdy_month_name ymd_dash".split(),
+}
+
+
 def default_formats(locale: str) -> list[str]:
     lang, _, region = normalize_locale(locale).partition("-")
-    if lang == "de":
-        return ["ymd_dash", "dmy_dot", "dmy_dot_spaced", "dmy_dot_no_year", "dmy_dot_spaced_no_year"]
-    if lang == "en":
-        return ["dmy_slash"] if region in DMY_REGIONS else ["ymd_dash", "mdy_month_name"] if region == "CA" else ["mdy_slash"]
-    return ["ymd_dash"]
+    if lang == "en" and region in DMY_REGIONS:
+        region = "GB"
+    return DEFAULT_FORMATS.get(f"{lang}-{region}", DEFAULT_FORMATS.get(lang, ["ymd_dash"]))
 
 
 def normalize_locale(locale: str) -> str:
@@ -78,32 +85,46 @@ def month_number(name: Column, lang: str) -> Column:
     return out
 
 
+def date_part(match: Column, name: str, kind: str, lang: str) -> Column:
+    """Day (d), month (m) or year (y) of a match of a format; null where the format has none."""
+    pattern, parts = FORMATS[name]
+    kind = "n" if kind == "m" and "n" in parts else kind
+    k = parts.find(kind)
+    if k < 0:
+        return F.lit(None).cast("int")
+    got = F.regexp_extract(match, f"(?U){pattern}", k + 1)
+    return month_number(got, lang) if kind == "n" else F.try_to_number(F.nullif(got, F.lit("")), F.lit("9999")).cast("int")
+
+
+def search_pattern(name: str) -> str:
+    """The format's pattern without groups, to be part of a larger one."""
+    pattern = FORMATS[name][0]
+    search = re.sub(r"\((?!\?)", "(?:", pattern.replace("(?i)", ""))
+    return f"(?i:{search})" if "(?i)" in pattern else search
+
+
+def accepted(match: Column, left: Column, right: Column, name: str, lang: str) -> Column:
+    """Whether a match of a format is a date that stands free."""
+    day, month, year = (date_part(match, name, k, lang) for k in "dmy")
+    ok = date_boundary(left, right) & month.isNotNull() & valid_date(day, month, year)
+    if FORMATS[name][1] == "dm" and "dot" in name:
+        near = r"(?:0?[1-9]|[12]\d|3[01])\.\s*(?:0?[1-9]|1[0-2])\."
+        ok = ok & ~like(left, rf"(?U){near}\s+\z") & ~like(right, rf"(?U)\A\s+{near}")
+    return F.coalesce(ok, F.lit(False))
+
+
 def speak_format(text: Column, name: str, locale: str) -> Column:
     """One pass for one input format."""
-    pattern, parts = FORMATS[name]
     lang = normalize_locale(locale).split("-")[0]
 
-    def part(x: Column, kind: str) -> Column:
-        k = parts.find(kind)
-        if k < 0:
-            return F.lit(None).cast("int")
-        got = F.regexp_extract(x, f"(?U){pattern}", k + 1)
-        return month_number(got, lang) if kind == "n" else F.try_to_number(F.nullif(got, F.lit("")), F.lit("9999")).cast("int")
-
     def render(x: Column, left: Column, right: Column) -> Column:
-        day, year = part(x, "d"), part(x, "y")
-        month = part(x, "n") if "n" in parts else part(x, "m")
-        ok = date_boundary(left, right) & month.isNotNull() & valid_date(day, month, year)
+        day, month, year = (date_part(x, name, k, lang) for k in "dmy")
         said = spoken_date(day, month, year, locale, left)
-        if parts == "dm" and "dot" in name:
-            near = r"(?:0?[1-9]|[12]\d|3[01])\.\s*(?:0?[1-9]|1[0-2])\."
-            ok = ok & ~like(left, rf"(?U){near}\s+\z") & ~like(right, rf"(?U)\A\s+{near}")
+        if FORMATS[name][1] == "dm" and "dot" in name:
             said = F.concat(said, F.when(like(right, r"(?U)\A[ \t]*(?:\z|[\r\n]|\p{Lu})"), F.lit(".")).otherwise(F.lit("")))
-        return F.when(ok, said)
+        return F.when(accepted(x, left, right, name, lang), said)
 
-    bare = pattern.replace("(?i)", "")
-    search = re.sub(r"\((?!\?)", "(?:", bare)
-    return regex_sub(text, f"(?i:{search})" if "(?i)" in pattern else search, render, gate=r"(?U)\d")
+    return regex_sub(text, search_pattern(name), render, gate=r"(?U)\d")
 
 
 SKIP_WORDS = "code error fehler fehlercode firmware fw id ids model modell pin port v version".split()

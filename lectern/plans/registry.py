@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
-from lectern.operators import dates, emoji, markdown, numbers, rules, times, units
+from lectern.operators import dates, emoji, extract, markdown, numbers, rules, times, units
 from lectern.plans.normalize import Profile, normalize, normalize_distinct
+from lectern.sources.messages import read_chunks, work_folder, write_segments
+from lectern.streaming.cutter import cut_segments, cut_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -203,6 +205,54 @@ _QUERIES["chunk_offsets"] = chunk_offsets
 _SQL["chunk_offsets"] = "SELECT conv_id, turn, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM conversations"
 
 
+# Segments: the turns of a conversation are the chunks of a stream. Cuts have no SQL form; what the segments join to has.
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null")
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    seq = turns.select(F.col("conv_id").alias("stream_id"), (F.row_number().over(w) - 1).cast("long").alias("seq"), F.col("text").alias("chunk"), F.lead("turn").over(w).isNull().alias("is_last"))
+    # A day after the epoch: a watermark starts at the epoch, and rows at or before it count as late.
+    return seq.withColumn("ts", F.timestamp_seconds(F.col("seq") + 86400))
+
+
+def _rejoined(segments: DataFrame) -> DataFrame:
+    parts = F.sort_array(F.collect_list(F.struct("seg_no", "segment")))
+    return segments.groupBy("stream_id").agg(F.array_join(F.transform(parts, lambda x: x["segment"]), "").alias("text"))
+
+
+def segments_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments cut by a checkpointed stream that runs until its input is read."""
+    folder = work_folder(spark)
+    _chunks(spark, sf_dir).write.parquet(f"{folder}/chunks")
+    run = write_segments(cut_stream(read_chunks(spark, f"{folder}/chunks")), f"{folder}/segments", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return _rejoined(spark.read.schema("stream_id long, seg_no long, segment string, late boolean").parquet(f"{folder}/segments").filter("not late"))
+
+
+_QUERIES["segments_cut"] = lambda spark, sf_dir: cut_segments(_chunks(spark, sf_dir))
+_QUERIES["segments_rejoined"] = lambda spark, sf_dir: _rejoined(cut_segments(_chunks(spark, sf_dir)))
+_QUERIES["segments_streamed"] = segments_streamed
+_SQL["segments_rejoined"] = _SQL["segments_streamed"] = "SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn, text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id HAVING string_agg(text, '') <> ''"
+
+
+# Token tables; sentences are written from columns, and the SQL takes the same columns.
+def _written(spark: SparkSession, sf_dir: str, table: str, key: str, sentence: str) -> DataFrame:
+    return _table(spark, sf_dir, table).select(F.expr(key).alias("id"), F.expr(sentence).alias("text"))
+
+
+_QUERIES["extract_numbers"] = lambda spark, sf_dir: extract.extract_numbers(_written(spark, sf_dir, "part", "p_partkey", "concat('a ', p_size, ' b 0', p_size, ' v', p_size, ' ', p_size, ',5')"), "id", "de").withColumn("value", F.col("value").cast("double"))
+_SQL["extract_numbers"] = "SELECT id, pos::INTEGER AS pos, token, kind, reason, value FROM (" + " UNION ALL ".join(f"SELECT p_partkey AS id, {k} AS pos, {t} AS token, '{kind}' AS kind, {why}::VARCHAR AS reason, {v}::DOUBLE AS value FROM part" for k, t, kind, why, v in (
+    (0, "p_size::VARCHAR", "integer", "NULL", "p_size"), (1, "'0' || p_size", "digits", "NULL", "p_size"), (2, "p_size::VARCHAR", "rejected", "'boundary'", "NULL"), (3, "p_size || ',5'", "decimal", "NULL", "p_size + 0.5"))) + ")"
+_QUERIES["extract_measurements"] = lambda spark, sf_dir: extract.extract_measurements(_written(spark, sf_dir, "part", "p_partkey", "concat(p_size, 'kWh und ', p_size, ' °C')"), "id", "de").groupBy("unit").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("total"))
+_SQL["extract_measurements"] = "SELECT unit, count(*) AS n, sum(p_size)::DOUBLE AS total FROM part, (VALUES ('kilowatt_hour'), ('celsius')) AS u(unit) GROUP BY unit"
+_QUERIES["extract_dates"] = lambda spark, sf_dir: extract.extract_dates(_written(spark, sf_dir, "orders", "o_orderkey", "concat('am ', date_format(o_orderdate, 'dd.MM.yyyy'), ' und ', date_format(o_orderdate, 'yyyy-MM-dd'))"), "id", "de-DE")
+_SQL["extract_dates"] = "SELECT o_orderkey AS id, f AS format, 0::INTEGER AS pos, CASE f WHEN 'dmy_dot' THEN strftime(o_orderdate, '%d.%m.%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS token, day(o_orderdate)::INTEGER AS day, month(o_orderdate)::INTEGER AS month, year(o_orderdate)::INTEGER AS year FROM orders, (VALUES ('dmy_dot'), ('ymd_dash')) AS v(f)"
+_QUERIES["extract_times"] = lambda spark, sf_dir: extract.extract_times(_written(spark, sf_dir, "events", "event_id", "concat(date_format(ts, 'HH:mm'), ' und ', date_format(ts, 'HH:mm:ss'), ' 10.', date_format(ts, 'HH:mm'))"), "id", "de")
+_SQL["extract_times"] = "SELECT event_id AS id, p::INTEGER AS pos, CASE p WHEN 1 THEN strftime(ts, '%H:%M:%S') ELSE strftime(ts, '%H:%M') END AS token, kind, ok AS accepted FROM events, (VALUES (0, 'clock', true), (1, 'duration', true), (2, 'clock', false)) AS v(p, kind, ok)"
+_QUERIES["tokens_left_alone"] = lambda spark, sf_dir: extract.left_alone(extract.extract_numbers(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "de"), 20)
+_QUERIES["neighbour_tokens"] = lambda spark, sf_dir: extract.neighbours(extract.extract_measurements(_written(spark, sf_dir, "part", "p_partkey", "concat(p_size, 'W und ', p_size, ' V')"), "id", "de"), "id").select("id", "pos", "previous", "next")
+_SQL["neighbour_tokens"] = "SELECT p_partkey AS id, k::INTEGER AS pos, CASE k WHEN 1 THEN p_size || 'W' END AS previous, CASE k WHEN 0 THEN p_size || ' V' END AS next FROM part, (VALUES (0), (1)) AS v(k)"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by spoken due date."""
     spoken = _QUERIES["date_mdy_us"](spark, sf_dir)
