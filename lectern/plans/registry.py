@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import words as W
 from lectern.operators import dates, emoji, extract, markdown, numbers, rules, times, units
 from lectern.plans.normalize import Profile, normalize, normalize_distinct
+from lectern.plans.profiles import canonical_profiles, load_profiles, normalize_by_profile, preview, profile_rows, profiles_by_name, validate_profiles
 from lectern.sources.messages import read_chunks, work_folder, write_segments
 from lectern.streaming.cutter import cut_segments, cut_stream
 
@@ -253,6 +254,19 @@ _QUERIES["neighbour_tokens"] = lambda spark, sf_dir: extract.neighbours(extract.
 _SQL["neighbour_tokens"] = "SELECT p_partkey AS id, k::INTEGER AS pos, CASE k WHEN 1 THEN p_size || 'W' END AS previous, CASE k WHEN 0 THEN p_size || ' V' END AS next FROM part, (VALUES (0), (1)) AS v(k)"
 
 
+# Messages by the profile of their language; configuration rows are checked first.
+def messages_by_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(lang, {"language": {"output_language": lang}, "rules": [{"find": a, "replace": a.upper()}]}, {}) for lang, a in (("en", "the"), ("de", "und"))]
+    known = profiles_by_name(validate_profiles(canonical_profiles(load_profiles(profile_rows(spark, rows)))))
+    return normalize_by_profile(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), known)
+
+
+_QUERIES["messages_by_profile"] = messages_by_profile
+_SQL["messages_by_profile"] = "SELECT doc_id, lang, CASE lang WHEN 'en' THEN replace(text, 'the', 'THE') WHEN 'de' THEN replace(text, 'und', 'UND') ELSE text END AS text FROM documents"
+_QUERIES["preview"] = lambda spark, sf_dir: preview(_table(spark, sf_dir, "documents"), Profile("en-US", lines=True), 20, "doc_id")
+_SQL["preview"] = r"SELECT doc_id, text AS before, regexp_replace(text, '[ \t]*[\r\n]+([ \t]*[\r\n]+)*[ \t]*', ' ', 'g') AS after FROM documents WHERE length(text) <= 2000 ORDER BY doc_id LIMIT 20"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by spoken due date."""
     spoken = _QUERIES["date_mdy_us"](spark, sf_dir)
