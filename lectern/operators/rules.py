@@ -27,7 +27,7 @@ def load_rules(rows: list[dict]) -> list[Rule]:
     for k, row in enumerate(rows, 1):
         if not isinstance(row, dict):
             raise ValueError(f"rule {k}: must be a mapping")
-        rule = Rule(str(row.get("find", "")), str(row.get("replace", "")), row.get("mode", "literal"), bool(row.get("ignore_case", not row.get("case_sensitive", False))), bool(row.get("enabled", not row.get("disabled", False))), str(row.get("name", "")))
+        rule = Rule(str(row.get("find", "")), str(row.get("replace", "")), row.get("mode", "literal"), not row.get("case_sensitive", not row.get("ignore_case", True)), not row.get("disabled", not row.get("enabled", True)), str(row.get("name", "")))
         if rule.mode not in ("literal", "regex") or not rule.find:
             raise ValueError(f"rule {k}: needs a known mode and something to find")
         if rule.mode == "regex":

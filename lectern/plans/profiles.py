@@ -66,7 +66,7 @@ def canonical_profiles(profiles: DataFrame) -> DataFrame:
     def rule(r):
         return F.struct(
             F.coalesce(r["name"], F.lit("")).alias("name"), F.coalesce(r["mode"], F.lit("literal")).alias("mode"), F.coalesce(r["find"], F.lit("")).alias("find"), F.coalesce(r["replace"], F.lit("")).alias("replace"),
-            F.coalesce(~r["ignore_case"], r["case_sensitive"], F.lit(False)).alias("case_sensitive"), F.coalesce(~r["enabled"], r["disabled"], F.lit(False)).alias("disabled"),
+            F.coalesce(r["case_sensitive"], ~r["ignore_case"], F.lit(False)).alias("case_sensitive"), F.coalesce(r["disabled"], ~r["enabled"], F.lit(False)).alias("disabled"),
         )
 
     return out.withColumn("rules", F.transform(F.coalesce("rules", F.array().cast(FIELDS["rules"])), rule))

@@ -256,7 +256,7 @@ _SQL["neighbour_tokens"] = "SELECT p_partkey AS id, k::INTEGER AS pos, CASE k WH
 
 # Messages by the profile of their language; configuration rows are checked first.
 def messages_by_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(lang, {"language": {"output_language": lang}, "rules": [{"find": a, "replace": a.upper()}]}, {}) for lang, a in (("en", "the"), ("de", "und"))]
+    rows = [(lang, {"language": {"output_language": lang}, "rules": [{"find": a, "replace": a.upper(), "case_sensitive": True}]}, {}) for lang, a in (("en", "the"), ("de", "und"))]
     known = profiles_by_name(validate_profiles(canonical_profiles(load_profiles(profile_rows(spark, rows)))))
     return normalize_by_profile(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), known)
 
