@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,41 @@ def java_pattern(rule: Rule) -> str:
     return ("(?iuU)" if rule.ignore_case else "(?U)") + find
 
 
+def python_only(rule: Rule) -> bool:
+    """Whether a rule says what Java's expressions cannot say, or say otherwise.
+
+    Those are conditionals, back references and groups named with underscores, ASCII and locale flags,
+    brackets or && within a class, ten groups or more, and other escapes than groups in the replacement.
+    """
+    if rule.mode == "literal":
+        return False
+    find = re.sub(r"\\[^AZz]", "e", rule.find)
+    inner = [c[1:-1].removeprefix("^") for c in re.findall(r"\[\^?\]?[^\]]*\]", find)]
+    return bool(
+        re.search(r"\(\?\(|\(\?P=|\(\?P<[^>]*_|\(\?[a-z]*[auL]|\\Z", find)
+        or any("[" in c or "&&" in c or c.startswith("]") for c in inner)
+        or re.compile(rule.find).groups > 9
+        or re.search(r"\\(?!\d|g<)", rule.replace)
+    )
+
+
+def by_python(text: Column, rule: Rule, count: bool = False) -> Column:
+    """The rule applied by Python to every stretch between control tags, or its matches counted."""
+    flags = re.IGNORECASE if rule.ignore_case else 0
+
+    def parts(t: str) -> list[str]:
+        return re.split(f"({TAG})", t)  # tags at odd places
+
+    @F.pandas_udf("long" if count else "string")
+    def changed(texts: pd.Series) -> pd.Series:
+        pattern = re.compile(rule.find, flags)
+        if count:
+            return texts.map(lambda t: 0 if t is None else sum(1 for x in parts(t)[::2] for _ in pattern.finditer(x)))
+        return texts.map(lambda t: None if t is None else "".join(x if k % 2 else pattern.sub(rule.replace, x) for k, x in enumerate(parts(t))))
+
+    return changed(text)
+
+
 def java_replacement(rule: Rule) -> str:
     if rule.mode == "literal":
         return rule.replace.replace("\\", r"\\").replace("$", r"\$")
@@ -63,11 +99,21 @@ def by_segment(text: Column, change) -> Column:
 
 
 def apply_rule(text: Column, rule: Rule) -> Column:
+    if python_only(rule):
+        return by_python(text, rule)
     if rule.mode == "literal" and not rule.ignore_case:
         return by_segment(text, lambda t: F.replace(t, F.lit(rule.find), F.lit(rule.replace)))
     return by_segment(text, lambda t: F.regexp_replace(t, java_pattern(rule), java_replacement(rule)))
 
 
+def count_hits(text: Column, rule: Rule) -> Column:
+    """The matches of a rule in the stretches between control tags."""
+    if python_only(rule):
+        return by_python(text, rule, count=True)
+    found = F.transform(F.split(text, f"(?:{TAG})", -1), lambda t: F.regexp_count(t, F.lit(java_pattern(rule))))
+    return F.aggregate(found, F.lit(0).cast("long"), lambda n, k: n + k)
+
+
 def apply_rules(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """df with the rules applied in order, each to what the one before returned."""
     for rule in rules:
@@ -81,8 +127,7 @@ def rule_hits(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame
     hits = []
     for k, rule in enumerate(rules, 1):
         if rule.enabled:
-            seen = F.regexp_replace(F.col(text), TAG, "")
-            df = df.withColumn(f"_hits{k}", F.regexp_count(seen, F.lit(java_pattern(rule))).cast("long")).withColumn(text, apply_rule(F.col(text), rule))
+            df = df.withColumn(f"_hits{k}", count_hits(F.col(text), rule)).withColumn(text, apply_rule(F.col(text), rule))
             hits.append(k)
     sums = df.agg(*(F.coalesce(F.sum(f"_hits{k}"), F.lit(0)).alias(f"_hits{k}") for k in hits))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule_no"), F.col(f"_hits{k}").alias("hits")) for k in hits))).alias("r")).select("r.*")
@@ -96,5 +141,3 @@ def extract_tags(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def join_lines(text: Column) -> Column:
     """Each run of line breaks with the blanks around it as one space; tags stay."""
     return by_segment(text, lambda t: F.regexp_replace(t, r"[ \t]*[\r\n]+(?:[ \t]*[\r\n]+)*[ \t]*", " "))
-
-

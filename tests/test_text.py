@@ -28,6 +28,13 @@ chk("rules",lambda x:rules.apply_rule(x,rules.Rule("°C","Grad")),[("[23°C] 24
 chk("rx",lambda x:rules.apply_rule(x,rules.Rule(r"(\d+(?:,\d+)?) °C",r"\1 Grad","regex")),[("Temp ist 23,5 °C.","Temp ist 23,5 Grad.")])
 chk("join",rules.join_lines,[("a \r\n\tb\rc\nd","a b c d")])
 chk("md",markdown.clean_markdown,[("# Head\n\n- **a** _b_\n1. c\n> q\n***\n~~x~~ `y` [l](http://z) ![i](https://p)","Head\n\na b\nc\nq\nx y l i"),("| Tag | Höchst | Tiefst |\n| --- | --- | --- |\n| Mo | 1 | 2 |\nend","Tag. Höchst. Tiefst.\nMo. 1. 2.\nend")])
+chk("md guard",markdown.clean_markdown,[("# H\n```\n# *a*\n```\n# *b*","H\n```\n# *a*\n```\nb"),("[whispers] **x** <say *y*> [*z*]\n- [x] t\n> [l](http://z)","[whispers] x <say *y*> [*z*]\nt\nl"),("a \ue000 *b* \ue0000\ue001","a \ue000 b \ue0000\ue001"),("see http://a_b_c <\n~~~\n<b> *x*","see http://a_b_c <\n~~~\n<b> *x*"),("",""),(None,None)])
+chk("md remove",lambda x:markdown.clean_markdown(x,remove_code=True,remove_urls=True),[("a\n```\n*b*\n```\nc http://x.y/z d","a\nc  d")])
+chk("rx python",lambda x:rules.apply_rule(x,rules.Rule(r"(?P<a_b>\w)(?P=a_b)",r"\g<a_b>2","regex")),[("aab [cc] dd","a2b [cc] d2"),("",""),(None,None)])
+chk("rx condition",lambda x:rules.apply_rule(x,rules.Rule(r"(\()?x(?(1)\))",r"y","regex",True)),[("(X) x (x","y y (y")])
+chk("rx class",lambda x:rules.apply_rule(x,rules.Rule(r"[[&]",r"\\-","regex")),[("a&b","a\\-b")])
+chk("hits",lambda x:rules.count_hits(x,rules.Rule("ab","")).cast("string"),[("ab a<t>b ab","2"),("a[ab]b","0")])
+chk("hits python",lambda x:rules.count_hits(x,rules.Rule(r"(.)(?(1)b|c)","","regex")).cast("string"),[("ab a<t>b ab","2")])
 chk("emo",lambda x:emoji.spell_emoji(x,"de"),[("Super 😀🔥","Super, grinsendes gesicht, feuer"),("Gut 👍","Gut, thumbs up"),("3,5","3,5")])
 chk("emr",emoji.remove_emoji,[("A 😀 B","A B")])
 
@@ -45,6 +52,11 @@ def test_rules_are_validated():
             rules.load_rules([{"find": "a"}, bad])
 
 
+def test_python_takes_only_what_java_cannot_say():
+    own = [rules.Rule(f, r, "regex") for f, r in ((r"(\d+)\s*°C", r"\1 Grad"), (r"[^\]\[]+x", "y"), (r"(?P<n>a)|(?i:b)(?:c)", r"\g<n>"))]
+    assert not any(map(rules.python_only, own)) and not rules.python_only(rules.Rule("(?(1)", "\\n"))
+
+
 def test_queries_match_their_sql_names():
     import __spark_entry__ as entry
 
