@@ -126,6 +126,9 @@ _spoken("md_code", "part", "p_partkey", "concat('`', p_size, '` ~~x~~')", lambda
 _spoken("md_dividers", "part", "p_partkey", r"concat(p_size, '\n***\n- - -')", markdown.dividers, "p_size::VARCHAR")
 _spoken("md_blockquotes", "part", "p_partkey", r"concat('> ', p_size)", markdown.blockquotes, "p_size::VARCHAR")
 _spoken("md_code_blocks", "part", "p_partkey", r"concat(p_size, '\n```\ncode\n```\nend')", markdown.code_blocks, "p_size || chr(10) || 'end'")
+_spoken("md_clean_guarded", "part", "p_partkey", r"concat('# **', p_size, '** [*w*]\n```\n# *', p_partkey, '*\n```\n- [x] <a *b*> _c_')", markdown.clean_markdown, "p_size || ' [*w*]' || chr(10) || '```' || chr(10) || '# *' || p_partkey || '*' || chr(10) || '```' || chr(10) || '<a *b*> c'")
+_spoken("md_clean_code_removed", "part", "p_partkey", r"concat(p_size, '\n~~~\n*code*\n~~~\nsee https://x.y/', p_partkey, ' *now*')", lambda t: markdown.clean_markdown(t, remove_code=True, remove_urls=True), "p_size || chr(10) || 'see  now'")
+_spoken("rules_python_condition", "part", "p_partkey", "concat('(', p_size, ') [(', p_size, ')] ', p_name)", lambda t: rules.apply_rule(t, rules.Rule(r"(\()?\b(\d+)(?(1)\))", r"size \2", "regex")), "'size ' || p_size || ' [(' || p_size || ')] ' || p_name")
 _spoken("md_plain_urls", "part", "p_partkey", "concat('see https://x.y/', p_size, ' now')", markdown.plain_urls, "'see  now'")
 
 # Emoji.
