@@ -27,6 +27,9 @@ class Profile:
     numbers: bool = False
     grouped: bool = False
     formats: tuple[str, ...] | None = field(default=None)
+    markdown_skip: tuple[str, ...] = ()  # names of Markdown steps left out
+    remove_code: bool = False
+    remove_urls: bool = False
 
 
 def normalize(df: DataFrame, p: Profile, text: str = "text") -> DataFrame:
@@ -34,7 +37,7 @@ def normalize(df: DataFrame, p: Profile, text: str = "text") -> DataFrame:
     lang = p.locale.split("-")[0]
     df = rules.apply_rules(df, list(p.rules), text)
     stages = [
-        (p.markdown, markdown.clean_markdown),
+        (p.markdown, lambda t: markdown.clean_markdown(t, p.markdown_skip, p.remove_code, p.remove_urls)),
         (p.lines, rules.join_lines),
         (p.emoji == "remove", emoji.remove_emoji),
         (p.emoji == "spell_out", lambda t: emoji.spell_emoji(t, lang)),

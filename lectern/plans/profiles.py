@@ -22,15 +22,21 @@ PROFILES = "profile string, data string, options string"
 #: Configuration rows up to which profiles are read to the driver.
 MOST_PROFILES = 10_000
 PREVIEW_CHARS = 2000
+#: Switches of the Markdown steps, on unless set otherwise.
+MARKDOWN_SWITCHES = {
+    "remove_divider_lines": "dividers", "strip_headings": "headings", "strip_blockquotes": "blockquotes", "strip_list_markers": "list_markers", "strip_tables": "tables",
+    "strip_images": "images", "strip_links": "links", "strip_inline_code": "inline_code", "strip_strikethrough": "strikethrough", "strip_emphasis": "emphasis",
+}
 #: The fields of a flat profile and what holds where they are absent.
 FIELDS = {
     "output_language": "string", "safety_tail_chars": "int", "max_buffer_chars": "int", "markdown_enabled": "boolean", "replace_line_breaks": "boolean",
     "emoji_enabled": "boolean", "emoji_handling": "string", "date_enabled": "boolean", "date_locale": "string", "date_formats": "array<string>",
     "standalone_years": "boolean", "year_min": "int", "year_max": "int", "time_enabled": "boolean", "time_locale": "string", "durations": "boolean",
     "unit_enabled": "boolean", "unit_locale": "string", "number_enabled": "boolean", "number_language": "string", "allow_grouped": "boolean",
+    "remove_code_blocks": "boolean", "remove_plain_urls": "boolean", **dict.fromkeys(MARKDOWN_SWITCHES, "boolean"),
     "rules": "array<struct<name:string,mode:string,find:string,replace:string,case_sensitive:boolean,ignore_case:boolean,disabled:boolean,enabled:boolean>>",
 }
-DEFAULTS = {"safety_tail_chars": TAIL, "max_buffer_chars": BUFFER, "emoji_handling": "remove", "year_min": 1900, "year_max": 2099}
+DEFAULTS = {"safety_tail_chars": TAIL, "max_buffer_chars": BUFFER, "emoji_handling": "remove", "year_min": 1900, "year_max": 2099, **dict.fromkeys(MARKDOWN_SWITCHES, True)}
 SECTIONS = ("language", "buffer", "markdown", "cleanup", "emoji", "date", "time", "unit", "number", "rule")
 
 
@@ -100,6 +106,7 @@ def as_profile(row) -> Profile:
         normalize_locale(row.output_language), tuple(rules.load_rules([r.asDict() for r in row.rules])), row.markdown_enabled, row.replace_line_breaks,
         row.emoji_handling if row.emoji_enabled else None, row.date_enabled, row.standalone_years, row.time_enabled, row.durations, row.unit_enabled,
         row.number_enabled, row.allow_grouped, tuple(row.date_formats if row.date_formats is not None else default_formats(row.date_locale or row.output_language)),
+        tuple(step for switch, step in MARKDOWN_SWITCHES.items() if not row[switch]), row.remove_code_blocks, row.remove_plain_urls,
     )
 
 

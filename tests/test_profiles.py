@@ -42,6 +42,14 @@ def test_messages_by_profile(spark):
     assert {r.id: r.text for r in normalize_by_profile(rows, known).collect()} == {1: "a zwei", 2: "B two", 3: "a 2", 4: "2", 5: None}
 
 
+def test_markdown_switches(spark):
+    some = {"markdown": {"markdown_enabled": True, "strip_emphasis": False, "remove_plain_urls": True}}
+    known = profiles_by_name(checked(spark, ("all", {"output_language": "en", "markdown_enabled": True}, {}), ("some", {"output_language": "en"}, some)))
+    assert (known["all"].markdown_skip, known["some"].markdown_skip, known["some"].remove_urls, known["some"].remove_code) == ((), ("emphasis",), True, False)
+    rows = spark.createDataFrame([(1, "all", "# *a* http://x.y/z"), (2, "some", "# *a* http://x.y/z")], "id long, lang string, text string")
+    assert {r.id: r.text for r in normalize_by_profile(rows, known).collect()} == {1: "a http://x.y/z", 2: "*a* "}
+
+
 def test_preview_leaves_out_long_texts(spark):
     rows = spark.createDataFrame([(1, "x" * 2001), (2, "7"), (3, "8")], "id long, text string")
     assert [tuple(r) for r in preview(rows, Profile("en-US", numbers=True), 1, "id").collect()] == [(2, "7", "seven")]
