@@ -1,0 +1,208 @@
+"""Near copies by exact Jaccard similarity of shingle sets, in bounded blocks; nothing is decided on a sketch.
+
+Each distinct shingle set is one point with a parity bitmap: every shingle flips one bit. Two bitmaps differ
+in no more bits than the two sets differ in shingles, so a pair whose bitmaps differ in more bits than the
+similarity allows can be left out for certain, and every other pair is verified on the shingles themselves.
+Points sorted by set size are cut into blocks of bounded points and shingles, kept as files in the shared
+folder; a task takes pairs of blocks, and pairs whose sizes alone rule the similarity out never become work.
+The work is all pairs of points of like size, a few machine instructions a pair: quadratic in distinct sets.
+
+Each pair of blocks gives a spanning forest of its verified links. A pair already joined in that forest is
+not verified again, so a group of k copies costs about k verifications rather than k^2.
+"""
+
+from __future__ import annotations
+
+import pickle
+import uuid
+import zlib
+from fractions import Fraction
+from hashlib import blake2b
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lectern.llm.common import files, shared_dir, written
+
+#: Points and shingles that a block holds at most; a larger single text is a block of its own.
+BLOCK_POINTS = 4096
+BLOCK_SHINGLES = 1 << 21
+#: Pairs of points compared at once, and blocks a task keeps.
+TILE = 1 << 17
+KEPT_BLOCKS = 4
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    from xxhash import xxh64_intdigest
+
+    from lectern.llm.simhash import shingle_bytes
+
+    return np.unique(np.array([xxh64_intdigest(s, 42) for s in shingle_bytes(text, size)], dtype=np.uint64))
+
+
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Parity bitmap in 64-bit words, a power of two of them: at least a bit for each shingle."""
+    n = 2
+    while 64 * n < len(found):
+        n *= 2
+    ones = np.bincount((found & np.uint64(64 * n - 1)).astype(np.int64), minlength=64 * n) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def sketches(text: Column, size: int) -> Column:
+    """(h, n, bits): digest and size of the shingle set, and its parity bitmap."""
+    @F.pandas_udf("h binary, n int, bits binary")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t, size) for t in texts]
+        return pd.DataFrame({
+            "h": [blake2b(f.tobytes(), digest_size=16).digest() for f in found], "n": np.array([len(f) for f in found], np.int32),
+            "bits": [bitmap(f).tobytes() for f in found],
+        })
+
+    return sketch(text)
+
+
+class Block:
+    """Points in order of set size: node, n, bitmaps by width, and texts that are read when asked for."""
+
+    def __init__(self, node, n, bits: list[bytes], texts, size: int):
+        self.node, self.n, self.texts, self.size = np.asarray(node, np.int64), np.asarray(n, np.int64), texts, size
+        self.width = np.array([len(b) // 8 for b in bits], np.int64)
+        self.planes, last, w = {}, None, int(self.width.max())
+        while w >= 2:
+            lo, hi = np.searchsorted(self.width, [w, w + 1])
+            own = np.array([np.frombuffer(b, "<u8") for b in bits[lo:hi]], np.uint64).reshape(-1, w).T
+            last = own if last is None else np.concatenate([own, last[:w] ^ last[w:]], axis=1)
+            self.planes[w], w = (lo, np.ascontiguousarray(last)), w // 2
+        self.sets: dict[int, np.ndarray] = {}
+
+    def plane(self, w: int, lo: int, hi: int) -> np.ndarray:
+        start, words = self.planes[w]
+        return words[:, lo - start : hi - start]
+
+    def shingles(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            if callable(self.texts):
+                self.texts = self.texts()
+            self.sets[i] = shingle_set(zlib.decompress(self.texts[i]).decode("utf-8", "surrogatepass"), self.size)
+        return self.sets[i]
+
+
+def block_links(a: Block, b: Block, similarity: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the points of a and of b, or among those of a where b is a."""
+    from lectern.llm.simhash import Forest
+
+    num, den, same, off = similarity.numerator, similarity.denominator, a is b, 0 if a is b else len(a.n)
+    forest = Forest(off + len(b.n))
+
+    def similar(x: int, ys: np.ndarray) -> np.ndarray:
+        mine, theirs = a.shingles(x), [b.shingles(int(y)) for y in ys]
+        ends = np.cumsum([len(t) for t in theirs])
+        every = np.concatenate(theirs)
+        hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+        common = np.diff(np.append(0, np.append(0, np.cumsum(hit))[ends]))
+        return common * den >= num * (len(mine) + np.diff(np.append(0, ends)) - common)
+
+    def settle(x: int, ys: np.ndarray) -> None:
+        # A few of each tree first: one link joins the tree's others too.
+        batch = 1
+        while True:
+            roots = forest.roots(off + ys)
+            apart = roots != forest.roots(np.array([x]))[0]
+            ys, roots = ys[apart], roots[apart]
+            if not len(ys):
+                return
+            order = np.argsort(roots, kind="stable")
+            ys, roots = ys[order], roots[order]
+            first = np.flatnonzero(np.append(True, np.diff(roots) != 0))
+            now = np.arange(len(ys)) - np.repeat(first, np.diff(np.append(first, len(ys)))) < batch
+            for k in range(0, int(now.sum()), 256):
+                some = ys[now][k : k + 256]
+                if (good := similar(x, some)).any():
+                    forest.join(x, off + some[good])
+            ys, batch = ys[~now], batch * 2
+
+    lo = 0
+    while lo < len(a.n):
+        hi = min(len(a.n), lo + 64, int(np.searchsorted(a.width, a.width[lo], "right")))
+        least, most = -(-a.n[lo] * num // den), a.n[hi - 1] * den // num
+        left, right = max(lo + 1 if same else 0, np.searchsorted(b.n, least)), np.searchsorted(b.n, most, "right")
+        while left < right:
+            end = min(right, left + TILE // 64)
+            w = int(min(a.width[lo], b.width[left]))
+            p, q = a.plane(w, lo, hi), b.plane(w, left, end)
+            apart = np.zeros((hi - lo, end - left), np.uint16 if 64 * w < 1 << 16 else np.int64)
+            for u, v in zip(p, q, strict=True):
+                apart += np.bitwise_count(u[:, None] ^ v[None, :])
+            x, y = np.nonzero(apart <= (den - num) * (a.n[lo:hi, None] + b.n[None, left:end]) // (den + num))
+            x, y = x + lo, y + left
+            if same:
+                x, y = x[y > x], y[y > x]
+            if len(x):
+                cuts = np.flatnonzero(np.diff(x)) + 1
+                for at, ys in zip(x[np.r_[0, cuts]], np.split(y, cuts), strict=True):
+                    settle(int(at), ys)
+            left = end
+        lo = hi
+    return forest.links
+
+
+def near_links(points: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all similar points of (node long, n int, h, bits, text); sets must not repeat."""
+    spark, ratio = points.sparkSession, Fraction(str(similarity))
+    n, path, most, much = points.count(), shared_dir(spark), BLOCK_POINTS, BLOCK_SHINGLES
+
+    def cut(batches):
+        fs, base = files(path)
+        fs.create_dir(base, recursive=True)
+        rows: list = []
+
+        def flushed() -> pd.DataFrame:
+            name = f"{base}/{uuid.uuid4().hex}"  # what a repeated attempt leaves is never listed
+            for end, what in ((".p", [[r[k] for r in rows] for k in range(3)]), (".t", [r[3] for r in rows])):
+                with fs.open_output_stream(name + end, compression=None) as f:
+                    f.write(pickle.dumps(what, protocol=5))
+            out = pd.DataFrame({"name": [name], "lo": [rows[0][1]], "hi": [rows[-1][1]]})
+            rows.clear()
+            return out
+
+        total = 0
+        for pdf in batches:
+            for node, k, bits, text in zip(pdf["node"], pdf["n"], pdf["bits"], pdf["text"], strict=True):
+                if rows and (len(rows) >= most or total + k > much):
+                    yield flushed()
+                    total = 0
+                rows.append((int(node), int(k), bytes(bits), zlib.compress((text or "").encode("utf-8", "surrogatepass"), 1)))
+                total += int(k)
+        if rows:
+            yield flushed()
+
+    dealt = points.repartitionByRange(max(12, -(-n // most)), "n", "h").sortWithinPartitions("n", "h").select("node", "n", "bits", "text")
+    blocks = written(dealt.mapInPandas(cut, "name string, lo long, hi long"))
+    a, b = (blocks.select(*(F.col(c).alias(f"{c}_{k}") for c in blocks.columns)) for k in "ab")
+    meet = (F.col("name_a") <= F.col("name_b")) & (F.col("lo_a") * ratio.numerator <= F.col("hi_b") * ratio.denominator) & (F.col("lo_b") * ratio.numerator <= F.col("hi_a") * ratio.denominator)
+    pairs = written(a.join(F.broadcast(b), meet).select("name_a", "name_b"))
+
+    def find(batches):
+        fs, _ = files(path)
+
+        def read(name: str):
+            with fs.open_input_stream(name, compression=None) as f:
+                return pickle.loads(f.read())
+
+        @lru_cache(KEPT_BLOCKS)
+        def block(name: str) -> Block:
+            return Block(*read(name + ".p"), lambda: read(name + ".t"), size)
+
+        for pdf in batches:
+            for x, y in zip(pdf["name_a"], pdf["name_b"], strict=True):
+                p, q = block(x), block(y)
+                nodes = p.node if p is q else np.concatenate([p.node, q.node])
+                links = np.array(block_links(p, q, ratio), dtype=np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"a": nodes[links[:, 0]], "b": nodes[links[:, 1]]})
+
+    return pairs.repartition(max(12, pairs.count() // 8)).mapInPandas(find, "a long, b long")

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import jaccard
 from lectern.llm.common import small, written
 from lectern.llm.components import components
 
@@ -239,19 +240,29 @@ def simhash_classes(docs: DataFrame, size: int = 4, radius: int = 4, seeds: tupl
     return prints.join(found, "fp").select("id", "fp", F.col("component").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, size: int = 5, bits: int = 256, radius: int = 16, wide_radius: int = 44, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near copies: the one of smallest id; rows with a null id all stay.
 
-    The defaults are for a Jaccard similarity of 0.8 over five-word shingles. Two texts that similar
-    differ in 38 of 256 bits on average (standard deviation 6), so those that differ in at most 44
-    link; no two unrelated texts come near that.
+    Texts link at a Jaccard similarity of at least ``similarity`` over their sets of ``size``-word shingles,
+    verified on the shingles of each pair (``jaccard``); a group is what chains of links reach.
     """
-    found = simhash_classes(docs, size, radius, tuple(range(42, 42 + bits // 64)), wide_radius, key, text)
-    kept = written(found.filter("id = component_id").groupBy("id").agg(F.count("*").alias("_copies")))
-    own = docs.withColumn("_id", F.col(key).cast("long"))
-    many = own.join(small(written(kept.filter("_copies > 1"))), own["_id"] == F.col("id"), "left_semi").dropDuplicates([key])
-    once = own.join(small(written(kept.filter("_copies = 1"))), own["_id"] == F.col("id"), "left_semi")
-    return once.union(many).union(own.filter("_id is null")).drop("_id")
+    tagged = written(docs.withColumns({"_id": F.col(key).cast("long"), "_set": jaccard.sketches(F.col(text), size)}))
+    # An id may stand for several texts, so a row is known by id and set together.
+    each = tagged.filter("_id is not null").groupBy("_set.h", "_id").agg(F.count("*").alias("copies"), F.min("_set").alias("s"))
+    least = each.groupBy("h").agg(F.min(F.struct("_id", "copies", "s")).alias("p"))
+    points = written(least.select("h", F.col("p._id").alias("rep"), "p.copies", "p.s.n", "p.s.bits", F.monotonically_increasing_id().alias("node")))
+    own = tagged.select("_id", F.col("_set.h").alias("_h"), F.col(text).alias("text"))
+    texts = own.join(small(points), (F.col("_id") == F.col("rep")) & (F.col("_h") == F.col("h")))
+    once = texts.filter("copies = 1").select("node", "n", "h", "bits", "text")
+    many = texts.filter("copies > 1").groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "h", "bits", "text"))).select(*once.columns)
+    links = written(jaccard.near_links(once.union(many), size, similarity))
+    found = written(components(links))
+    classed = points.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("c"))
+    kept = written(classed.agg(F.min(F.struct("rep", "h", "copies")).alias("k")).select("k.*"))
+    same = (F.col("_id") == F.col("rep")) & (F.col("_set.h") == F.col("h"))
+    single = tagged.join(small(written(kept.filter("copies = 1"))), same, "left_semi")
+    several = tagged.join(small(written(kept.filter("copies > 1"))), same, "left_semi").dropDuplicates(["_id", "_set"])
+    return single.union(several).union(tagged.filter("_id is null")).select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
