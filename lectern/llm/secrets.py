@@ -1,7 +1,7 @@
 """Operator 4, secret scans: fixed patterns, and guess costs of values in credential contexts.
 
 The base patterns (assignments, access keys, long hex runs) are always reported. Beside them every
-value that follows a weaker credential word gets the least number of guesses that finds it, by dynamic
+value that follows a credential word, and is not wholly in a base span, gets the least number of guesses that finds it, by dynamic
 programming over segmentations into words, dates, repeats, sequences, keyboard walks and brute force;
 values that cost at least 10^8 guesses are reported as kind ``guess``.
 
@@ -27,11 +27,14 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CONTEXT = re.compile(
-    r"(?<![A-Za-z])(?:passphrase|pass|pwd|credentials?|bearer|auth|private_?key|access_?key|login)"
-    r"[\"']?\x20*[:=]\x20*[\"']?([^\s\"',;<>]{6,})",
-    re.ASCII | re.IGNORECASE,
+#: A value ends at white space, quotes, list marks and the next parameter of a URL.
+_VALUE = r"((?:[^\s\"',;<>&]|&(?![A-Za-z_][A-Za-z0-9_]*=)){6,})"
+_AFTER_WORD = (
+    r"(?:(?<![A-Za-z])(?:passphrase|pass|pwd|credentials?|bearer|auth|authorization|private_?key|access_?key|login)|password|passwd|secret|token|api_?key)"
+    r"[\"']?\x20*[:=]\x20*[\"']?(?:bearer\x20+)?" + _VALUE
 )
+_AFTER_BEARER = r"(?<![A-Za-z])bearer\x20+" + _VALUE
+_CONTEXTS = [re.compile(p, re.ASCII | re.IGNORECASE) for p in (_AFTER_WORD, _AFTER_BEARER)]
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?[0-3]\d|[0-3]?\d[-/.](?:0?[1-9]|1[0-2])[-/.](?:(?:19|20)?\d\d)|(?:19|20)\d\d")
 _LEET = str.maketrans("430157$@!", "aeoistsai")
 #: Common passwords and words, most common first; rank is guess cost.
@@ -95,13 +98,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def open_values(text: str, base: list) -> list[tuple[int, int, str]]:
+    """(start, end, value) of the credential contexts whose value no base span covers to its end."""
+    found: dict[int, tuple[int, int, str]] = {}
+    for pattern in _CONTEXTS:
+        for m in pattern.finditer(text):
+            if not any(s <= m.start(1) and m.end() <= e for s, _, e in base):
+                found.setdefault(m.end(), (m.start(), m.end(), m[1]))
+    return sorted(found.values())
+
+
 def all_spans(text: str, base: list, rank: dict[str, int], least: float) -> list[tuple[int, int, int]]:
-    """base and the costly values of credential contexts that no base span overlaps."""
-    more = [
-        (m.start(), 3, m.end())
-        for m in _CONTEXT.finditer(text)
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and guess_cost(m[1], rank) >= least
-    ]
+    """base and the costly values of credential contexts, whole, also where a base span ends inside them."""
+    more = [(s, 3, e) for s, e, value in open_values(text, base) if guess_cost(value, rank) >= least]
     return sorted(base + more)
 
 

@@ -46,6 +46,17 @@ def test_guess_cost_is_the_least_over_segmentations():
     assert secrets.guess_cost("x" * 3000, rank) < 8 < secrets.guess_cost("k7#pw!z0q", rank)
 
 
+def test_whole_values_of_every_credential_context(spark):
+    texts = [
+        "password: aB3$xY9!kQ2# end", "password=Tr0ub4dor&3xyz! end", "Authorization: Bearer xyzQ7$kk29ab!w end", "auth: Bearer xyzQ7$kk29ab!w end", "dbpassword='aB3$xY9!kQ2#'",
+        "token=abcdEFGH12345678&user=bob", "secret: aaaaaaaaaa!", "token: abc",
+    ]
+    got = [r.secrets for r in secrets.scan_secrets(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert [s.masked for s in got] == ["[secret] end", "[secret] end", "[secret] end", "[secret] end", "db[secret]'", "[secret]&user=bob", "[secret]!", "token: abc"]
+    assert [s.spans for s in got[:2]] == ["guess:0:22", "assign:0:18,guess:0:24"]
+    assert all(s.base == brute_base(t) for s, t in zip(got, texts, strict=True))
+
+
 def test_bpe_equals_the_library(spark):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rnd = random.Random(1)
