@@ -3,14 +3,13 @@
 Fingerprints: a bit is set where more than half of a text's shingle hashes have it set. Equal
 fingerprints are one point. A shallow vantage-point tree, built on the driver from a bounded sample of
 points, deals the points to shards by Hamming distance: each point has one home shard and is also sent
-to every shard whose ball a link of its own could reach (triangle bound). Each shard then searches its
-home points with a vantage-point tree of its own, exactly, and returns a spanning forest of the links
+to every shard whose ball a link of its own could reach (triangle bound). The home points and the visitors
+of a shard are cut into blocks of about SHARD_POINTS; a task searches one block of home points against one
+block, with a vantage-point tree of its own, exactly, so it holds two blocks however many visit, and returns a spanning forest of the links
 it found, so a group of k copies gives k - 1 links. The forests are joined by ``components``.
 
-With a radius of 4 bits the trees prune; the work grows about as n^1.75 in distinct fingerprints. With
-the wide radius that a Jaccard similarity of 0.8 needs, random fingerprints lie at nearly one distance
-from any vantage point and no bound can prune: the search is then every point against every point, in
-blocks, a few machine instructions a pair.
+With a radius of 4 bits the trees prune; the work grows about as n^1.75 in distinct fingerprints.
+``deduplicated``, for the pipeline, verifies the similarity of the texts themselves (``jaccard``).
 
 Edge cases: a text without words, or null, has fingerprint zero; equal and repeated rows are one
 class; an empty table gives an empty result; other columns are kept by ``deduplicated``.
@@ -148,8 +147,8 @@ class Forest:
             self.parent[roots] = low
 
 
-def search(points: np.ndarray, wide: np.ndarray, home: np.ndarray, radius: int, wide_radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between home points and all points of a shard.
+def search(points: np.ndarray, wide: np.ndarray, home: np.ndarray, radius: int, wide_radius: int, among: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between home points and all points given, or those marked in among.
 
     points: first words; wide: all words of each fingerprint, or no columns where one word is all.
     """
@@ -183,7 +182,7 @@ def search(points: np.ndarray, wide: np.ndarray, home: np.ndarray, radius: int,
             p, q = p[~near], q[right]
         block(p, q)
 
-    go(np.flatnonzero(home), np.arange(len(points)))
+    go(np.flatnonzero(home), np.arange(len(points)) if among is None else np.flatnonzero(among))
     return forest.links
 
 
@@ -201,24 +200,49 @@ def near_links(points: DataFrame, radius: int, wide_radius: int | None = None, s
     tree = sharding_tree(np.unique(drawn["x"].to_numpy(dtype=np.int64)).view(np.uint64), depth if n > LEAF else 0)
     words = 1 if wide_radius is None else None
 
-    def spread(batches):
+    def dealt_rows(batches):
         for pdf in batches:
             own = np.array([f[0] for f in pdf["fp"]], dtype=np.int64).view(np.uint64)
             step = 2048
             for k in range(0, len(own), step):
                 at, shard, home = deal(tree, own[k : k + step], radius)
-                yield pd.DataFrame({"shard": shard, "home": home, "rep": pdf["rep"].to_numpy()[k + at], "fp": pdf["fp"].to_numpy()[k + at]})
+                yield pdf.iloc[k + at], shard, home
+
+    def counted(batches):
+        for _, shard, home in dealt_rows(batches):
+            yield pd.DataFrame({"shard": shard, "home": home, "n": np.int64(1)}).groupby(["shard", "home"], as_index=False).sum()
+
+    # Driver state: two counts a shard. Home points and visitors of a shard are cut into blocks by number.
+    totals = points.select("fp", "rep").mapInPandas(counted, "shard int, home boolean, n long").groupBy("shard", "home").agg(F.sum("n").alias("n")).collect()
+    blocks = {(r.shard, r.home): -(-r.n // shard_points) for r in totals}
+
+    def spread(batches):
+        for rows, shard, home in dealt_rows(batches):
+            out: list = []
+            # Neighbours in the table go to different blocks; which one only has to be the same for every copy of a point.
+            mixed = (rows["rep"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            for k, (s, h, x) in enumerate(zip(shard.tolist(), home.tolist(), mixed.tolist(), strict=True)):
+                homes, visits = blocks.get((s, True), 0), blocks.get((s, False), 0)
+                if h:  # its own block, as home to every later block; and as other to every earlier one
+                    at = x % homes
+                    out += [(k, s, at, c, True) for c in range(at, homes + visits)] + [(k, s, c, at, False) for c in range(at)]
+                else:
+                    out += [(k, s, c, homes + x % visits, False) for c in range(homes)]
+            if out:
+                at, s, block, other, own = (np.array(c) for c in zip(*out, strict=True))
+                yield pd.DataFrame({"shard": s, "block": block, "other": other, "home": own, "rep": rows["rep"].to_numpy()[at], "fp": rows["fp"].to_numpy()[at]})
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         every = np.array(pdf["fp"].tolist(), dtype=np.int64).view(np.uint64)
         rep, home = pdf["rep"].to_numpy(), pdf["home"].to_numpy()
         wide = every[:, :0] if words == 1 else every
-        links = search(np.ascontiguousarray(every[:, 0]), wide, home, radius, wide_radius or 0)
+        among = home if pdf["block"].iat[0] == pdf["other"].iat[0] else ~home
+        links = search(np.ascontiguousarray(every[:, 0]), wide, home, radius, wide_radius or 0, among)
         pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": rep[pairs[:, 0]], "b": rep[pairs[:, 1]]})
 
-    dealt = points.select("fp", "rep").mapInPandas(spread, "shard int, home boolean, rep long, fp array<long>")
-    return spark.createDataFrame([], "a long, b long") if n == 0 else dealt.groupBy("shard").applyInPandas(find, "a long, b long")
+    dealt = points.select("fp", "rep").mapInPandas(spread, "shard int, block int, other int, home boolean, rep long, fp array<long>")
+    return spark.createDataFrame([], "a long, b long") if n == 0 else dealt.groupBy("shard", "block", "other").applyInPandas(find, "a long, b long")
 
 
 def classes(prints: DataFrame, radius: int, wide_radius: int | None = None) -> DataFrame:

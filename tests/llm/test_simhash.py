@@ -76,3 +76,18 @@ def test_search_prunes_without_losing_links():
     i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points[None]) <= 4)
     assert brute_components(range(len(points)), links) == brute_components(range(len(points)), zip(i.tolist(), j.tolist()))
     assert all(np.bitwise_count(points[a] ^ points[b]) <= 4 for a, b in links)
+
+
+def test_a_task_holds_two_blocks_however_many_visit(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(2**62), 2**62, 1500)
+    found = np.unique(np.concatenate([base, base ^ 5, base ^ 1025]))
+    points = spark.createDataFrame([([int(x)], i) for i, x in enumerate(found)], "fp array<long>, rep long")
+    held = []
+    taken = type(points.groupBy("rep")).applyInPandas
+    monkeypatch.setattr(type(points.groupBy("rep")), "applyInPandas", lambda self, f, schema: held.append(self.count()) or taken(self, f, schema))
+    links = [tuple(r) for r in simhash.near_links(points, 4, shard_points=200).collect()]
+    assert max(r["count"] for r in held[0].collect()) <= 600 < len(found)
+    values = found.view(np.uint64)
+    i, j = np.nonzero(np.bitwise_count(values[:, None] ^ values[None]) <= 4)
+    assert brute_components(range(len(found)), links) == brute_components(range(len(found)), zip(i.tolist(), j.tolist()))
