@@ -12,7 +12,8 @@ With a radius of 4 bits the trees prune; the work grows about as n^1.75 in disti
 ``deduplicated``, for the pipeline, verifies the similarity of the texts themselves (``jaccard``).
 
 Edge cases: a text without words, or null, has fingerprint zero; equal and repeated rows are one
-class; an empty table gives an empty result; other columns are kept by ``deduplicated``.
+class; a row without an id is linked like any other and gets the class of its fingerprint, null where
+the class has no id at all; an empty table gives an empty result; other columns are kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -246,18 +247,19 @@ def near_links(points: DataFrame, radius: int, wide_radius: int | None = None, s
 
 
 def classes(prints: DataFrame, radius: int, wide_radius: int | None = None) -> DataFrame:
-    """(id long, fp) to (fp, component) for every fingerprint: the smallest id its near links reach."""
-    points = written(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    """(id long, fp) to (fp, component) for every fingerprint: the smallest id its near links reach, null if it has none."""
+    # Links run between points, not ids: an id may be null or stand for several fingerprints.
+    points = written(prints.groupBy("fp").agg(F.min("id").alias("least")).withColumn("rep", F.monotonically_increasing_id()))
     links = written(near_links(points, radius, wide_radius))
     found = written(components(links))
-    return points.join(found, points["rep"] == found["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component")
-    )
+    classed = written(points.join(found, points["rep"] == found["node"], "left").select("fp", "least", F.coalesce("component", "rep").alias("class")))
+    ids = written(classed.groupBy("class").agg(F.min("least").alias("component")))
+    return classed.join(small(ids), "class").select("fp", "component")
 
 
 def simhash_classes(docs: DataFrame, size: int = 4, radius: int = 4, seeds: tuple[int, ...] = (42,), wide_radius: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp, component_id) of every row of docs; rows with a null key are not compared."""
-    prints = written(docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), fingerprints(F.col(text), size, seeds).alias("fp")))
+    """(id, fp, component_id) of every row of docs, rows with a null key too."""
+    prints = written(docs.select(F.col(key).cast("long").alias("id"), fingerprints(F.col(text), size, seeds).alias("fp")))
     found = written(classes(prints, radius, wide_radius))
     # A fingerprint may be that of a third of all rows; both sides are written tables, so adaptive
     # execution splits such a key's rows over tasks.

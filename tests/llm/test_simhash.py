@@ -91,3 +91,9 @@ def test_a_task_holds_two_blocks_however_many_visit(spark, monkeypatch):
     values = found.view(np.uint64)
     i, j = np.nonzero(np.bitwise_count(values[:, None] ^ values[None]) <= 4)
     assert brute_components(range(len(found)), links) == brute_components(range(len(found)), zip(i.tolist(), j.tolist()))
+
+
+def test_rows_without_an_id_keep_their_class(spark):
+    rows = [(7, "one two three four five"), (None, "one two three four five"), (9, "x y z"), (None, "quite other words than these"), (9, "green and blue and red")]
+    got = [(r.id, r.component_id) for r in simhash.simhash_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(7, 7), (None, 7), (9, 9), (None, None), (9, 9)], key=str)
