@@ -2,7 +2,7 @@
 
 The base patterns (assignments, access keys, long hex runs) are always reported. Beside them every
 value that follows a credential word, and is not wholly in a base span, gets the least number of guesses that finds it, by dynamic
-programming over segmentations into words, dates, repeats, sequences, keyboard walks and brute force;
+programming over segmentations into words (a fixed list, then the words of the corpus by frequency), dates, repeats, sequences, keyboard walks and brute force;
 values that cost at least 10^8 guesses are reported as kind ``guess``.
 
 Edge cases: a null text is an empty text and has no spans; texts are scanned whole, whatever their
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import small, written
+
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_LOG10 = 8.0
 MASK = "[secret]"
@@ -35,6 +37,11 @@ _AFTER_WORD = (
 )
 _AFTER_BEARER = r"(?<![A-Za-z])bearer\x20+" + _VALUE
 _CONTEXTS = [re.compile(p, re.ASCII | re.IGNORECASE) for p in (_AFTER_WORD, _AFTER_BEARER)]
+_JAVA_VALUES = f"(?i)(?:{_AFTER_WORD}|{_AFTER_BEARER})"
+_RUN = re.compile(r"[^\W\d_]{3,}")
+#: A word counts as ordinary if so many texts have it outside credential contexts; longer words are brute force.
+LEAST_TEXTS = 3
+LONGEST_WORD = 32
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?[0-3]\d|[0-3]?\d[-/.](?:0?[1-9]|1[0-2])[-/.](?:(?:19|20)?\d\d)|(?:19|20)\d\d")
 _LEET = str.maketrans("430157$@!", "aeoistsai")
 #: Common passwords and words, most common first; rank is guess cost.
@@ -127,9 +134,48 @@ def joined(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def corpus_ranks(docs: DataFrame, text: str, rank: dict[str, int], least: float) -> dict[str, int]:
+    """Ranks by number of texts, over the whole of docs, of the words inside values that rank alone finds costly.
+
+    Credential values are cut out before the words are counted, so a secret does not vouch for itself. Only
+    words that occur both in such a value and as a word of the corpus come to the driver.
+    """
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            found = set()
+            for _, _, value in open_values(t, base_spans(t)):
+                if guess_cost(value, rank) >= least:
+                    for form in (value.lower(), value.lower().translate(_LEET)):
+                        for run in _RUN.findall(form):
+                            found |= {run[i:j] for i in range(len(run) - 2) for j in range(i + 3, min(len(run), i + LONGEST_WORD) + 1)}
+            out.append(sorted(found))
+        return pd.Series(out)
+
+    texts = docs.select(F.col(text).alias("t")).filter("t is not null")
+    wanted = written(texts.filter(F.col("t").rlike(_JAVA_VALUES)).select(F.explode(parts("t")).alias("w")).distinct())
+    if wanted.isEmpty():
+        return {}
+    plain = F.lower(F.regexp_replace("t", F.lit(_JAVA_VALUES), F.lit(" ")))
+    each = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(\p{L}{3,32}+)(?!\p{L})"), F.lit(1)))
+    counts = written(texts.select(F.explode(each).alias("w")).groupBy("w").count().filter(F.col("count") >= LEAST_TEXTS))
+    # Rank: how many words are at least as frequent; words share counts, so the table by count is short.
+    sizes = sorted(counts.groupBy("count").agg(F.count("*").alias("n")).collect(), reverse=True)
+    at, place = {}, 0
+    for c, n in sizes:
+        place += n
+        at[c] = place
+    return {w: at[c] for w, c in counts.join(small(wanted), "w", "left_semi").collect()}
+
+
 def scan_secrets(docs: DataFrame, text: str = "text", words=tuple(WORDS), least_log10: float = LEAST_LOG10) -> DataFrame:
-    """docs with ``secrets``: counts by kind, base spans and all spans as text, and the masked text."""
+    """docs with ``secrets``: counts by kind, base spans and all spans as text, and the masked text.
+
+    words are ranked first; the words of the corpus come after them, in the order of corpus_ranks.
+    """
     rank = {w: i + 1 for i, w in enumerate(words)}
+    rank = {w: r + len(rank) for w, r in corpus_ranks(docs, text, rank, least_log10).items()} | rank
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, n_guess long, base string, spans string, masked string")
     def scan(texts: pd.Series) -> pd.DataFrame:

@@ -57,6 +57,14 @@ def test_whole_values_of_every_credential_context(spark):
     assert all(s.base == brute_base(t) for s, t in zip(got, texts, strict=True))
 
 
+def test_ordinary_words_of_the_corpus_are_no_secrets(spark):
+    prose = ["it is required that a certificate stays disabled", "nicht vollständig, aber required", "Vollständig disabled certificate; required", "vollständig und disabled: certificate"]
+    clean = ["login: required", "auth: disabled", "credentials: certificate", "pass: vollständig"]
+    leaked = ["pass: zqkvjwxpgh"] * 4 + ["password: aB3$xY9!kQ2#"]
+    got = [r.secrets.n_guess for r in secrets.scan_secrets(docs(spark, prose + clean + leaked)).orderBy("doc_id").collect()]
+    assert got == [0] * 8 + [1] * 5
+
+
 def test_bpe_equals_the_library(spark):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rnd = random.Random(1)
