@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +18,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (local tests) one temporary folder is set for the session.
+    Where the setting is absent one temporary folder is set for the session, in local mode alone: on a
+    cluster no folder of a single machine can stand in for a shared one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-lectern-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df as a table in the shared folder: cuts the lineage and survives a lost executor."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows of df as a table in the shared folder: cuts the lineage and survives a lost executor.
+
+    by: a column to keep apart in folders, so that a filter on it reads only its own.
+    """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def let(value: Column, body) -> Column:
@@ -69,13 +77,52 @@ def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
     return dealt.join(F.broadcast(first), "_part").withColumn(name, index + F.col("_start")).drop("_at", "_part", "_start")
 
 
-#: Rows up to which a counted table is broadcast; of narrow rows that is a few MB.
-BROADCAST_ROWS = 100_000
+#: Bytes up to which a counted table is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def small(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast only if its counted rows prove it small."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A written table of fixed-width or short columns, marked for broadcast only if its size is proven.
+
+    Pass only tables that don't grow with the rows (sources, hot keys); the proof is for the day they do.
+    """
+    width = F.lit(16)
+    for f in table.schema.fields:
+        text = f.dataType.typeName() in ("string", "binary")
+        width = width + (F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) + 16 if text else F.lit(16))
+    return F.broadcast(table) if (table.agg(F.sum(width.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else table
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by underscores until none of them is a column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def runs(batches, key: str):
+    """pandas batches of rows sorted by key to batches that never part the rows of a key."""
+    held: list = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        keys = pdf[key].to_numpy()
+        if held and keys[0] != last:  # noqa: F821
+            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            held = []
+        last = keys[-1]
+        cut = int(np.argmax(keys == last))
+        if cut:
+            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            held = []
+        held.append(pdf.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def files(path: str):

@@ -9,7 +9,8 @@ keeps the words taken within about one longest document of the target.
 
 Sums are decimals of fixed scale, so reruns agree to the last copy. Edge cases: a null source is a
 source of its own and ranks last; null texts have size 0 and take nothing; a source at its stop takes
-every document ``cap`` times; an empty table gives an empty result.
+every document ``cap`` times; an empty table gives an empty result; equal ids are taken alike; ties of
+size go by a seeded hash of the id; ``mixed`` keeps further columns, whatever their names, ``mix`` leaves them out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import global_rank, small, source_key, words, written
+from lectern.llm.common import fresh, global_rank, small, source_key, words, written
 
 SCALE = 1 << 26
 STEPS = 60
@@ -92,13 +93,11 @@ def balanced(counts: DataFrame, targets: DataFrame, cap: int = 2, tolerance: flo
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share_percent: int = 150, cap: int = 2, key: str = "doc_id", source: str = "source", size: str = "size") -> DataFrame:
-    """docs (narrow: key, source, size) with ``source_size``, ``target``, ``rate`` and ``copies``."""
-    rows = global_rank(
-        docs.withColumns({"_src": source_key(F.col(source)), "_mix": F.xxhash64(F.col(key).cast("string"), F.lit("mix"))}),
-        ["_src", F.col(size).desc(), "_mix", key], "_g",
-    )
+    """(key, source, size) of docs with ``source_size``, ``target``, ``rate`` and ``copies``."""
+    narrow = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), source_key(F.col(source)).alias("src"), F.col(size).alias("z"))
+    rows = global_rank(narrow.withColumn("draw", F.xxhash64(F.col("k").cast("string"), F.lit("mix"))), ["src", F.col("z").desc(), "draw", "k"], "g")
     counts = written(
-        rows.groupBy(F.col("_src").alias("src"), F.col(size).alias("size")).agg(F.count("*").alias("m"), F.min("_g").alias("first"))
+        rows.groupBy("src", F.col("z").alias("size")).agg(F.count("*").alias("m"), F.min("g").alias("first"))
     )
     totals = counts.groupBy("src").agg(F.sum(F.col("size") * F.col("m")).alias("total"))
     targets = written(water_filled(totals, weights, share_percent, cap))
@@ -112,22 +111,28 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share_percent: int = 150, cap: int =
     groups = written(
         rated.withColumn("w", w.cast("long"))
         .withColumn("base", F.coalesce(F.sum(F.col("w") * F.col("m")).over(before), F.lit(0)))
-        .select(F.col("src").alias("_src"), F.col("size").alias("_size"), "first", "w", "base", F.col("total").alias("source_size"), "target")
+        .select("src", F.col("size").alias("z"), "first", "w", "base", F.col("total").alias("source_size"), "target")
     )
-    placed = rows.join(groups, (rows["_src"] == groups["_src"]) & (rows[size] == groups["_size"])).drop(groups["_src"])
+    # Sizes of a source are few; where they are not, both sides are written tables and a hot size is split.
+    placed = rows.join(small(groups), ["src", "z"])
     upto = lambda r: F.floor((F.col("base") + r * F.col("w") + SCALE // 2) / F.lit(SCALE))
-    r = F.col("_g") - F.col("first")
-    return placed.withColumns({"copies": (upto(r + 1) - upto(r)).cast("long"), "rate": F.col("w") / F.lit(SCALE)}).drop(
-        "_src", "_mix", "_g", "_size", "first", "w", "base"
-    )
+    r = F.col("g") - F.col("first")
+    return placed.select(
+        F.col("k").alias(key), F.col("s").alias(source), F.col("z").alias(size), "source_size", "target",
+        (upto(r + 1) - upto(r)).cast("long").alias("copies"), (F.col("w") / F.lit(SCALE)).alias("rate"),
+    )
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows with a null key are taken once."""
-    sized = docs.filter(F.col(key).isNotNull()).select(key, source, F.size(words(F.col(text))).cast("long").alias("_words"))
-    chosen = written(mix(sized, key=key, source=source, size="_words", **options).groupBy(key).agg(F.max("copies").alias("_copies")))
-    taken = docs.join(small(chosen), key, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)).cast("int"))
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).drop("_copy")
+    """docs with each row as often as the mix takes it; rows with a null key are taken once.
+
+    The decisions, narrow rows, are found first; then the texts are shuffled once, at every size alike.
+    """
+    known, size, copies, copy = fresh(docs, "_known", "_words", "_copies", "_copy")
+    sized = docs.filter(F.col(key).isNotNull()).select(key, source, F.size(words(F.col(text))).cast("long").alias(size))
+    chosen = mix(sized, key=key, source=source, size=size, **options).groupBy(F.col(key).alias(known)).agg(F.max("copies").cast("int").alias(copies))
+    taken = docs.join(written(chosen).hint("shuffle_hash"), F.col(key) == F.col(known), "left")
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.coalesce(copies, F.lit(1)))).alias(copy)).drop(copy)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

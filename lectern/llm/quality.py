@@ -2,7 +2,8 @@
 
 Edge cases: a null or empty text has no words, so every count is 0 and it fails the base rule; long
 texts are read whole; repeated rows are judged one by one; an empty table gives an empty result;
-further columns are kept, and a column of ours that clashes with one of theirs replaces it.
+further columns are kept; of clashing names the metrics of ``quality_rules`` win, and ``passing`` hands on
+the caller's columns alone.
 """
 
 from __future__ import annotations
@@ -146,8 +147,9 @@ def quality_rules(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame
 
 
 def passing(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """The rows of docs that pass, with their own columns."""
-    return quality_rules(docs, rules, text).filter("kept").select(*docs.columns)
+    """The rows of docs that pass, with their own columns, whatever their names."""
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return quality_rules(held, rules).filter("kept").select("row.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small, written
+from lectern.llm.common import fresh, small, written
 
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_LOG10 = 8.0
@@ -169,8 +169,8 @@ def corpus_ranks(docs: DataFrame, text: str, rank: dict[str, int], least: float)
     return {w: at[c] for w, c in counts.join(small(wanted), "w", "left_semi").collect()}
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", words=tuple(WORDS), least_log10: float = LEAST_LOG10) -> DataFrame:
-    """docs with ``secrets``: counts by kind, base spans and all spans as text, and the masked text.
+def scan_secrets(docs: DataFrame, text: str = "text", words=tuple(WORDS), least_log10: float = LEAST_LOG10, into: str = "secrets") -> DataFrame:
+    """docs with ``secrets`` (in place of any column so named): counts by kind, base spans and all spans as text, and the masked text.
 
     words are ranked first; the words of the corpus come after them, in the order of corpus_ranks.
     """
@@ -188,13 +188,14 @@ def scan_secrets(docs: DataFrame, text: str = "text", words=tuple(WORDS), least_
             rows.append((*(kinds.count(k) for k in range(4)), joined(base), joined(every), masked(t, every) if every else t))
         return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_guess", "base", "spans", "masked"])
 
-    return docs.withColumn("secrets", scan(F.col(text)))
+    return docs.withColumn(into, scan(F.col(text)))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with every reported span replaced by a mask; null texts stay null."""
-    found = scan_secrets(docs, text, **options)
-    return found.withColumn(text, F.when(F.col(text).isNotNull(), F.col("secrets.masked"))).drop("secrets")
+    (into,) = fresh(docs, "_secrets")
+    found = scan_secrets(docs, text, into=into, **options)
+    return found.withColumn(text, F.when(F.col(text).isNotNull(), F.col(f"{into}.masked"))).drop(into)
 
 
 def op4_secret_scans(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import global_rank, source_key
+from lectern.llm.common import global_rank, small, source_key, written
 
 
 def stratified_shards(rows: DataFrame, shards: int, seed: str = "lectern", key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -26,8 +26,8 @@ def stratified_shards(rows: DataFrame, shards: int, seed: str = "lectern", key:
     )
     ties = [c for c in rows.columns if c != source]
     ranked = global_rank(seeded, ["_src", "_mix", *ties], "_g")
-    # One row for each source; the planner broadcasts it only below its size threshold.
-    per_source = ranked.groupBy("_src").agg(F.min("_g").alias("_first"), F.count("*").alias("_n"))
+    # One row for each source, broadcast so that a hot source's rows stay where they are.
+    per_source = small(written(ranked.groupBy("_src").agg(F.min("_g").alias("_first"), F.count("*").alias("_n"))))
     place = (2 * (F.col("_g") - F.col("_first")) + 1) / (2 * F.col("_n"))
     placed = ranked.join(per_source, "_src").withColumn("_f", place).drop("_g", "_first", "_n")
     final = global_rank(placed, ["_f", "_src", "_mix", *ties], "_g")

@@ -9,11 +9,11 @@ block, with a vantage-point tree of its own, exactly, so it holds two blocks how
 it found, so a group of k copies gives k - 1 links. The forests are joined by ``components``.
 
 With a radius of 4 bits the trees prune; the work grows about as n^1.75 in distinct fingerprints.
-``deduplicated``, for the pipeline, verifies the similarity of the texts themselves (``jaccard``).
+``near_copies`` searches wider fingerprints with the same trees and verifies the texts themselves.
 
 Edge cases: a text without words, or null, has fingerprint zero; equal and repeated rows are one
 class; a row without an id is linked like any other and gets the class of its fingerprint, null where
-the class has no id at all; an empty table gives an empty result; other columns are kept by ``deduplicated``.
+the class has no id at all; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,8 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import jaccard
-from lectern.llm.common import small, written
+from lectern.llm.common import written
 from lectern.llm.components import components
 
 #: Points from which the driver builds the sharding tree, and home points a shard should have.
@@ -48,27 +47,30 @@ def shingle_bytes(text: str | None, size: int) -> list[bytes]:
     return [whole[s : e - 1] for s, e in zip(starts, ends[size - 1 :])] or [whole]  # noqa: B905
 
 
-def fingerprint(text: str | None, size: int, seeds: tuple[int, ...]) -> list[int]:
-    """One 64-bit fingerprint for each seed, as signed integers."""
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, from the highest bit down; one row of words for each."""
+    total = np.zeros(64 * hashes.shape[1], np.int64)
+    for k in range(0, len(hashes), 255):  # so many bits add up within a byte
+        part = np.ascontiguousarray(hashes[k : k + 255], dtype=">u8")
+        total += np.unpackbits(part.view(np.uint8), axis=1).view(np.uint64).sum(axis=0).view(np.uint8)
+    return total
+
+
+def fingerprint(text: str | None, size: int, seed: int) -> int:
+    """The 64-bit fingerprint of a text, as a signed integer."""
     from xxhash import xxh64_intdigest
 
     shingles = shingle_bytes(text, size)
     if not shingles:
-        return [0] * len(seeds)
-    out = []
-    for seed in seeds:
-        h = np.array([xxh64_intdigest(s, seed) for s in shingles], dtype=">u8")
-        ones = np.zeros(64, dtype=np.int64)
-        for k in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True))
-    return out
+        return 0
+    h = np.array([xxh64_intdigest(s, seed) for s in shingles], dtype=np.uint64)
+    return int.from_bytes(np.packbits(2 * ones(h[:, None]) > len(h)).tobytes(), "big", signed=True)
 
 
-def fingerprints(text: Column, size: int, seeds: tuple[int, ...]) -> Column:
-    @F.pandas_udf("array<long>")
+def fingerprints(text: Column, size: int, seed: int) -> Column:
+    @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, size, seeds) for t in texts])
+        return pd.Series([fingerprint(t, size, seed) for t in texts], dtype="int64")
 
     return fp(text)
 
@@ -148,10 +150,18 @@ class Forest:
             self.parent[roots] = low
 
 
-def search(points: np.ndarray, wide: np.ndarray, home: np.ndarray, radius: int, wide_radius: int, among: np.ndarray | None = None) -> list[tuple[int, int]]:
+def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Bits in which each of the fingerprints p (rows of words) differs from each of q."""
+    total = np.bitwise_count(p[:, None, 0] ^ q[None, :, 0]).astype(np.uint16 if p.shape[1] > 3 else np.uint8)
+    for k in range(1, p.shape[1]):
+        total += np.bitwise_count(p[:, None, k] ^ q[None, :, k])
+    return total
+
+
+def search(points: np.ndarray, home: np.ndarray, radius: int, among: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between home points and all points given, or those marked in among.
 
-    points: first words; wide: all words of each fingerprint, or no columns where one word is all.
+    points: one row of 64-bit words for each fingerprint.
     """
     forest = Forest(len(points))
 
@@ -159,12 +169,9 @@ def search(points: np.ndarray, wide: np.ndarray, home: np.ndarray, radius: int,
         step = max(1, CELLS // max(1, len(q)))
         for k in range(0, len(p), step):
             rows = p[k : k + step]
-            i, j = np.nonzero(distance(points[rows][:, None], points[q][None, :]) <= radius)
+            i, j = np.nonzero(apart(points[rows], points[q]) <= radius)
             a, b = rows[i], q[j]
             real = a != b
-            if wide.shape[1]:
-                a, b = a[real], b[real]
-                real = distance(wide[a], wide[b]).sum(axis=1, dtype=np.int64) <= wide_radius
             a, b = a[real], b[real]
             cuts = np.flatnonzero(np.diff(a)) + 1
             for x, ys in zip(a[np.r_[0, cuts]] if len(a) else (), np.split(b, cuts)):  # noqa: B905
@@ -172,8 +179,8 @@ def search(points: np.ndarray, wide: np.ndarray, home: np.ndarray, radius: int,
 
     def go(p: np.ndarray, q: np.ndarray) -> None:
         while len(p) > LEAF:
-            vantage = points[p[len(p) // 2]]
-            d, e = distance(points[p], vantage).astype(np.int16), distance(points[q], vantage).astype(np.int16)
+            vantage = points[p[len(p) // 2]][None]
+            d, e = apart(vantage, points[p])[0].astype(np.int16), apart(vantage, points[q])[0].astype(np.int16)
             bound = int(np.median(d))
             near = d <= bound
             left, right = e <= bound + radius, e > bound - radius
@@ -187,23 +194,17 @@ def search(points: np.ndarray, wide: np.ndarray, home: np.ndarray, radius: int,
     return forest.links
 
 
-def near_links(points: DataFrame, radius: int, wide_radius: int | None = None, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """Links (a, b) that join all near points of (fp array<long>, rep long), as spanning forests.
-
-    fp must not repeat. With more than one word, points link if the first words differ in at most
-    radius bits and all words together in at most wide_radius.
-    """
+def near_links(points: DataFrame, radius: int, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """Links (a, b) that join all near points of (fp long, rep long), as spanning forests; fp must not repeat."""
     spark = points.sparkSession
     n = points.count()
     depth = max(LEAST_SHARDS.bit_length() - 1, int(np.ceil(np.log2(max(1, n / shard_points)))))
-    first = F.get("fp", F.lit(0)).alias("x")
-    drawn = points.select(first, F.xxhash64("fp").alias("h")).orderBy("h", "x").limit(SAMPLE).toPandas()
-    tree = sharding_tree(np.unique(drawn["x"].to_numpy(dtype=np.int64)).view(np.uint64), depth if n > LEAF else 0)
-    words = 1 if wide_radius is None else None
+    drawn = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()
+    tree = sharding_tree(np.unique(drawn["fp"].to_numpy(dtype=np.int64)).view(np.uint64), depth if n > LEAF else 0)
 
     def dealt_rows(batches):
         for pdf in batches:
-            own = np.array([f[0] for f in pdf["fp"]], dtype=np.int64).view(np.uint64)
+            own = pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64)
             step = 2048
             for k in range(0, len(own), step):
                 at, shard, home = deal(tree, own[k : k + step], radius)
@@ -234,65 +235,38 @@ def near_links(points: DataFrame, radius: int, wide_radius: int | None = None, s
                 yield pd.DataFrame({"shard": s, "block": block, "other": other, "home": own, "rep": rows["rep"].to_numpy()[at], "fp": rows["fp"].to_numpy()[at]})
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        every = np.array(pdf["fp"].tolist(), dtype=np.int64).view(np.uint64)
+        every = pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64)[:, None]
         rep, home = pdf["rep"].to_numpy(), pdf["home"].to_numpy()
-        wide = every[:, :0] if words == 1 else every
         among = home if pdf["block"].iat[0] == pdf["other"].iat[0] else ~home
-        links = search(np.ascontiguousarray(every[:, 0]), wide, home, radius, wide_radius or 0, among)
-        pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
+        pairs = np.array(search(every, home, radius, among), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": rep[pairs[:, 0]], "b": rep[pairs[:, 1]]})
 
-    dealt = points.select("fp", "rep").mapInPandas(spread, "shard int, block int, other int, home boolean, rep long, fp array<long>")
+    dealt = points.select("fp", "rep").mapInPandas(spread, "shard int, block int, other int, home boolean, rep long, fp long")
     return spark.createDataFrame([], "a long, b long") if n == 0 else dealt.groupBy("shard", "block", "other").applyInPandas(find, "a long, b long")
 
 
-def classes(prints: DataFrame, radius: int, wide_radius: int | None = None) -> DataFrame:
+def classes(prints: DataFrame, radius: int) -> DataFrame:
     """(id long, fp) to (fp, component) for every fingerprint: the smallest id its near links reach, null if it has none."""
     # Links run between points, not ids: an id may be null or stand for several fingerprints.
     points = written(prints.groupBy("fp").agg(F.min("id").alias("least")).withColumn("rep", F.monotonically_increasing_id()))
-    links = written(near_links(points, radius, wide_radius))
+    links = written(near_links(points, radius))
     found = written(components(links))
     classed = written(points.join(found, points["rep"] == found["node"], "left").select("fp", "least", F.coalesce("component", "rep").alias("class")))
     ids = written(classed.groupBy("class").agg(F.min("least").alias("component")))
-    return classed.join(small(ids), "class").select("fp", "component")
+    return classed.join(ids, "class").select("fp", "component")
 
 
-def simhash_classes(docs: DataFrame, size: int = 4, radius: int = 4, seeds: tuple[int, ...] = (42,), wide_radius: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def simhash_classes(docs: DataFrame, size: int = 4, radius: int = 4, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row of docs, rows with a null key too."""
-    prints = written(docs.select(F.col(key).cast("long").alias("id"), fingerprints(F.col(text), size, seeds).alias("fp")))
-    found = written(classes(prints, radius, wide_radius))
+    prints = written(docs.select(F.col(key).cast("long").alias("id"), fingerprints(F.col(text), size, seed).alias("fp")))
+    found = written(classes(prints, radius))
     # A fingerprint may be that of a third of all rows; both sides are written tables, so adaptive
     # execution splits such a key's rows over tasks.
     return prints.join(found, "fp").select("id", "fp", F.col("component").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies: the one of smallest id; rows with a null id all stay.
-
-    Texts link at a Jaccard similarity of at least ``similarity`` over their sets of ``size``-word shingles,
-    verified on the shingles of each pair (``jaccard``); a group is what chains of links reach.
-    """
-    tagged = written(docs.withColumns({"_id": F.col(key).cast("long"), "_set": jaccard.sketches(F.col(text), size)}))
-    # An id may stand for several texts, so a row is known by id and set together.
-    each = tagged.filter("_id is not null").groupBy("_set.h", "_id").agg(F.count("*").alias("copies"), F.min("_set").alias("s"))
-    least = each.groupBy("h").agg(F.min(F.struct("_id", "copies", "s")).alias("p"))
-    points = written(least.select("h", F.col("p._id").alias("rep"), "p.copies", "p.s.n", "p.s.bits", F.monotonically_increasing_id().alias("node")))
-    own = tagged.select("_id", F.col("_set.h").alias("_h"), F.col(text).alias("text"))
-    texts = own.join(small(points), (F.col("_id") == F.col("rep")) & (F.col("_h") == F.col("h")))
-    once = texts.filter("copies = 1").select("node", "n", "h", "bits", "text")
-    many = texts.filter("copies > 1").groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "h", "bits", "text"))).select(*once.columns)
-    links = written(jaccard.near_links(once.union(many), size, similarity))
-    found = written(components(links))
-    classed = points.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("c"))
-    kept = written(classed.agg(F.min(F.struct("rep", "h", "copies")).alias("k")).select("k.*"))
-    same = (F.col("_id") == F.col("rep")) & (F.col("_set.h") == F.col("h"))
-    single = tagged.join(small(written(kept.filter("copies = 1"))), same, "left_semi")
-    several = tagged.join(small(written(kept.filter("copies > 1"))), same, "left_semi").dropDuplicates(["_id", "_set"])
-    return single.union(several).union(tagged.filter("_id is null")).select(*docs.columns)
-
-
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return simhash_classes(docs).select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
