@@ -2,14 +2,18 @@
 
 Writing: pages are range-partitioned by capture key (reversed host, rest of the URL, page id), and each
 task writes one shard: a file of gzip members, one for each record; an index file of compressed blocks
-of sorted capture lines; and a sparse directory with each block's first key and place. Looking up: a
-key finds its shard in the list of shards, its block by binary search in that shard's directory, its
-lines by binary search in the one block read, and its record by one range read.
+of sorted capture lines; and a sparse directory with each block's first key and place. Which records are
+revisits is found on narrow rows of digests; those marks are sorted in among the pages by key, so a
+page's text is shuffled once. Looking up: a key finds its shard in the list of shards, its block by
+binary search in that shard's directory, its lines by binary search in the one block read, and its record by one
+range read. A revisit's payload is that of the record it refers to, read from the archive as well.
 
 Files are named by attempt and listed only in the rows that a task returns, so what a lost or repeated
 attempt leaves behind is never read. Edge cases: a null html is an empty payload; a null URL has the
-key of an empty one; rows that share page id and URL are records of their own under one key; an empty
-table gives an archive of no shards; equal payloads below 1000 bytes are never revisits.
+key of an empty one; rows that share page id and URL are records of their own under one key; a row without a
+page id revisits an equal payload that has one, and payloads of which no row has one are all responses; rows that share
+the largest page id of a payload are all responses; equal payloads below 1000 bytes are never revisits; an
+empty table gives an archive of no shards; further columns of pages, whatever their names, are not archived.
 """
 
 from __future__ import annotations
@@ -24,13 +28,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import files, shared_dir, small, written
+from lectern.llm.common import files, shared_dir, written
 
 BLOCK = 256
 REVISIT_BYTES = 1000
 AHEAD = 1 << 18
 SHARDS = "shard string, first_key string, last_key string, records long"
-RECORDS = "key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: Ids travel as text: pandas turns whole numbers beside nulls into floats.
+RECORDS = "key string, page string, payload_bytes long, payload_digest string, record_type string, refers_page string, refers_key string"
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -45,42 +50,50 @@ def capture_key(url: Column, page_id: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Every page with key, payload, digest, record type and what a revisit refers to."""
-    payload = F.coalesce("html", F.lit(""))
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), capture_key(F.col("url"), F.col("page_id")).alias("key"),
-        payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest"),
-    )
-    large = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES)
-    groups = written(
-        large.groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    )
-    again = (F.col("payload_bytes") >= REVISIT_BYTES) & (F.col("page_id") != F.col("first_id"))
-    return rows.join(small(groups), "payload_digest", "left").withColumns(
-        {"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first_id"))}
+    """(key, page, url, html) of every page, and (key, digest, refers_page, refers_key) marks of those that are revisits."""
+    page, html = F.col("page_id").cast("long"), F.coalesce("html", F.lit(""))
+    key = capture_key(F.col("url"), page)
+    prints = written(
+        pages.filter(F.octet_length(html) >= REVISIT_BYTES).select(key.alias("key"), page.alias("page"), F.sha1(html.cast("binary")).alias("digest"))
     )
+    groups = written(
+        prints.groupBy("digest").agg(F.max("page").alias("first"), F.max_by("key", "page").alias("refers_key"), F.count("*").alias("n"))
+        .filter("n > 1 and first is not null").drop("n")
+    )
+    again = prints.join(groups, "digest").filter(~F.col("page").eqNullSafe(F.col("first")))
+    marks = again.select("key", F.lit(None).cast("string").alias("page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.col("first").cast("string").alias("refers_page"), "refers_key")
+    none = [F.lit(None).cast("string").alias(c) for c in ("digest", "refers_page", "refers_key")]
+    rows = pages.select(key.alias("key"), page.cast("string").alias("page"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), *none)
+    return rows.union(written(marks.distinct()))
+
 
+def record_id(key: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}>"
 
-def record(r) -> bytes:
-    """One WARC record of a capture, as a gzip member of its own."""
-    revisit = r.record_type == "revisit"
-    body = b"" if revisit else r.payload.encode()
+
+def record(r, mark) -> bytes:
+    """One WARC record of a capture, as a gzip member of its own; mark: (refers_page, refers_key) of a revisit."""
+    payload = r.html.encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if mark else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {r.record_type}" if revisit else "WARC-Type: resource",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, r.key)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {r.url}".replace("\n", "%0A").replace("\r", "%0D"),
-        f"WARC-Payload-Digest: sha1:{r.payload_digest}", f"WARC-Page-ID: {r.page_id}", f"WARC-Full-Length: {r.payload_bytes}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if mark else 'response'}", f"WARC-Record-ID: {record_id(r.key)}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {r.url}".replace("\n", "%0A").replace("\r", "%0D"), f"WARC-Payload-Digest: sha1:{sha1(payload).hexdigest()}",
     ]
-    if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Page-ID: {int(r.refers_to)}"]
-    head += ["Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]
+    if r.page is not None:
+        head.append(f"WARC-Page-ID: {r.page}")
+    if mark:
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(mark[1])}", f"WARC-Refers-To-Page-ID: {mark[0]}", f"WARC-Refers-To-Key: {mark[1]}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     packed = zlib.compressobj(3, zlib.DEFLATED, 31)
-    return packed.compress("\r\n".join(head).encode() + body + b"\r\n\r\n") + packed.flush()
+    return packed.compress("\r\n".join(head).encode() + block + b"\r\n\r\n") + packed.flush()
 
 
 def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
+    """Head fields and payload of a record; of a revisit the payload is empty."""
     head, _, rest = zlib.decompress(member, 31).partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def write_archive(pages: DataFrame) -> DataFrame:
@@ -90,7 +103,8 @@ def write_archive(pages: DataFrame) -> DataFrame:
     def write(batches):
         fs, base = files(path)
         name, keys, lines, blocks, at, index_at, count = uuid.uuid4().hex, ("", ""), [], [], 0, 0, 0
-        out = index = None
+        out = index = marked = None
+        marks: dict[str, tuple[str, str]] = {}
 
         def flush():
             nonlocal index_at, lines
@@ -101,11 +115,18 @@ def write_archive(pages: DataFrame) -> DataFrame:
 
         for pdf in batches:
             for r in pdf.itertuples():
+                if r.digest is not None:  # the marks of a key come before its pages
+                    if r.key != marked:
+                        marked, marks = r.key, {}
+                    marks[r.digest] = (r.refers_page, r.refers_key)
+                    continue
+                if r.key != marked:
+                    marked, marks = r.key, {}
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out, index = (fs.open_output_stream(f"{base}/{name}.{x}", compression=None) for x in ("warc.gz", "cdx.z"))
                     keys = (r.key, r.key)
-                member = record(r)
+                member = record(r, marks.get(sha1(r.html.encode()).hexdigest()) if marks else None)
                 out.write(member)
                 lines.append(f"{r.key}\t{at} {len(member)}")
                 at, keys, count = at + len(member), (keys[0], r.key), count + 1
@@ -120,7 +141,7 @@ def write_archive(pages: DataFrame) -> DataFrame:
                 f.write("\n".join(blocks).encode())
             yield pd.DataFrame({"shard": [f"{path}/{name}"], "first_key": keys[:1], "last_key": keys[1:], "records": [count]})
 
-    rows = captures(pages).repartitionByRange("key").sortWithinPartitions("key")
+    rows = captures(pages).repartitionByRange("key").sortWithinPartitions("key", F.col("digest").isNull())
     return written(rows.mapInPandas(write, SHARDS))
 
 
@@ -171,22 +192,32 @@ def look_up(shards: DataFrame, keys: DataFrame) -> DataFrame:
                 if k != at:
                     at, shard = k, Shard(listed[k][2])
                 for fields, body in shard.find(key):
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    size, revisit = int(fields["WARC-Full-Length"]), fields["WARC-Type"] == "revisit"
-                    if not revisit and (sha1(body).hexdigest() != digest or len(body) != size):
+                    digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
+                    if kind == "response" and sha1(body).hexdigest() != digest:
                         raise ValueError(f"damaged record under {key}")
-                    page = fields["WARC-Page-ID"]
-                    rows.append((key, None if page in ("None", "nan", "<NA>") else int(float(page)) if "." in page else int(page), size, digest, "revisit" if revisit else "response", int(fields["WARC-Refers-To-Page-ID"]) if revisit else None))
-            got = pd.DataFrame(rows, columns=["key", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-            yield got.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    rows.append((key, fields.get("WARC-Page-ID"), len(body), digest, kind, fields.get("WARC-Refers-To-Page-ID"), fields.get("WARC-Refers-To-Key")))
+            yield pd.DataFrame(rows, columns=["key", "page", "payload_bytes", "payload_digest", "record_type", "refers_page", "refers_key"])
 
     return keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key").mapInPandas(find, RECORDS)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """Looked-up records with the payload size of revisits, taken from the record each refers to; fails where that is missing."""
+    records = written(records)
+    # Records of one key and payload are alike, so one stands for them.
+    whole = records.filter("record_type = 'response'").select(F.col("key").alias("refers_key"), "payload_digest", F.col("payload_bytes").alias("whole_bytes")).distinct()
+    again = records.filter("record_type = 'revisit'").drop("payload_bytes").join(whole, ["refers_key", "payload_digest"], "left")
+    size = F.when(F.col("whole_bytes").isNull(), F.raise_error(F.concat(F.lit("no record for the revisit under "), "key"))).otherwise(F.col("whole_bytes"))
+    plain = records.filter("record_type = 'response'")
+    return again.withColumn("payload_bytes", size).select(*records.columns).union(plain).select(
+        "key", F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_page").cast("long").alias("refers_to")
+    )
+
+
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     shards = write_archive(pages)
-    return look_up(shards, pages.select(capture_key(F.col("url"), F.col("page_id")).alias("key"))).drop("key")
+    return resolved(look_up(shards, pages.select(capture_key(F.col("url"), F.col("page_id").cast("long")).alias("key")))).drop("key")
 
 
 OP2_SQL = """
