@@ -12,6 +12,8 @@ length; repeated rows are scanned one by one; other columns pass through untouch
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 from math import inf, log10
 
 import pandas as pd
@@ -61,39 +63,56 @@ def _near(a: str, b: str) -> bool:
     return bool(p and q and a != b and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1)
 
 
+#: Guesses for a run of k characters: 40 k, and for a keyboard walk twice as many with each step.
+RUNS = (
+    (lambda a, b: a == b, 0.0),
+    (lambda a, b: ord(b) - ord(a) == 1, 0.0),
+    (lambda a, b: ord(a) - ord(b) == 1, 0.0),
+    (_near, 0.3),
+)
+DATE_CHARS = range(4, 11)
+
+
 def guess_cost(value: str, rank: dict[str, int]) -> float:
-    """log10 of the fewest guesses over all segmentations of value; work is linear in its length."""
-    low, n = value.lower(), len(value)
+    """log10 of the fewest guesses over all segmentations of value into words, dates, runs and single characters.
+
+    Each further piece but single characters also costs the attacker the place where it starts. Of a run
+    every part of three characters or more is a piece; a start that another start of its run
+    beats stays beaten as the run goes on, so few are kept and the work is about linear in the length.
+    """
+    n = len(value)
+    low = "".join([s if len(s := c.lower()) == 1 else c for c in value])  # one letter for one letter
     plain = low.translate(_LEET)
     longest = max(map(len, rank), default=0)
-    best = [0.0] + [inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if low[i].isdigit() and (m := _DATE.match(low, i)):
-            dates.setdefault(i, []).append(m.end())
-
-    def offer(i: int, j: int, cost: float) -> None:
-        # Each further segment also costs the attacker the place where it starts.
-        best[j] = min(best[j], best[i] + cost + (log10(2) if i else 0.0))
-
+    best, dates = [0.0], {}
     for i in range(n):
-        best[i + 1] = min(best[i + 1], best[i] + 1.0)  # brute force: ten guesses a character
-        for j in range(i + 3, min(n, i + longest) + 1):
+        if low[i].isdigit():
+            for size in DATE_CHARS:
+                if i + size <= n and _DATE.fullmatch(low, i, i + size):
+                    dates.setdefault(i + size, []).append(i)
+    enter = lambda i: best[i] + (log10(2) if i else 0.0)
+    open_runs: list[list[int]] = [[] for _ in RUNS]
+    for j in range(1, n + 1):
+        least = best[j - 1] + 1.0  # brute force: ten guesses a character
+        for i in range(max(0, j - longest), j - 2):
             if (r := rank.get(low[i:j])) is not None:
-                offer(i, j, log10(r + 1) + (log10(2) if low[i:j] != value[i:j] else 0))
+                least = min(least, enter(i) + log10(r + 1) + (log10(2) if low[i:j] != value[i:j] else 0))
             elif (r := rank.get(plain[i:j])) is not None:
-                offer(i, j, log10(r + 1) + log10(4))
-        for end in dates.get(i, ()):
-            offer(i, end, log10(119) if end - i == 4 else log10(365 * 119))
-        # Runs that begin here; those that only go on from the character before were offered there.
-        for same in (lambda a, b: a == b, lambda a, b: ord(b) - ord(a) == 1, lambda a, b: ord(a) - ord(b) == 1, _near):
-            if i and same(low[i - 1], low[i]):
-                continue
-            j = i + 1
-            while j < n and same(low[j - 1], low[j]):
-                j += 1
-            if j - i >= 3:
-                offer(i, j, log10(40 * (j - i)) + (0.3 * (j - i) if same is _near else 0))
+                least = min(least, enter(i) + log10(r + 1) + log10(4))
+        for i in dates.get(j, ()):
+            least = min(least, enter(i) + (log10(119) if j - i == 4 else log10(365 * 119)))
+        for k, (follows, step) in enumerate(RUNS):
+            if j > 1 and not follows(low[j - 2], low[j - 1]):
+                open_runs[k] = []
+            costs = {i: enter(i) + log10(40 * (j - i)) + step * (j - i) for i in open_runs[k]}
+            least = min([least, *(c for i, c in costs.items() if j - i >= 3)])
+            kept, low_cost = [], inf
+            for i, c in costs.items():  # from the earliest start; a later one must be cheaper by now, or too new to tell
+                if c < low_cost or j - i < 3:
+                    kept.append(i)
+                low_cost = min(low_cost, c)
+            open_runs[k] = [*kept, j - 1]
+        best.append(least)
     return best[n]
 
 
@@ -108,9 +127,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def open_values(text: str, base: list) -> list[tuple[int, int, str]]:
     """(start, end, value) of the credential contexts whose value no base span covers to its end."""
     found: dict[int, tuple[int, int, str]] = {}
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for pattern in _CONTEXTS:
         for m in pattern.finditer(text):
-            if not any(s <= m.start(1) and m.end() <= e for s, _, e in base):
+            k = bisect_right(starts, m.start(1)) - 1
+            if k < 0 or reach[k] < m.end():
                 found.setdefault(m.end(), (m.start(), m.end(), m[1]))
     return sorted(found.values())
 
