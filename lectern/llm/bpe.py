@@ -8,7 +8,8 @@ cuts each token's text out of one block of bytes by an offset table.
 
 The vocabulary file's path is a parameter; the supported kind is BPE with an end-of-word suffix over
 byte-level characters, whose token ids follow the order of the merges. Edge cases: a null text is
-empty and gives no tokens; special tokens in a text are matched as such; texts are encoded whole.
+empty and gives no tokens; special tokens in a text are matched as such; texts are encoded whole; repeated rows are
+encoded one by one; an empty table gives an empty result; further columns stay, but one named as a result is replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 END = "￿"  # stands for the end-of-word suffix; never a byte-level character
 CACHE = 1 << 18
+#: Longer words are encoded anew each time, so that the cache stays small.
+CACHED_CHARS = 48
 
 
 def byte_chars() -> list[str]:
@@ -75,9 +78,11 @@ class WordBpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.wide = regex.compile(pattern).findall
-        self.narrow = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
+        # For texts of ASCII alone the same pattern with its classes written out, where it has no others.
+        plain = pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")
+        self.narrow = self.wide if "\\p" in plain or "(?" in plain else re.compile(plain, re.ASCII).findall
         self.chars = byte_chars()
-        self.word = lru_cache(CACHE)(self._word)
+        self.short_word = lru_cache(CACHE)(self._word)
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether merging the text of tokens a and b side by side leaves just these two."""
@@ -141,6 +146,9 @@ class WordBpe:
                 token = best[pos] if pos < n else None
         return tuple(out), " ".join(map(str, out))
 
+    def word(self, word: str) -> tuple[tuple[int, ...], str]:
+        return self.short_word(word) if len(word) <= CACHED_CHARS else self._word(word)
+
     def pieces(self, text: str):
         """The words of one stretch without special tokens."""
         if text.isascii():
