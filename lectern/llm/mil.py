@@ -4,10 +4,13 @@ A document is a bag of passages of 64 words. Each passage is encoded by its byte
 shape statistics; an encoder layer, gated attention weights over the passages of the document, and a
 logistic score of the weighted passage representation are learnt together from document labels.
 
-The classifier is fitted on at most ``TRAIN_DOCS`` labelled documents, those of least seeded hash, with
-all their passages; scoring covers every passage of every document. Edge cases: a text without words,
+The classifier is fitted on at most ``TRAIN_DOCS`` labelled documents, those of least seeded hash, with at
+most ``TRAIN_PASSAGES`` passages of each, evenly spaced over the whole text, so the driver holds 200 MB at worst;
+scoring covers every passage of every document. Edge cases: a text without words,
 or null, is one passage of zeros; with no labels at all every score is 0.5; repeated rows get equal
-scores; labels, language, source and id are never inputs of a score.
+scores; an id of several texts teaches by the least of them, by its highest label; a null id is held out; an empty
+table gives an empty result; further columns stay, but one named ``score`` is replaced; labels,
+language, source and id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_DOCS = 3000
+TRAIN_PASSAGES = 64
 PASSAGE = 64
 WIDTH = 256 + 6
 HIDDEN, GATE, EPOCHS, BATCH, RATE = 24, 12, 40, 64, 0.01
@@ -65,6 +69,19 @@ class Attention:
         lengths = np.array([len(b) for b in bags])
         return self.forward(np.concatenate(bags), np.r_[0, np.cumsum(lengths)[:-1]], lengths)[-1]
 
+    def gradient(self, bags: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss over the bags, for each parameter."""
+        lengths = np.array([len(b) for b in bags])
+        starts = np.r_[0, np.cumsum(lengths)[:-1]]
+        x, h, t, g, attn, z, s = self.forward(np.concatenate(bags), starts, lengths)
+        p, ds = self.p, (s - y) / len(bags)
+        dz = np.repeat(ds[:, None] * p["c"], lengths, axis=0)
+        da = (dz * h).sum(1)
+        de = attn * (da - np.repeat(np.add.reduceat(attn * da, starts), lengths))
+        dt, dg = de[:, None] * p["a"] * g * (1 - t * t), de[:, None] * p["a"] * t * g * (1 - g)
+        dh = (attn[:, None] * dz + dt @ p["v"].T + dg @ p["u"].T) * (h > 0)
+        return {"w": x.T @ dh, "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (de[:, None] * t * g).sum(0), "c": z.T @ ds, "d": ds.sum(keepdims=True)}
+
     def fit(self, bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> None:
         every = np.concatenate(bags)
         self.mean, self.scale = every.mean(0), every.std(0) + 1e-3
@@ -73,29 +90,26 @@ class Attention:
             order = r.permutation(len(bags))
             for k in range(0, len(order), BATCH):
                 at = order[k : k + BATCH]
-                lengths = np.array([len(bags[i]) for i in at])
-                starts = np.r_[0, np.cumsum(lengths)[:-1]]
-                x, h, t, g, attn, z, s = self.forward(np.concatenate([bags[i] for i in at]), starts, lengths)
-                p, ds = self.p, (s - y[at]) / len(at)
-                dz = np.repeat(ds[:, None] * p["c"], lengths, axis=0)
-                da = (dz * h).sum(1)
-                de = attn * (da - np.repeat(np.add.reduceat(attn * da, starts), lengths))
-                dt, dg = de[:, None] * p["a"] * g * (1 - t * t), de[:, None] * p["a"] * t * g * (1 - g)
-                dh = (attn[:, None] * dz + dt @ p["v"].T + dg @ p["u"].T) * (h > 0)
-                grad = {"w": x.T @ dh, "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (de[:, None] * t * g).sum(0), "c": z.T @ ds, "d": ds.sum(keepdims=True)}
+                grad = self.gradient([bags[i] for i in at], y[at])
                 step += 1
                 for n, d in grad.items():
-                    d = d + 1e-4 * p[n]
+                    d = d + 1e-4 * self.p[n]
                     m1[n], m2[n] = 0.9 * m1.get(n, 0) + 0.1 * d, 0.999 * m2.get(n, 0) + 0.001 * d * d
-                    p[n] = p[n] - RATE * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.999**step)) + 1e-8)
+                    self.p[n] = self.p[n] - RATE * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.999**step)) + 1e-8)
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """Whether a row is kept from learning; rows without an id always are."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def spaced(bag: np.ndarray, most: int = TRAIN_PASSAGES) -> np.ndarray:
+    """At most so many passages of a bag, evenly spaced over the whole of it."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).astype(int)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_DOCS) -> Attention | None:
-    """Fits on at most so many labelled documents outside the held-out fold."""
+    """Fits on at most so many labelled documents outside the held-out fold, one text for each id."""
     drawn = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -103,13 +117,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
     def encode(batches):
         for pdf in batches:
-            bags = [passages(t) for t in pdf["text"]]
+            bags = [spaced(passages(t)) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [b.tobytes() for b in bags]})
 
-    got = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInPandas(encode, "doc_id long, y int, x binary").toPandas()
+    # An id may stand for many rows: the least of its texts is learnt from, whatever order they come in.
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = texts.mapInPandas(encode, "doc_id long, y int, x binary").toPandas()
     if not len(got):
         return None
-    got = got.sort_values(["doc_id", "x"], kind="stable")
+    got = got.sort_values("doc_id", kind="stable")
     model = Attention()
     model.fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in got["x"]], got["y"].to_numpy(float))
     return model
