@@ -12,6 +12,31 @@ from lectern.llm import bpe, hnsw, mil, quality, secrets, simhash, warc
 from lectern.llm.common import words
 
 
+def read_back(shards, pages):
+    return warc.resolved(warc.look_up(shards, pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key"))))
+
+
+def test_archive_of_large_null_and_repeated_ids(spark):
+    big, other, at = "x" * 2000, "y" * 1500, 2**53
+    rows = [(at + 1, "http://a.com/1", big), (at + 3, "http://a.com/2", big), (None, "http://a.com/3", big), (None, "http://a.com/4", other), (None, "http://a.com/5", other)]
+    rows += [(5, "http://b.com", "z" * 1200), (5, "http://b.com", "z" * 1200), (5, "http://b.com", big), (7, None, None)]
+    pages = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, key string, digest int")
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in read_back(warc.write_archive(pages), pages).collect()]
+    want = [(at + 1, 2000, "revisit", at + 3), (at + 3, 2000, "response", None), (None, 2000, "revisit", at + 3), (None, 1500, "response", None), (None, 1500, "response", None)]
+    want += [(5, 1200, "response", None)] * 2 + [(5, 2000, "revisit", at + 3), (7, 0, "response", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_records_are_whole_warc_records():
+    from types import SimpleNamespace
+
+    page = SimpleNamespace(key="com,a)/ 1", url="http://a.com", html="<b>é", page="1")
+    fields, body = warc.parsed(warc.record(page, None))
+    assert fields["WARC-Type"] == "response" and body.decode() == "<b>é" and fields["Content-Type"] == "application/http; msgtype=response"
+    fields, body = warc.parsed(warc.record(page, ("2", "com,b)/ 2")))
+    assert fields["WARC-Type"] == "revisit" and body == b"" and fields["WARC-Refers-To"] == warc.record_id("com,b)/ 2")
+
+
 def test_archive_round_trip(spark):
     big = "é" * 700
     html = [None, "", "<p>\r\n\r\nx</p>", big, big, "y" * 999, "y" * 999, "z" * 5000, big, "z" * 5000]
@@ -19,7 +44,7 @@ def test_archive_round_trip(spark):
     rows = [(i, u, h) for i, (u, h) in enumerate(zip(urls, html, strict=True))] + [(100 + i, f"http://h{i % 5}.net/{i}", f"<b>{i}") for i in range(900)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     shards = warc.write_archive(pages)
-    got = {r.page_id: r for r in warc.look_up(shards, pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key"))).collect()}
+    got = {r.page_id: r for r in read_back(shards, pages).collect()}
     assert len(got) == len(rows)
     for i, _, h in rows:
         b = (h or "").encode()
@@ -47,6 +72,50 @@ def test_classifier_learns_and_holds_out(spark):
     assert {r.score for r in mil.scored(docs, None).collect()} == {0.5}
 
 
+def test_forward_pass_and_gradient_of_the_classifier():
+    rng = np.random.default_rng(1)
+    bags = [mil.passages(" ".join(rng.choice(["alpha", "$$$", "the", "of"], n))) for n in (0, 5, 70, 200)]
+    y, model = np.array([0.0, 1.0, 1.0, 0.0]), mil.Attention()
+    p = model.p
+
+    def slow(bag):
+        h = [np.maximum(x @ p["w"] + p["b"], 0) for x in bag.astype(float)]
+        e = [sum(p["a"] * np.tanh(v @ p["v"]) / (1 + np.exp(-(v @ p["u"])))) for v in h]
+        weights = np.exp(np.array(e)) / sum(np.exp(np.array(e)))
+        return 1 / (1 + np.exp(-(sum(w * v for w, v in zip(weights, h, strict=True)) @ p["c"] + p["d"][0])))
+
+    p["c"], p["b"] = rng.standard_normal(len(p["c"])), rng.standard_normal(len(p["b"]))  # off the kink at zero
+    assert np.allclose(model.score(bags), [slow(b) for b in bags])
+    loss = lambda: -np.mean([t * np.log(slow(b)) + (1 - t) * np.log(1 - slow(b)) for b, t in zip(bags, y, strict=True)])
+    for name, grad in model.gradient(bags, y).items():
+        for _ in range(6):
+            at = tuple(int(rng.integers(n)) for n in p[name].shape)
+            was = p[name][at]
+            p[name][at] = was + 1e-5
+            up = loss()
+            p[name][at] = was - 1e-5
+            down = loss()
+            p[name][at] = was
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-6, name
+
+
+def test_classifier_takes_a_bounded_part_and_null_ids(spark):
+    rows = [(1, "the same id of many rows", 9)] * 400 + [(2, "x " * 30_000, 9), (None, "no id", 9), (4, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1)], "doc_id long, quality int")
+    seen = []
+    real = mil.Attention.fit
+    try:
+        mil.Attention.fit = lambda self, bags, y, seed=7: seen.append((len(bags), max(map(len, bags)))) or real(self, bags, y, seed)
+        model = mil.fit(docs, labels)
+    finally:
+        mil.Attention.fit = real
+    assert not seen or (seen[0][0] <= 2 and seen[0][1] <= mil.TRAIN_PASSAGES)
+    got = mil.scored(docs, model).withColumn("held", mil.held_out()).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.held is not None for r in got)
+    assert mil.scored(docs.limit(0), model).count() == 0
+
+
 @pytest.mark.parametrize("shards", [2, 6])
 def test_near_embeddings_equal_all_pairs(spark, shards):
     rng = np.random.default_rng(7)

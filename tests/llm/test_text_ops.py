@@ -1,8 +1,10 @@
 """Operators 4, 5 and 7 against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import public_tokenizers
 import tiktoken
@@ -39,11 +41,50 @@ def test_secrets(spark):
     assert secrets.scan_secrets(docs(spark, [])).count() == 0
 
 
+def brute_guess_cost(value, rank):
+    """The least cost over all segmentations, each piece priced on its own."""
+    leet, rows = dict(zip("430157$@!", "aeoistsai", strict=True)), ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+    at = {c: (r, k) for r, row in enumerate(rows) for k, c in enumerate(row)}
+
+    def price(piece):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in piece)
+        plain, pairs, n = "".join(leet.get(c, c) for c in low), list(zip(low, low[1:], strict=False)), len(piece)
+        found = [1.0] if n == 1 else []
+        if n >= 3:
+            if low in rank:
+                found.append(math.log10(rank[low] + 1) + (math.log10(2) if low != piece else 0))
+            elif plain in rank:
+                found.append(math.log10(rank[plain] + 1) + math.log10(4))
+            if any(all(ord(b) - ord(a) == d for a, b in pairs) for d in (0, 1, -1)):
+                found.append(math.log10(40 * n))
+            if all(a != b and a in at and b in at and max(abs(at[a][0] - at[b][0]), abs(at[a][1] - at[b][1])) == 1 for a, b in pairs):
+                found.append(math.log10(40 * n) + 0.3 * n)
+        if re.fullmatch(r"(19|20)\d\d", low):
+            found.append(math.log10(119))
+        elif re.fullmatch(r"(19|20)\d\d[-/.]?(0[1-9]|1[0-2])[-/.]?[0-3]\d|[0-3]?\d[-/.](0?[1-9]|1[0-2])[-/.]((19|20)?\d\d)", low):
+            found.append(math.log10(365 * 119))
+        return min(found, default=math.inf)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + price(value[i:j]) + (math.log10(2) if i and j - i > 1 else 0) for i in range(j)))
+    return best[-1]
+
+
 def test_guess_cost_is_the_least_over_segmentations():
-    rank = {"pass": 1, "word": 2, "password": 3}
-    assert secrets.guess_cost("", rank) == 0
-    assert secrets.guess_cost("password", rank) < secrets.guess_cost("pqsswqrd", rank)
-    assert secrets.guess_cost("x" * 3000, rank) < 8 < secrets.guess_cost("k7#pw!z0q", rank)
+    rank = {"pass": 1, "word": 2, "password": 3, "monkey": 4, "master": 5, "abc": 6}
+    rnd = random.Random(9)
+    given = ["", "password", "passwordddddddddddddd", "masterrrrrrrrr", "abcdefghijklmonkey", "P4ssw0rd2024", "1.1.20240101", "31.12.1999x", "qwertyuuuuytrewq", "\u0130\u0130\u0130\u0130abc"]
+    made = ["".join(rnd.choice(["a", "b", "c", "1", "2", "0", ".", "q", "w", "e", "pass", "word", "2024", "1999", "aaaa", "Z"]) for _ in range(rnd.randint(1, 12))) for _ in range(1500)]
+    for v in given + made:
+        assert abs(secrets.guess_cost(v, rank) - brute_guess_cost(v, rank)) < 1e-9, v
+    assert secrets.guess_cost("x" * 20_000, rank) < 8 < secrets.guess_cost("k7#pw!z0q", rank)
+
+
+def test_spans_of_a_text_with_thousands_of_contexts_take_no_quadratic_time():
+    text = "token: abcdefgh1234 pass: zqkvjwxpgh! " * 4000
+    base, began = secrets.base_spans(text), time.time()
+    assert len(secrets.open_values(text, base)) == 4000 and time.time() - began < 5
 
 
 def test_whole_values_of_every_credential_context(spark):
@@ -88,6 +129,8 @@ def test_counts_after_edits_equal_counting_again(spark):
         text = "".join(rnd.choice(["the", " ", "  ", "\n", "it's", "12", "!", "é", " a"]) for _ in range(rnd.choice([0, 3, 80, 400])))
         tree = token_counts.TokenTree(text, counter)
         assert tree.total == whole(text)
+        if rnd.random() < 0.5:
+            tree = token_counts.TokenTree(text, counter, *tree.leaf_sums)
         for _ in range(5):
             a = rnd.randint(0, len(text))
             b = min(len(text), a + rnd.choice([0, 1, 5, 300]))
@@ -95,7 +138,30 @@ def test_counts_after_edits_equal_counting_again(spark):
             tree.edit(a, b, new)
             text = text[:a] + new + text[b:]
             assert tree.total == whole(text)
-            assert "".join("".join(x) for x in tree.leaves) == text
+            assert "".join(map(tree.leaf, range(tree.n))) == text
+
+
+def test_leaves_split_as_edits_add_text():
+    counter = token_counts.loaded(*token_counts.ranks())
+    tree = token_counts.TokenTree("one two three", counter)
+    for _ in range(300):
+        tree.edit(3, 3, " and more words here")
+    assert tree.n > 10 and tree.encoded < 300 * 5 * token_counts.LEAF
+    assert tree.total == len(counter.encoding.encode_ordinary("".join(map(tree.leaf, range(tree.n)))))
+
+
+def test_edits_of_every_kind(spark):
+    text = "one two three"
+    rows = [
+        (1, text, [(None, 3, "x"), (3, None, "x"), (0, 3, None)]), (2, text, [(0, 5, "a"), (2, 9, "b")]), (3, None, [(0, 0, "new words")]), (4, "", None),
+        (5, text, [(100, 200, " end"), (-5, 0, "x ")]), (6, text, []), (6, text, []),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,end:int,replacement:string>>")
+    got = [r.counts for r in token_counts.count_edited(token_counts.token_trees(d)).orderBy("doc_id").collect()]
+    counter = token_counts.loaded(*token_counts.ranks())
+    want = [" two three", "ab" + text[9:], "new words", "", "x one two three end", text, text]
+    assert [g.n_tokens_edited for g in got] == [len(counter.encoding.encode_ordinary(t)) for t in want]
+    assert token_counts.count_edited(token_counts.token_trees(d.limit(0))).count() == 0
 
 
 def test_token_count_query_shape(spark):
@@ -103,6 +169,6 @@ def test_token_count_query_shape(spark):
 
     d = docs(spark).withColumn("edits", token_counts.pattern_edits(r"[ \t]*[\r\n]+[ \t]*", " ", F.col("text")))
     enc = tiktoken.Encoding("t", pat_str=token_counts.ranks()[1], mergeable_ranks=token_counts.loaded(*token_counts.ranks()).encoding._mergeable_ranks, special_tokens={})
-    for r in token_counts.count_edited(d).collect():
+    for r in token_counts.count_edited(token_counts.token_trees(d)).collect():
         assert r.counts.n_tokens == len(enc.encode_ordinary(r.text or ""))
         assert r.counts.n_tokens_edited == len(enc.encode_ordinary(re.sub(r"[ \t]*[\r\n]+[ \t]*", " ", r.text or "")))
