@@ -1,15 +1,16 @@
 """Operator 10, embedding near-dedup with one navigable small-world graph for each shard.
 
-Equal vectors are one point with a multiplicity. Points are dealt to a fixed number of shards by hash;
+Equal vectors are one point with a multiplicity. Points are dealt by hash to shards of bounded bytes;
 each shard's graph is built layer by layer and written to the shared folder. Every point then queries
-every shard: a task loads one graph after the other and walks it for its points in batches. A beam that
-is full of links is widened until it is not, and the beams of all queries are widened until the links
-of an audit set, found by brute force in the shard, have all been found. Links are verified in double
+every shard: a task holds a range of the points and loads one graph after the other, each once. Beams start
+narrow. A query whose beam is full of links is widened, and where a wider beam would look at as many nodes
+as the shard holds, all of them are looked at instead; the beams of all queries are widened until the links of an
+audit set, found by brute force in the shard, have all been found. Links are verified in double
 precision; a task returns counts and a spanning forest, not pairs, and ``components`` joins them.
 
 Edge cases: null, empty and zero vectors and those with null or non-finite components link with
-nothing and are their own component; vectors of unlike length never link; equal vectors link with each
-other; an empty table gives an empty result.
+nothing and are their own component, as are rows without an id; vectors of unlike length never link; equal vectors
+and repeated rows link with each other; an empty table gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -26,9 +27,17 @@ from lectern.llm.common import files, shared_dir, written
 from lectern.llm.components import components
 from lectern.llm.simhash import Forest
 
+#: Shards there are at least, so that building is spread; bytes of vectors and links that a shard may have.
 SHARDS = 6
-SHARD_POINTS = 1_000_000
-LINKS, BEAM, AUDIT = 16, 64, 48
+SHARD_BYTES = 512 << 20
+#: Query points of a task.
+RANGE = 20_000
+#: Links a node is given, beams for building and at the start of a query, and audited queries of a task and shard.
+LINKS, BUILD, BEAM, AUDIT = 16, 48, 16, 256
+
+
+#: Similarities compared at once where a query looks at every node.
+CELLS = 1 << 22
 
 
 class Graph:
@@ -102,7 +111,7 @@ class Graph:
 
     def build(self, layer: int) -> None:
         n, cap = self.sizes[layer], LINKS * (2 if layer == 0 else 1)
-        self.layers[layer] = near = np.full((n, cap), -1, np.int64)
+        self.layers[layer] = near = np.full((n, cap), -1, np.int32)
         at = 0
         while at < n:
             end = min(n, at + (self.batch if at >= self.batch else max(1, self.batch // 2)))
@@ -115,9 +124,9 @@ class Graph:
             ids, sims = np.where(np.isfinite(np.take_along_axis(peers, p, 1)), at + p, -1), np.take_along_axis(peers, p, 1)
             if at:
                 entry = np.minimum(self.descend(q, layer), at - 1)
-                more, s = self.beam(layer, q, entry, BEAM, 4)
+                more, s = self.beam(layer, q, entry, BUILD, 4)
                 ids, sims = np.concatenate([ids, more], 1), np.concatenate([sims, s], 1)
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :BEAM]
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD]
                 ids, sims = np.take_along_axis(ids, best, 1), np.take_along_axis(sims, best, 1)
             out = self.chosen(q, ids, sims, LINKS)
             near[at:end, : out.shape[1]] = out
@@ -148,37 +157,47 @@ class Graph:
     def within(self, q: np.ndarray, least: float, width: int) -> list[np.ndarray]:
         """For each query the nodes found at a similarity of least; beams full of them are widened."""
         out: list = [None] * len(q)
+        full = []
         for k in range(0, len(q), self.batch):
             todo = np.arange(k, min(len(q), k + self.batch))
             entry, w = self.descend(q[todo], 0), width
-            while len(todo):
-                if w >= len(self.x):  # wider than the shard: every node is looked at
-                    for i in todo:
-                        out[i] = np.flatnonzero(self.x @ q[i] >= least)
-                    break
+            while len(todo) and w * 2 * LINKS < len(self.x):
                 ids, sims = self.beam(0, q[todo], entry, w, max(4, w // 16))
                 hit = sims >= least
                 whole = ~hit[:, -1]
                 for i, row, h in zip(todo[whole], ids[whole], hit[whole], strict=True):
                     out[i] = row[h]
                 todo, entry, w = todo[~whole], ids[~whole, 0], w * 4
+            full.append(todo)
+        # A wider beam would compare with as many nodes as there are: these queries look at every node.
+        left = np.concatenate(full) if full else np.zeros(0, np.int64)
+        for i, near in zip(left, self.scan(q[left], least), strict=True):
+            out[i] = near
         return out
 
+    def scan(self, q: np.ndarray, least: float):
+        """For each query the nodes of a similarity of least, by looking at every node."""
+        step = max(1, CELLS // max(1, len(self.x)))
+        for k in range(0, len(q), step):
+            row, near = np.nonzero(q[k : k + step] @ self.x.T >= least)
+            yield from np.split(near, np.searchsorted(row, np.arange(1, len(q[k : k + step]))))
+
 
 def audited(graph: Graph, q: np.ndarray, least: float) -> list[np.ndarray]:
     """within(), with beams widened until the audited queries miss no link."""
     at = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT)).astype(int))
-    true = [set(np.flatnonzero(graph.x @ q[i] >= least).tolist()) for i in at]
+    # What is found is near enough, so equal counts are equal sets; products differ in the last digits.
+    true = [len(near) for near in graph.scan(q[at], least + 1e-6)]
     width = BEAM
     while True:
         got = graph.within(q[at], least, width)
-        if all(t <= set(g.tolist()) for t, g in zip(true, got, strict=True)):
+        if all(len(g) >= t for t, g in zip(true, got, strict=True)):
             return graph.within(q, least, width)
         width *= 2
 
 
 def unit(vectors) -> np.ndarray:
-    x = np.array(list(vectors), dtype=np.float64)
+    x = np.array(list(vectors), dtype=np.float64) if not isinstance(vectors, np.ndarray) else vectors.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # huge and tiny vectors have a finite norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -191,47 +210,49 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     sound = F.coalesce((F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = written(rows.withColumn("v", F.when(sound & F.col("id").isNotNull(), F.col("v"))))
     points = written(rows.filter("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("m")))
-    n, path = points.count(), shared_dir(spark)
-    shards = max(shards, -(-n // SHARD_POINTS))
+    n, size, path = *points.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first(), shared_dir(spark)
+    shards = max(shards, -(-(8 * size + 16 * LINKS * n) // SHARD_BYTES))
     graphs = points.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards))).withColumn("dim", F.size("v"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", ignore_index=True)
-        exact = unit(pdf["v"])
-        g = Graph(exact)
+        raw = np.array(list(pdf["v"]))
+        g = Graph(unit(raw))
         fs, base = files(path)
         fs.create_dir(base, recursive=True)
         name = f"{base}/{uuid.uuid4().hex}"  # what a repeated attempt leaves is never listed
         with fs.open_output_stream(name, compression=None) as f:
-            f.write(pickle.dumps((g, exact[g.order], pdf["rep"].to_numpy()[g.order], pdf["m"].to_numpy()[g.order]), protocol=5))
-        return pd.DataFrame({"name": [name], "dim": [exact.shape[1]]})
+            f.write(pickle.dumps((g, raw[g.order], pdf["rep"].to_numpy()[g.order], pdf["m"].to_numpy()[g.order]), protocol=5))
+        return pd.DataFrame({"name": [name], "dim": [raw.shape[1]]})
 
     listed = sorted(tuple(r) for r in written(graphs.groupBy("shard", "dim").applyInPandas(build, "name string, dim int")).collect())
 
     def query(batches):
         fs, _ = files(path)
-        for pdf in batches:
-            for dim, own in pdf.groupby(pdf["v"].map(len)):
-                exact, rep = unit(own["v"]), own["rep"].to_numpy()
-                q, total = exact.astype(np.float32), np.zeros(len(own), np.int64)
-                for name, d in listed:
-                    if d != dim:
-                        continue
-                    with fs.open_input_stream(name, compression=None) as f:
-                        g, x, ids, m = pickle.loads(f.read())
-                    names, place = np.unique(np.concatenate([rep, ids]), return_inverse=True)
-                    forest = Forest(len(names))
-                    for i, near in enumerate(audited(g, q, least - 1e-4)):
-                        near = near[(x[near] @ exact[i] >= least) & (ids[near] != rep[i])]
+        every = pd.concat([pd.DataFrame({"rep": pd.Series([], dtype="int64"), "v": pd.Series([], dtype=object)}), *batches], ignore_index=True)
+        for dim, own in every.groupby(every["v"].map(len)):
+            exact, rep = unit(own["v"]), own["rep"].to_numpy(dtype=np.int64)
+            q, total = exact.astype(np.float32), np.zeros(len(own), np.int64)
+            for name, d in listed:
+                if d != dim:
+                    continue
+                with fs.open_input_stream(name, compression=None) as f:
+                    g, raw, ids, m = pickle.loads(f.read())
+                names, place = np.unique(np.concatenate([rep, ids]), return_inverse=True)
+                forest = Forest(len(names))
+                for i, near in enumerate(audited(g, q, least - 1e-4)):
+                    near = near[ids[near] != rep[i]]
+                    if len(near):
+                        near = near[unit(raw[near]) @ exact[i] >= least]
+                    if len(near):
                         total[i] += m[near].sum()
-                        if len(near):
-                            forest.join(int(place[i]), place[len(rep) + near])
-                    links = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
-                    yield pd.DataFrame({"a": names[links[:, 0]], "b": names[links[:, 1]], "n": np.zeros(len(links), np.int64)})
-                yield pd.DataFrame({"a": rep, "b": rep, "n": total})
+                        forest.join(int(place[i]), place[len(rep) + near])
+                links = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"a": names[links[:, 0]], "b": names[links[:, 1]], "n": np.zeros(len(links), np.int64)})
+            yield pd.DataFrame({"a": rep, "b": rep, "n": total})
 
     # Every point against every shard is by far the most work: it is spread evenly, whatever the files were.
-    dealt = points.repartition(max(12, -(-n // 20_000)), "rep").mapInPandas(query, "a long, b long, n long")
+    dealt = points.repartition(max(12, -(-n // RANGE)), "rep").mapInPandas(query, "a long, b long, n long")
     found = written(dealt)
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     reach = written(components(found.select("a", "b")))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import bpe, hnsw, mil, quality, secrets, simhash, warc
+from lectern.llm import bpe, hnsw, mil, near_copies, quality, secrets, warc
 from lectern.llm.common import words
 
 
@@ -134,6 +134,36 @@ def test_near_embeddings_equal_all_pairs(spark, shards):
     assert all(got[1000 + i].n_links == 0 and got[1000 + i].kept for i in range(len(odd)))
 
 
+def test_recall_on_many_vectors_with_a_dense_group():
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((17_000, 24))
+    x = np.concatenate([base, base[:1000] + 0.2 * rng.standard_normal((1000, 24)), base[:1] + 0.15 * rng.standard_normal((2000, 24))])
+    u = hnsw.unit(x)
+    g = hnsw.Graph(u)
+    assert [len(near) for near in g.layers] == g.sizes and len(g.sizes) >= 3
+    got = hnsw.audited(g, u[g.order].astype(np.float32), 0.9)
+    want = list(g.scan(g.x, 0.9))
+    links = sum(map(len, want))
+    assert links > 1_000_000 and sum(len(set(a) & set(b)) for a, b in zip(got, want, strict=True)) >= 0.999 * links
+    walked = g.within(g.x[:500], 0.9, 64)  # the walk alone, without an audit
+    assert sum(map(len, walked)) >= 0.9 * sum(map(len, want[:500]))
+
+
+def test_graphs_link_with_few_nodes_looked_at(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 20_000)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((60, 8))
+    x = np.concatenate([base + 0.01 * rng.standard_normal(base.shape) for _ in range(4)])
+    rows = [(i, v.tolist(), "a", 1.0, 2) for i, v in enumerate(x)] + [(0, x[0].tolist(), "b", 1.0, 2), (None, x[0].tolist(), "b", 1.0, 2)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, v double, rep int")
+    got = hnsw.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and [r.n_links for r in got if r.id is None] == [0]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert all(r.n_links == links[r.id] + (1 if links[r.id] >= 0 and (u[r.id] @ u[0]) >= 0.9 else 0) for r in got if r.id is not None)
+    assert hnsw.near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     rnd = random.Random(8)
     vocab = [f"w{i}" for i in range(400)] + ["the", "of", "and"] * 20
@@ -157,5 +187,5 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(r.n_tokens for r in out) > 0
     code = bpe.loaded(bpe.vocabulary())
     assert all(list(r.token_ids) == code.encode(prose[r.doc_id])[0] for r in out)
-    assert quality.quality_rules(docs.limit(0)).count() == 0 and simhash.deduplicated(docs.limit(0)).count() == 0
+    assert quality.quality_rules(docs.limit(0)).count() == 0 and near_copies.deduplicated(docs.limit(0)).count() == 0
     assert docs.select(F.size(words(F.col("text")))).first()[0] == 120
