@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "￿"  # stands for the end-of-word suffix; never a byte-level character
-CACHE = 1 << 18
+CACHE = 1 << 16
 #: Longer words are encoded anew each time, so that the cache stays small.
 CACHED_CHARS = 48
 

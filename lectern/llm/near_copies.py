@@ -44,7 +44,7 @@ RADIUS = 88
 BLOCK_POINTS = 4096
 BLOCK_SHINGLES = 1 << 21
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 16
 #: Groups of up to so many points are compared all at once, without a tree.
 FEW = 8
 
