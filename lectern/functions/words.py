@@ -1,4 +1,4 @@
-"""Number words as expressions over literal arrays: English and German cardinals, ordinals and years.
+"""Number words as expressions over literal arrays: English, German, French and Spanish.
 
 English style: hyphens below one hundred, "and" after hundreds, commas between thousands groups.
 """
@@ -19,8 +19,16 @@ DE_TENS = "null zehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig n
 DE_ORDINAL = {1: "erst", 3: "dritt", 7: "siebt", 8: "acht"}
 EN_MONTHS = "January February March April May June July August September October November December".split()
 DE_MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
-MINUS = {"en": "minus", "de": "minus"}
-POINT = {"en": "point", "de": "Komma"}
+FR_SMALL = "zéro un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf".split()
+FR_TENS = "zéro dix vingt trente quarante cinquante soixante soixante quatre-vingt quatre-vingt".split()
+ES_SMALL = (
+    "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve "
+    "veinte veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve"
+).split()
+ES_TENS = "cero diez veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa".split()
+ES_HUNDREDS = "cero ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos".split()
+MINUS = {"en": "minus", "de": "minus", "fr": "moins", "es": "menos"}
+POINT = {"en": "point", "de": "Komma", "fr": "virgule", "es": "coma"}
 
 
 def en_below_100(n: int) -> str:
@@ -98,12 +106,66 @@ def de_cardinal(n: Column) -> Column:
     return let(n.cast("long"), body)
 
 
-CARDINAL = {"en": en_cardinal, "de": de_cardinal}
+def fr_below_1000(n: int, before_thousand: bool = False) -> str:
+    """Plural marks of cents and vingts stand at the end of a number, and before millions, only."""
+    hundreds, n = divmod(n, 100)
+    tens, one = divmod(n, 10)
+    if tens in (7, 9):
+        tens, one = tens - 1, one + 10
+    if n < 20:
+        low = FR_SMALL[n] if n or not hundreds else ""
+    elif one == 0:
+        low = FR_TENS[tens] + ("s" if tens == 8 and not before_thousand else "")
+    else:
+        low = FR_TENS[tens] + (" et " if one in (1, 11) and tens != 8 else "-") + FR_SMALL[one]
+    head = "" if not hundreds else "cent" if hundreds == 1 else f"{FR_SMALL[hundreds]} cent" + ("s" if not n and not before_thousand else "")
+    return f"{head} {low}".strip()
+
+
+def es_below_1000(n: int, short: bool = False) -> str:
+    """short: uno before mil and millones."""
+    if n == 100:
+        return "cien"
+    hundreds, n = divmod(n, 100)
+    low = "" if hundreds and not n else ES_SMALL[n] if n < 30 else ES_TENS[n // 10] + (f" y {ES_SMALL[n % 10]}" if n % 10 else "")
+    if short and low.endswith("uno"):
+        low = low[:-3] + ("ún" if n == 21 else "un")
+    return f"{ES_HUNDREDS[hundreds] if hundreds else ''} {low}".strip()
+
+
+def _by_thousands(n: Column, last: list[str], thousands_of: list[str], thousand: str, millions_of: list[str], million: tuple[str, str]) -> Column:
+    """Words of 0 to 999,999,999 from tables of the numbers below 1000 by their place."""
+
+    def body(v: Column) -> Column:
+        millions, thousands, rest = F.floor(v / 1_000_000), F.floor(v / 1000) % 1000, v % 1000
+        return F.concat_ws(
+            " ",
+            F.when(millions == 1, F.lit(million[0])).when(millions > 1, F.concat(pick(millions_of, millions), F.lit(f" {million[1]}"))),
+            F.when(thousands == 1, F.lit(thousand)).when(thousands > 1, F.concat(pick(thousands_of, thousands), F.lit(f" {thousand}"))),
+            F.when((rest > 0) | (v == 0), pick(last, rest)),
+        )
+
+    return let(n.cast("long"), body)
+
+
+FR_1000, FR_1000_SHORT = ([fr_below_1000(n, short) for n in range(1000)] for short in (False, True))
+ES_1000, ES_1000_SHORT = ([es_below_1000(n, short) for n in range(1000)] for short in (False, True))
+
+
+def fr_cardinal(n: Column) -> Column:
+    return _by_thousands(n, FR_1000, FR_1000_SHORT, "mille", FR_1000, ("un million", "millions"))
+
+
+def es_cardinal(n: Column) -> Column:
+    return _by_thousands(n, ES_1000, ES_1000_SHORT, "mil", ES_1000_SHORT, ("un millón", "millones"))
+
+
+CARDINAL = {"en": en_cardinal, "de": de_cardinal, "fr": fr_cardinal, "es": es_cardinal}
 
 
 def digit_words(digits: Column, lang: str) -> Column:
     """Each digit of a string as a word."""
-    table = {"en": EN_SMALL, "de": DE_SMALL}[lang]
+    table = {"en": EN_SMALL, "de": DE_SMALL, "fr": FR_SMALL, "es": ES_SMALL}[lang]
     return F.array_join(F.transform(F.split(digits, ""), lambda d: pick(table, d)), " ")
 
 
@@ -122,3 +184,11 @@ def de_year(y: Column) -> Column:
     high, low = F.floor(y / 100), y % 100
     old = F.concat(pick(DE_100, high), F.lit("hundert"), F.when(low > 0, pick(DE_100, low)).otherwise(F.lit("")))
     return F.when(y.between(1100, 1999), old).otherwise(de_cardinal(y))
+
+
+#: Year words by language; others read a year as a number.
+YEAR = {"en": en_year, "de": de_year}
+
+
+def year_words(y: Column, lang: str) -> Column:
+    return YEAR.get(lang, CARDINAL[lang])(y)

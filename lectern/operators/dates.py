@@ -7,12 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.regexsub import date_boundary, let, like, regex_sub
-from lectern.functions.words import DE_DAYS, DE_MONTHS, EN_DAYS, EN_MONTHS, de_year, en_year, pick
+from lectern.functions.regexsub import DASHES, bound, by_segment, date_boundary, first, last, let, like, numeric_left, regex_sub
+from lectern.functions.words import CARDINAL, DE_DAYS, DE_MONTHS, EN_DAYS, EN_MONTHS, de_year, en_year, pick, year_words
+from lectern.operators import units
 
 YEAR, DAY, MONTH = r"(?:19|20)\d{2}", r"(?:[12]\d|3[01]|0?[1-9])", r"(?:1[0-2]|0?[1-9])"
 NAMES = "|".join(sorted({*DE_MONTHS, *EN_MONTHS, "Maerz"}, key=lambda s: (-len(s), s)))
-#: format -> (pattern, order of its parts)
+#: Languages with words of their own for days and months.
+CURATED = ("de", "en")
+#: Format -> (pattern, order of its parts), as the formats' names say.
 FORMATS = {
     "ymd_dash": (rf"({YEAR})-({MONTH})-({DAY})", "ymd"),
     "dmy_dot": (rf"({DAY})\.({MONTH})\.({YEAR})", "dmy"),
@@ -44,6 +47,10 @@ DEFAULT_FORMATS = {
 }
 
 
+def default_renderer(locale: str) -> str:
+    return "curated" if normalize_locale(locale).split("-")[0] in CURATED else "numeric_fallback"
+
+
 def default_formats(locale: str) -> list[str]:
     lang, _, region = normalize_locale(locale).partition("-")
     if lang == "en" and region in DMY_REGIONS:
@@ -57,20 +64,26 @@ def normalize_locale(locale: str) -> str:
 
 
 def valid_date(day: Column, month: Column, year: Column) -> Column:
-    """A calendar check; without a year the 29th of February passes."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", F.coalesce(year, F.lit(2000)), month, day)).isNotNull()
+    """A calendar check; without a year the 29th of February passes. Days and months below one are not asked for."""
+    y = F.coalesce(year, F.lit(2000))
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).when(month <= 12, 31)
+    return F.coalesce((day >= 1) & (month >= 1) & (day <= days), F.lit(False))
 
 
 def ending(left: Column) -> Column:
-    word = F.lower(F.regexp_extract(left, r"(?U)(\p{L}+)[^\p{L}\p{N}]*\z", 1))
+    word = F.lower(F.regexp_extract(last(left, 80), r"(?U)(\p{L}+)[^\p{L}\p{N}]*\z", 1))
     out = F.lit("er")
     for e, ws in ENDINGS.items():
         out = F.when(word.isin(ws), F.lit(e)).otherwise(out)
     return out
 
 
-def spoken_date(day: Column, month: Column, year: Column, locale: str, left: Column) -> Column:
+def spoken_date(day: Column, month: Column, year: Column, locale: str, left: Column, renderer: str = "curated") -> Column:
+    """A date in words; without words of its own for days and months a language reads numbers."""
     lang, _, region = normalize_locale(locale).partition("-")
+    if renderer == "numeric_fallback" or lang not in CURATED:
+        return F.concat_ws(" ", CARDINAL[lang](day), CARDINAL[lang](month), F.when(year.isNotNull(), year_words(year, lang)))
     if lang == "de":
         return F.concat_ws(" ", F.concat(pick(DE_DAYS, day - 1), ending(left)), pick(DE_MONTHS, month - 1), F.when(year.isNotNull(), de_year(year)))
     name, nth, y = pick(EN_MONTHS, month - 1), pick(EN_DAYS, day - 1), F.when(year.isNotNull(), en_year(year))
@@ -79,21 +92,25 @@ def spoken_date(day: Column, month: Column, year: Column, locale: str, left: Col
 
 def month_number(name: Column, lang: str) -> Column:
     """The month of a name in the locale's own language, else null."""
-    out = F.lit(None).cast("int")
-    for k, n in enumerate(DE_MONTHS if lang == "de" else EN_MONTHS, 1):
-        out = F.when(F.lower(name).isin([n.lower(), "maerz"] if n == "März" else [n.lower()]), F.lit(k)).otherwise(out)
-    return out
+    known = {n.lower(): k for k, n in enumerate({"de": DE_MONTHS, "en": EN_MONTHS}.get(lang, ()), 1)}
+    known |= {"maerz": 3} if lang == "de" else {}
+    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair)) if known else F.create_map(F.lit(""), F.lit(0))
+    return F.try_element_at(table, F.lower(name))
+
 
+def date_parts(match: Column, name: str, lang: str) -> Column:
+    """(day, month, year) of a match of a format; a part is null where the format has none."""
+    parts = FORMATS[name][1]
 
-def date_part(match: Column, name: str, kind: str, lang: str) -> Column:
-    """Day (d), month (m) or year (y) of a match of a format; null where the format has none."""
-    pattern, parts = FORMATS[name]
-    kind = "n" if kind == "m" and "n" in parts else kind
-    k = parts.find(kind)
-    if k < 0:
-        return F.lit(None).cast("int")
-    got = F.regexp_extract(match, f"(?U){pattern}", k + 1)
-    return month_number(got, lang) if kind == "n" else F.try_to_number(F.nullif(got, F.lit("")), F.lit("9999")).cast("int")
+    def named(found: Column) -> Column:
+        def number(kind: str) -> Column:
+            k = parts.find(kind)
+            return F.get(found, F.lit(k)).try_cast("int") if k >= 0 else F.lit(None).cast("int")
+
+        month = month_number(F.get(found, F.lit(parts.find("n"))), lang) if "n" in parts else number("m")
+        return F.struct(number("d").alias("day"), month.alias("month"), number("y").alias("year"))
+
+    return let(F.split(match, r"(?U)[^\p{L}\p{N}]+"), named)
 
 
 def search_pattern(name: str) -> str:
@@ -103,53 +120,80 @@ def search_pattern(name: str) -> str:
     return f"(?i:{search})" if "(?i)" in pattern else search
 
 
-def accepted(match: Column, left: Column, right: Column, name: str, lang: str) -> Column:
-    """Whether a match of a format is a date that stands free."""
-    day, month, year = (date_part(match, name, k, lang) for k in "dmy")
-    ok = date_boundary(left, right) & month.isNotNull() & valid_date(day, month, year)
-    if FORMATS[name][1] == "dm" and "dot" in name:
-        near = r"(?:0?[1-9]|[12]\d|3[01])\.\s*(?:0?[1-9]|1[0-2])\."
+def dotted(name: str) -> bool:
+    """Whether a format ends with the dot of its month, which may also end a sentence."""
+    return name in ("dmy_dot_no_year", "dmy_dot_spaced_no_year")
+
+
+def accepted(parts: Column, left: Column, right: Column, name: str) -> Column:
+    """Whether the parts of a match of a format are those of a date that stands free."""
+    ok = valid_date(parts["day"], parts["month"], parts["year"]) & date_boundary(left, right)
+    if dotted(name):
+        near = rf"{DAY}\.\s*{MONTH}\."
         ok = ok & ~like(left, rf"(?U){near}\s+\z") & ~like(right, rf"(?U)\A\s+{near}")
     return F.coalesce(ok, F.lit(False))
 
 
-def speak_format(text: Column, name: str, locale: str) -> Column:
+#: What a text must hold for a format to occur in it, cheaper to look for than the format.
+MARKS = {"slash": "/", "dash": "-", "dot": "."}
+
+
+def gate(text: Column, name: str) -> Column:
+    marks = [m for word, m in MARKS.items() if word in name]
+    return text.contains(marks[0]) if marks else like(text, r"(?U)\d")
+
+
+def speak_format(text: Column, name: str, locale: str, renderer: str = "curated") -> Column:
     """One pass for one input format."""
     lang = normalize_locale(locale).split("-")[0]
 
     def render(x: Column, left: Column, right: Column) -> Column:
-        day, month, year = (date_part(x, name, k, lang) for k in "dmy")
-        said = spoken_date(day, month, year, locale, left)
-        if FORMATS[name][1] == "dm" and "dot" in name:
-            said = F.concat(said, F.when(like(right, r"(?U)\A[ \t]*(?:\z|[\r\n]|\p{Lu})"), F.lit(".")).otherwise(F.lit("")))
-        return F.when(accepted(x, left, right, name, lang), said)
+        def spoken(p: Column) -> Column:
+            said = spoken_date(p["day"], p["month"], p["year"], locale, left, renderer)
+            if dotted(name):
+                said = F.concat(said, F.when(like(right, r"(?U)\A[ \t]*+(?:\z|[\r\n]|\p{Lu})"), F.lit(".")).otherwise(F.lit("")))
+            return F.when(accepted(p, left, right, name), said)
 
-    return regex_sub(text, search_pattern(name), render, gate=r"(?U)\d")
+        return let(date_parts(x, name, lang), spoken)
 
+    # Within a stretch between tags, whose ends are those of a text.
+    return F.when(gate(text, name), regex_sub(text, search_pattern(name), render, tags=False)).otherwise(text)
 
+
+#: Words before a number that make it an identifier.
 SKIP_WORDS = "code error fehler fehlercode firmware fw id ids model modell pin port v version".split()
-UNITS_AFTER = r"(?iu)\A\s*(?:mbit/s|km/h|kmh|kwh|hpa|mbar|m/s|ppm|ma|kw|wh|kb|mb|gb|mm|cm|bar|km|lx|lm|°c|°f|w|v|a|b|k|m|%|watt|volt|ampere|grad|prozent|percent|degrees?)(?=\z|[\s,.;:!?)\]}])"
+#: Measures that a year is not followed by, beside the units that are spoken and their words.
+MORE_MEASURES = "k m cm mm ppm grad degree degrees kelvin millimeter millimeters millimetre millimetres meter meters metre metres kilometre kilometres".split()
+_UNIT_WORDS = {w for u in units.ALIASES.values() for lang in ("en-US", "de") for w in units.forms(u, lang) if " " not in w}
+_MEASURES = sorted({*map(str.lower, units.ALIASES), *map(str.lower, _UNIT_WORDS), *MORE_MEASURES}, key=lambda w: (-len(w), w))
+UNITS_AFTER = rf"(?iuU)\A\s*+(?:{'|'.join(map(re.escape, _MEASURES))})(?=\z|[\s,.;:!?)\]}}])"
 
 
 def speak_years(text: Column, locale: str, least: int = 1900, most: int = 2099) -> Column:
     """Standalone years in words; years that belong to identifiers, versions or measurements stay."""
-    year = de_year if normalize_locale(locale).startswith("de") else en_year
+    lang = normalize_locale(locale).split("-")[0]
 
     def render(x: Column, left: Column, right: Column) -> Column:
-        y = x.cast("int")
-        before = F.lower(F.regexp_extract(left, r"(?U)(\p{L}+)[^\p{L}\p{N}]*\z", 1))
-        ok = y.between(least, most) & ~like(left, r"(?U)[\p{L}\p{N}_.,:/+\-−–—]\z")
-        ok = ok & ~like(right, r"(?U)\A(?:[\p{L}\p{N}_]|[.,:/+\-−–—]\d)") & ~before.isin(SKIP_WORDS) & ~like(right, UNITS_AFTER)
-        return F.when(ok, year(y))
+        y = x.try_cast("int")
+        before = F.lower(F.regexp_extract(last(left, 80), r"(?U)(\p{L}+)[^\p{L}\p{N}]*\z", 1))
+        ok = y.between(least, most) & numeric_left(left) & ~like(first(right, 2), rf"(?U)\A(?:[\p{{L}}\p{{N}}_]|[.,:/+{DASHES}]\d)")
+        return F.when(ok & ~before.isin(SKIP_WORDS) & ~like(right, UNITS_AFTER), year_words(y, lang))
 
-    return regex_sub(text, r"\d{4}", render, gate=r"(?U)\d{4}")
+    return by_segment(text, lambda t: regex_sub(t, r"\d{4}", render, r"(?U)\d{4}", tags=False))
 
 
-def speak_dates(text: Column, locale: str, formats: list[str] | None = None, years: bool = False) -> Column:
-    """The configured formats in order, each over what the one before returned; years last."""
+@bound
+def speak_dates(text: Column, locale: str, formats: list[str] | None = None, years: bool = False, renderer: str | None = None, least: int = 1900, most: int = 2099) -> Column:
+    """The configured formats in order, each over what the one before returned; years, within least and most, last."""
+    renderer = renderer or default_renderer(locale)
+
     def one_pass(name: str):
-        return lambda t: speak_format(t, name, locale)
+        return lambda t: speak_format(t, name, locale, renderer)
+
+    def every(t: Column) -> Column:
+        for f in default_formats(locale) if formats is None else formats:
+            t = let(t, one_pass(f))
+        return t
 
-    for f in default_formats(locale) if formats is None else formats:
-        text = let(text, one_pass(f))
-    return let(text, lambda t: speak_years(t, locale)) if years else text
+    spoken = F.when(like(text, r"(?U)\d"), by_segment(text, every)).otherwise(text)
+    return let(spoken, lambda t: speak_years(t, locale, least, most)) if years else spoken

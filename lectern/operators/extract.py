@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.regexsub import like, numeric_boundary, regex_find, regex_sub, time_boundary
+from lectern.functions.regexsub import let, like, numeric_boundary, numeric_left, regex_find, regex_sub, time_boundary
 from lectern.operators import dates, times, units
 from lectern.operators.numbers import GROUPED, SIGN, SIMPLE, plain_number
 
@@ -42,21 +42,32 @@ def extract_numbers(df: DataFrame, key: str, lang: str, grouped: bool = False, t
 
 
 def extract_dates(df: DataFrame, key: str, locale: str, formats: list[str] | None = None, text: str = "text") -> DataFrame:
-    """(key, format, pos, token, day, month, year) of the accepted dates.
+    """(key, format, pos, token, day, month, year) of the accepted dates, in one scan and one explode.
 
     pos counts the matches of one format. A format sees what the ones before it left: their dates are
     blanked out by a letter, as words would stand there.
     """
-    lang, out = dates.normalize_locale(locale).split("-")[0], None
-    rest = F.col(text)
-    for name in dates.default_formats(locale) if formats is None else formats:
+    lang, names = dates.normalize_locale(locale).split("-")[0], list(dates.default_formats(locale) if formats is None else formats)
+    kind = "array<struct<format:string,pos:int,token:string,day:int,month:int,year:int>>"
+
+    def after(rest: Column, k: int) -> Column:
+        if k == len(names):
+            return F.array().cast(kind)
+        name = names[k]
         pattern = dates.search_pattern(name)
-        ok = lambda x, left, right, name=name: dates.accepted(x, left, right, name, lang)
-        rows = _tokens(df, key, rest, pattern, r"(?U)\d").filter(ok(F.col("token"), F.col("_left"), F.col("_right")))
-        found = rows.select(key, F.lit(name).alias("format"), "pos", "token", *(dates.date_part(F.col("token"), name, k[0], lang).alias(k) for k in ("day", "month", "year")))
-        out = found if out is None else out.unionByName(found)
-        df = df.withColumn(text, regex_sub(rest, pattern, lambda x, left, right, ok=ok: F.when(ok(x, left, right), F.lit("x")), r"(?U)\d"))
-    return out
+
+        def ok(x: Column, left: Column, right: Column) -> Column:
+            return let(dates.date_parts(x, name, lang), lambda p: dates.accepted(p, left, right, name))
+
+        def one(m: Column, i: Column) -> Column:
+            parts = dates.date_parts(m["token"], name, lang)
+            return let(parts, lambda p: F.when(dates.accepted(p, m["left"], m["right"], name), F.struct(F.lit(name).alias("format"), i.alias("pos"), m["token"].alias("token"), p["day"].alias("day"), p["month"].alias("month"), p["year"].alias("year"))))
+
+        found = F.array_compact(F.transform(regex_find(rest, pattern, r"(?U)\d"), one)).cast(kind)
+        left = regex_sub(rest, pattern, lambda x, a, b: F.when(ok(x, a, b), F.lit("x")), r"(?U)\d")
+        return F.concat(F.when(dates.gate(rest, name), found).otherwise(F.array().cast(kind)), let(F.when(dates.gate(rest, name), left).otherwise(rest), lambda t: after(t, k + 1)))
+
+    return df.filter(like(F.col(text), r"(?U)\d")).select(F.col(key), F.explode(let(F.col(text), lambda t: after(t, 0))).alias("_d")).select(key, "_d.*")
 
 
 def extract_times(df: DataFrame, key: str, locale: str, text: str = "text") -> DataFrame:
@@ -64,7 +75,9 @@ def extract_times(df: DataFrame, key: str, locale: str, text: str = "text") -> D
     lang = locale.split("-")[0].lower()
     rows = _tokens(df, key, F.col(text), rf"{times.RANGE}|\d+:\d{{2}}:\d{{2}}|\d+:\d{{2}}\s*[hH](?![A-Za-z_])|{times.CLOCK}", r"(?U)\d:\d{2}")
     kind = F.when(like(F.col("token"), rf"\A(?:{times.RANGE})\z"), F.lit("range")).when(like(F.col("token"), r"\A\d+:\d{2}(?::\d{2}|\s*[hH])\z"), F.lit("duration")).otherwise(F.lit("clock"))
-    ok = time_boundary(F.col("_left"), F.col("_right")) & ((kind != "clock") | times.clock_words(F.col("token"), lang).isNotNull())
+    token, left, right = F.col("token"), F.col("_left"), F.col("_right")
+    said = F.when(kind == "range", times.range_words(token, lang)).when(kind == "duration", times.duration_said(token, right, lang)).otherwise(times.clock_words(token, lang))
+    ok = time_boundary(left, right) & said.isNotNull()
     return rows.select(key, "pos", "token", kind.alias("kind"), ok.alias("accepted"))
 
 
@@ -78,7 +91,7 @@ def extract_measurements(df: DataFrame, key: str, locale: str, grouped: bool = F
     for a in reversed(ordered):
         unit = F.when(name == a if a in units.EXACT else F.lower(name) == a.lower(), F.lit(units.ALIASES[a])).otherwise(unit)
     value = parse_number(F.regexp_extract("token", rf"(?U)\A({number})", 1), grouped, locale)
-    free = ~like(F.col("_left"), r"(?U)[\p{L}\p{N}_.,:/+\-−–—]\z")
+    free = numeric_left(F.col("_left")) & units.stands_whole(F.regexp_extract("token", rf"(?U)\A({number})", 1), F.col("_left"), grouped)
     return rows.filter(free & value.isNotNull()).select(key, "pos", "token", unit.alias("unit"), value.alias("value"))
 
 
@@ -91,3 +104,9 @@ def neighbours(tokens: DataFrame, key: str) -> DataFrame:
 def left_alone(tokens: DataFrame, k: int) -> DataFrame:
     """The k tokens most often rejected, with their counts: what still needs a rule."""
     return tokens.filter("kind = 'rejected'").groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(k)
+
+
+def token_rollup(df: DataFrame, lang: str, by: list[str], text: str = "text") -> DataFrame:
+    """(by, kind, n, n_distinct): numeric tokens by kind under each of the columns, with subtotals."""
+    tokens = extract_numbers(df.select(F.struct(*by).alias("_by"), text), "_by", lang, text=text)
+    return tokens.select("_by.*", "kind", "token").rollup(*by, "kind").agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_distinct"))

@@ -11,9 +11,18 @@ from lectern.functions.words import CARDINAL, MINUS, POINT, digit_words
 SIGN = r"[-−–—]"
 SPACES = r"[    ]"
 SIMPLE = rf"{SIGN}?\d+(?:[.,]\d+)?"
-GROUPED = rf"{SIGN}?(?:\d{{1,3}}(?:{SPACES}\d{{3}})+(?:[.,]\d+)?|\d{{1,3}}(?:\.\d{{3}})+(?:,\d+)?|\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:[.,]\d+)?)"
+
+
+def groups_of_three(mark: str, point: str) -> str:
+    """Digits in groups by a mark, perhaps with a fraction behind a point."""
+    return rf"\d{{1,3}}(?:{mark}\d{{3}})+(?:{point}\d+)?"
+
+
+#: Grouped by spaces, by dots before a comma, by commas before a dot; else plain. The leftmost that fits wins.
+GROUPED = rf"{SIGN}?(?:" + "|".join([groups_of_three(SPACES, "[.,]"), groups_of_three(r"\.", ","), groups_of_three(",", r"\."), SIMPLE.removeprefix(f"{SIGN}?")]) + ")"
 MAX_INTEGER, MAX_FRACTION = 9, 6
-GROUP_MARK = {"de": ".", "en": ","}
+#: The mark between thousands.
+GROUP_MARK = {"de": ".", "en": ",", "es": "."}
 
 
 def plain_number(token: Column, grouped: bool = False, hint: str = "") -> Column:
@@ -42,9 +51,9 @@ def plain_number(token: Column, grouped: bool = False, hint: str = "") -> Column
     return out.when(like(u, r"\A\d+[.,]\d+\z"), parts(F.regexp_extract(u, r"\A(\d+)", 1), F.regexp_extract(u, r"(\d+)\z", 1)))
 
 
-def number_words(token: Column, lang: str, grouped: bool = False) -> Column:
-    """The words of one numeric token, or null."""
-    cardinal = CARDINAL[lang]
+def number_words(token: Column, lang: str, grouped: bool = False, hint: str = "", speller=None) -> Column:
+    """The words of one numeric token, or null. speller: whole number to words, in place of the language's own."""
+    cardinal = speller or CARDINAL[lang]
     negative = like(token, rf"\A{SIGN}")
 
     def body(p: Column) -> Column:
@@ -56,10 +65,19 @@ def number_words(token: Column, lang: str, grouped: bool = False) -> Column:
         spoken = F.when(lead, digit_words(integer, lang)).when(has, F.concat_ws(" ", cardinal(value), F.lit(POINT[lang]), digit_words(fraction, lang))).otherwise(cardinal(value))
         return F.when(p.isNotNull(), F.concat_ws(" ", sign, spoken))
 
-    return let(plain_number(token, grouped, lang), body)
+    return let(plain_number(token, grouped, hint or lang), body)
 
 
-def speak_numbers(text: Column, lang: str, grouped: bool = False) -> Column:
-    """text with every eligible number in words; identifiers, versions, addresses and dates stay."""
-    spoken = lambda x, left, right: F.when(numeric_boundary(x, left, right), number_words(x, lang, grouped))
+def is_ipv4(token: Column) -> Column:
+    """Whether a text is an address of four numbers up to 255."""
+    parts = F.split(token, r"\.", -1)
+    return F.coalesce((F.size(parts) == 4) & F.forall(parts, lambda p: like(p, r"\A[0-9]{1,9}\z") & (p.try_cast("int") <= 255)), F.lit(False))
+
+
+def speak_numbers(text: Column, lang: str, grouped: bool = False, hint: str = "", speller=None) -> Column:
+    """text with every eligible number in words; identifiers, versions, addresses and dates stay.
+
+    hint: the locale that decides whether 1.342 is grouped; speller: as for number_words, may call a pandas_udf.
+    """
+    spoken = lambda x, left, right: F.when(numeric_boundary(x, left, right), number_words(x, lang, grouped, hint, speller))
     return regex_sub(text, GROUPED if grouped else SIMPLE, spoken, gate=r"(?U)\d")

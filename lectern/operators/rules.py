@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.regexsub import TAG, let
+from lectern.functions.regexsub import TAG, by_segment, sealed, unsealed
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,10 @@ def by_python(text: Column, rule: Rule, count: bool = False) -> Column:
     flags = re.IGNORECASE if rule.ignore_case else 0
 
     def parts(t: str) -> list[str]:
-        return re.split(f"({TAG})", t)  # tags at odd places
+        """Stretches of text, with tags at odd places; openers behind the last closer begin none."""
+        end = max(t.rfind(">"), t.rfind("]")) + 1
+        found = re.split(f"({TAG})", t[:end])
+        return [*found[:-1], found[-1] + t[end:]]
 
     @F.pandas_udf("long" if count else "string")
     def changed(texts: pd.Series) -> pd.Series:
@@ -87,17 +90,6 @@ def java_replacement(rule: Rule) -> str:
     return re.sub(r"\\g<(\w+)>", lambda m: f"${m[1]}" if m[1].isdigit() else f"${{{m[1]}}}", re.sub(r"\\(\d)", r"$\1", text))
 
 
-def by_segment(text: Column, change) -> Column:
-    """change(plain text) on every stretch between control tags; the tags stay as they are."""
-    whole = f"(?U)(?:{TAG})"
-
-    def rebuilt(m: Column, g: Column) -> Column:
-        return F.array_join(F.flatten(F.transform(g, lambda s, i: F.array(change(s), F.coalesce(F.get(m, i), F.lit(""))))), "")
-
-    found = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
-    return let(found, lambda m: F.when(F.size(m) == 0, change(text)).otherwise(rebuilt(m, F.split(text, whole, -1))))
-
-
 def apply_rule(text: Column, rule: Rule) -> Column:
     if python_only(rule):
         return by_python(text, rule)
@@ -110,7 +102,7 @@ def count_hits(text: Column, rule: Rule) -> Column:
     """The matches of a rule in the stretches between control tags."""
     if python_only(rule):
         return by_python(text, rule, count=True)
-    found = F.transform(F.split(text, f"(?:{TAG})", -1), lambda t: F.regexp_count(t, F.lit(java_pattern(rule))))
+    found = F.transform(unsealed(text, F.split(sealed(text), f"(?:{TAG})", -1)), lambda t: F.regexp_count(t, F.lit(java_pattern(rule))))
     return F.aggregate(found, F.lit(0).cast("long"), lambda n, k: n + k)
 
 
@@ -135,9 +127,11 @@ def rule_hits(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame
 
 def extract_tags(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, pos, tag) of every control tag."""
-    return df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(f"(?:{TAG})"), F.lit(0))).alias("pos", "tag"))
+    return df.select(key, F.posexplode(F.regexp_extract_all(sealed(F.col(text)), F.lit(f"(?:{TAG})"), F.lit(0))).alias("pos", "tag"))
 
 
 def join_lines(text: Column) -> Column:
     """Each run of line breaks with the blanks around it as one space; tags stay."""
-    return by_segment(text, lambda t: F.regexp_replace(t, r"[ \t]*[\r\n]+(?:[ \t]*[\r\n]+)*[ \t]*", " "))
+    # A match can begin only where a run of blanks and line breaks does, so long runs are read once.
+    broken = r"(?<![ \t\r\n])[ \t]*+[\r\n][ \t\r\n]*+"
+    return by_segment(text, lambda t: F.regexp_replace(t, broken, " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.regexsub import let, like, regex_sub, time_boundary
+from lectern.functions.regexsub import bound, by_segment, let, like, regex_sub, time_boundary
 from lectern.functions.words import DE_100, EN_100, de_cardinal, en_cardinal, pick
 
 SUFFIX = r"(?i:uhr|a\.m\.|p\.m\.|am|pm)"
@@ -38,32 +38,44 @@ def duration_words(hours: Column, minutes: Column, seconds: Column, lang: str) -
     return F.when((minutes <= 59) & (seconds <= 59), F.when(said == "", F.lit("null Sekunden" if de else "zero seconds")).otherwise(said))
 
 
+def range_words(token: Column, lang: str) -> Column:
+    """The words of a clock range, or null where an end or the word between them is not of the language."""
+    word, other = ("bis", "to") if lang == "de" else ("to", "bis")
+    head, tail = F.regexp_extract(token, rf"\A({CLOCK})", 1), F.regexp_extract(token, rf"(?:-|–|—|(?i:bis|to))\s*({CLOCK})\z", 1)
+    foreign = like(token, rf"(?i)(?<![a-z]){other}(?![a-z])")
+    return F.when(~foreign, F.concat(clock_words(head, lang), F.lit(f" {word} "), clock_words(tail, lang)))
+
+
+def duration_said(token: Column, right: Column, lang: str) -> Column:
+    """The words of H:MM:SS or H:MMh, or null; a mark of clock times behind the seconds makes it none."""
+
+    def said(p: Column) -> Column:
+        h, m, s = (F.get(p, F.lit(k)).try_cast("int") for k in range(3))
+        marked = s.isNotNull() & like(right, rf"(?U)\A\s*+{SUFFIX}(?=\z|[\s,.;:!?)\]}}])")
+        return F.when(~marked, duration_words(h, m, F.coalesce(s, F.lit(0)), lang))
+
+    return let(F.split(F.regexp_replace(token, r"(?U)\s*[hH]\z", ""), ":"), said)
+
+
+@bound
 def speak_times(text: Column, locale: str, clocks: bool = True, ranges: bool = True, durations: bool = False) -> Column:
     """text with ranges, then durations, then clock times in words."""
     lang = locale.split("-")[0].lower()
-    word, other = ("bis", "to") if lang == "de" else ("to", "bis")
 
-    def one_range(x: Column, left: Column, right: Column) -> Column:
-        first, last = F.regexp_extract(x, rf"\A({CLOCK})", 1), F.regexp_extract(x, rf"(?:-|–|—|(?i:bis|to))\s*({CLOCK})\z", 1)
-        foreign = like(x, rf"(?i)(?<![a-z]){other}(?![a-z])")
-        return F.when(time_boundary(left, right) & ~foreign, F.concat(clock_words(first, lang), F.lit(f" {word} "), clock_words(last, lang)))
-
-    def hms(x: Column, left: Column, right: Column) -> Column:
-        h, m, s = (F.regexp_extract(x, r"(\d+):(\d+):(\d+)", k).cast("int") for k in (1, 2, 3))
-        marked = like(right, rf"(?U)\A\s*{SUFFIX}(?=\z|[\s,.;:!?)\]}}])")
-        return F.when(time_boundary(left, right) & ~marked, duration_words(h, m, s, lang))
-
-    def hm(x: Column, left: Column, right: Column) -> Column:
-        h, m = (F.regexp_extract(x, r"(\d+):(\d+)", k).cast("int") for k in (1, 2))
-        return F.when(time_boundary(left, right), duration_words(h, m, F.lit(0), lang))
-
-    def clock(x: Column, left: Column, right: Column) -> Column:
-        return F.when(time_boundary(left, right), clock_words(x, lang))
-
-    gate = r"(?U)\d:\d{2}"
-    if ranges:
-        text = let(text, lambda t: regex_sub(t, RANGE, one_range, gate))
-    if durations:
-        text = let(text, lambda t: regex_sub(t, r"\d+:\d{2}:\d{2}", hms, gate))
-        text = let(text, lambda t: regex_sub(t, r"\d+:\d{2}\s*[hH](?![A-Za-z_])", hm, gate))
-    return let(text, lambda t: regex_sub(t, CLOCK, clock, gate)) if clocks else text
+    def free(words):
+        return lambda x, left, right: F.when(time_boundary(left, right), words(x, right))
+
+    passes = [(ranges, RANGE, free(lambda x, right: range_words(x, lang)))]
+    passes += [(durations, p, free(lambda x, right: duration_said(x, right, lang))) for p in (r"\d+:\d{2}:\d{2}", r"\d+:\d{2}\s*[hH](?![A-Za-z_])")]
+    passes += [(clocks, CLOCK, free(lambda x, right: clock_words(x, lang)))]
+
+    def one_pass(pattern: str, render):
+        return lambda t: regex_sub(t, pattern, render, tags=False)
+
+    def every(t: Column) -> Column:
+        for on, pattern, render in passes:
+            if on:
+                t = let(t, one_pass(pattern, render))
+        return t
+
+    return F.when(text.contains(":") & like(text, r"(?U)\d:\d{2}"), by_segment(text, every)).otherwise(text)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.regexsub import like, regex_sub
+from lectern.functions.regexsub import DASHES, GROUP_SPACES, last, like, numeric_left, regex_sub
 from lectern.operators.numbers import GROUPED, SIMPLE, plain_number
 
 # Alias -> unit (case matters for V, A, B and %), and the spoken forms.
@@ -50,6 +50,12 @@ def forms(unit: str, locale: str) -> tuple[str, str]:
     return english_forms(unit)
 
 
+def stands_whole(number: Column, left: Column, grouped: bool) -> Column:
+    """Whether a number before a unit is no part of a larger group; without grouping 1.000 is left alone."""
+    ok = ~like(last(left, 5), rf"(?U)(?:\A|\D)\d{{1,3}}{GROUP_SPACES}\z")
+    return ok if grouped else ok & ~like(number, rf"\A[{DASHES}]?[1-9]\d{{0,2}}[.,]\d{{3}}\z")
+
+
 def speak_units(text: Column, locale: str, grouped: bool = False, hint: str = "") -> Column:
     """text with every measurement's unit in words; the number's text stays, one space follows it."""
     ordered = sorted(ALIASES, key=lambda a: -len(a))
@@ -66,9 +72,7 @@ def speak_units(text: Column, locale: str, grouped: bool = False, hint: str = ""
             same = u == a if a in EXACT else F.lower(u) == a.lower()
             single, plural = forms(ALIASES[a], locale)
             said = F.when(same, F.when(one, F.lit(single)).otherwise(F.lit(plural))).otherwise(said)
-        ok = ~like(left, r"(?U)[\p{L}\p{N}_.,:/+\-−–—]\z") & ~like(left, r"(?U)(?:\A|\D)\d{1,3}[    ]\z")
-        if not grouped:
-            ok = ok & ~like(n, r"\A[-−–—]?[1-9]\d{0,2}[.,]\d{3}\z")
+        ok = numeric_left(left) & stands_whole(n, left, grouped)
         return F.when(ok & parts.isNotNull(), F.concat(n, F.lit(" "), said))
 
     return regex_sub(text, rf"{number}\s*(?:{alias})(?![\w/])", render, gate=r"(?U)\d")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import dates, emoji, markdown, numbers, rules, times, units
@@ -12,7 +13,7 @@ from lectern.operators import dates, emoji, markdown, numbers, rules, times, uni
 
 @dataclass(frozen=True)
 class Profile:
-    """What is done for one output language; every stage is off unless set."""
+    """What is done for one output language; every stage is off unless set, and speaks ``locale`` unless it has its own."""
 
     locale: str = "en-US"
     rules: tuple = ()
@@ -30,30 +31,72 @@ class Profile:
     markdown_skip: tuple[str, ...] = ()  # names of Markdown steps left out
     remove_code: bool = False
     remove_urls: bool = False
+    emoji_language: str = ""
+    date_locale: str = ""
+    date_renderer: str | None = None
+    year_min: int = 1900
+    year_max: int = 2099
+    time_locale: str = ""
+    clocks: bool = True
+    ranges: bool = True
+    unit_locale: str = ""
+    number_language: str = ""
 
 
-def normalize(df: DataFrame, p: Profile, text: str = "text") -> DataFrame:
+def language(locale: str) -> str:
+    return dates.normalize_locale(locale).split("-")[0]
+
+
+def stages(p: Profile, speller=None, emoji_table: dict[str, str] | None = None) -> list[tuple[str, tuple, Callable[[Column], Column]]]:
+    """(name, settings, function of a text) of each stage that is on, in the fixed order.
+
+    Equal settings mean equal functions, so that profiles can share a stage. speller and emoji_table
+    replace the words of numbers and add names of emoji.
+    """
+    number = p.number_language or p.locale
+    hint = p.number_language or p.unit_locale or p.locale
+    date, time, unit = p.date_locale or p.locale, p.time_locale or p.locale, p.unit_locale or p.locale
+    said = p.emoji_language or emoji.default_language(p.locale)
+    formats = tuple(p.formats) if p.formats is not None else tuple(dates.default_formats(date))
+    every = [
+        *((True, f"rule{k}", (r,), lambda t, r=r: rules.apply_rule(t, r)) for k, r in enumerate(p.rules) if r.enabled),
+        (p.markdown, "markdown", (p.markdown_skip, p.remove_code, p.remove_urls), lambda t: markdown.clean_markdown(t, p.markdown_skip, p.remove_code, p.remove_urls)),
+        (p.lines, "lines", (), rules.join_lines),
+        (p.emoji == "remove", "emoji", ("remove",), emoji.remove_emoji),
+        (p.emoji == "spell_out", "emoji", (said,), lambda t: emoji.spell_emoji(t, said, emoji_table)),
+        (p.dates, "dates", (date, formats, p.years, p.date_renderer, p.year_min, p.year_max), lambda t: dates.speak_dates(t, date, list(formats), p.years, p.date_renderer, p.year_min, p.year_max)),
+        (p.times, "times", (time, p.clocks, p.ranges, p.durations), lambda t: times.speak_times(t, time, p.clocks, p.ranges, p.durations)),
+        (p.units, "units", (unit, p.grouped, hint), lambda t: units.speak_units(t, unit, p.grouped, hint)),
+        (p.numbers, "numbers", (language(number), p.grouped, number), lambda t: numbers.speak_numbers(t, language(number), p.grouped, number, speller)),
+    ]
+    return [(name, settings, f) for on, name, settings, f in every if on]
+
+
+def normalize(df: DataFrame, p: Profile, text: str = "text", speller=None, emoji_table: dict[str, str] | None = None) -> DataFrame:
     """df with its text normalised, stage by stage; narrow projections only."""
-    lang = p.locale.split("-")[0]
-    df = rules.apply_rules(df, list(p.rules), text)
-    stages = [
-        (p.markdown, lambda t: markdown.clean_markdown(t, p.markdown_skip, p.remove_code, p.remove_urls)),
-        (p.lines, rules.join_lines),
-        (p.emoji == "remove", emoji.remove_emoji),
-        (p.emoji == "spell_out", lambda t: emoji.spell_emoji(t, lang)),
-        (p.dates, lambda t: dates.speak_dates(t, p.locale, list(p.formats) if p.formats else None, p.years)),
-        (p.times, lambda t: times.speak_times(t, p.locale, durations=p.durations)),
-        (p.units, lambda t: units.speak_units(t, p.locale, p.grouped)),
-        (p.numbers, lambda t: numbers.speak_numbers(t, lang, p.grouped)),
-    ]
-    for on, stage in stages:
-        if on:
-            df = df.withColumn(text, stage(F.col(text)))
+    for _, _, stage in stages(p, speller, emoji_table):
+        df = df.withColumn(text, stage(F.col(text)))
     return df
 
 
+def change_rates(df: DataFrame, p: Profile, by: str, text: str = "text") -> DataFrame:
+    """(by, stage, n, changed): how many texts each stage of a profile alters, in one scan."""
+    names, flags = [], []
+    for k, (name, _, stage) in enumerate(stages(p)):
+        after, flag = f"_after{k}", f"_changed{k}"
+        before = text if k == 0 else f"_after{k - 1}"
+        df = df.withColumn(after, stage(F.col(before))).withColumn(flag, (~F.col(after).eqNullSafe(F.col(before))).cast("long"))
+        names.append(name)
+        flags.append(flag)
+    sums = df.groupBy(by).agg(F.count("*").alias("n"), *(F.sum(f).alias(f) for f in flags))
+    each = F.array(*(F.struct(F.lit(n).alias("stage"), F.col(f).alias("changed")) for n, f in zip(names, flags, strict=True)))
+    return sums.select(by, "n", F.inline(each)).select(by, "stage", "n", "changed")
+
+
 def normalize_distinct(df: DataFrame, p: Profile, text: str = "text") -> DataFrame:
-    """Like normalize, with each distinct text worked on once and joined back."""
-    once = df.select(F.col(text).alias("_text")).distinct().withColumn("_said", F.col("_text"))
-    said = normalize(once, p, "_said")
-    return df.join(said, df[text].eqNullSafe(said["_text"])).withColumn(text, F.col("_said")).drop("_text", "_said")
+    """Like normalize, with each distinct text worked on once and joined back by its 128-bit hash."""
+    key, said = "_text_key", "_text_said"
+    hashed = df.withColumn(key, F.when(F.col(text).isNotNull(), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))))
+    # By hash the copies of a text meet before its stages run; texts of one hash are one text.
+    once = hashed.filter(F.col(key).isNotNull()).groupBy(key).agg(F.first(text).alias(said))
+    return hashed.join(normalize(once, p, said), key, "left").withColumn(text, F.col(said)).drop(key, said)
