@@ -243,7 +243,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
                 for i, near in enumerate(audited(g, q, least - 1e-4)):
                     near = near[ids[near] != rep[i]]
                     if len(near):
-                        near = near[unit(raw[near]) @ exact[i] >= least]
+                        # Single precision decides what is far from the line; what is near it is computed in double.
+                        clear = g.x[near] @ q[i] >= least + 1e-4
+                        edge = near[~clear]
+                        near = np.concatenate([near[clear], edge[unit(raw[edge]) @ exact[i] >= least]]) if len(edge) else near
                     if len(near):
                         total[i] += m[near].sum()
                         forest.join(int(place[i]), place[len(rep) + near])
