@@ -62,19 +62,17 @@ def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
     sizes of the partitions before, so that no window and no group holds more than one partition.
     Rows that tie in every column of the order are ranked in any way, so the order should be total.
     """
-    spark, pid = df.sparkSession, F.shiftright(F.col("_at"), 33)
-    dealt = written(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ).withColumn("_part", pid)
-    counts = dealt.groupBy("_part").agg((F.max(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))) + 1).alias("_n"))
+    spark, (at, part, start) = df.sparkSession, fresh(df, "_at", "_part", "_start")
+    low = F.lit((1 << 33) - 1)
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(F.col(at), 33))
+    counts = dealt.groupBy(part).agg((F.max(F.col(at).bitwiseAND(low)) + 1).alias("n"))
     # One row for each partition: its count is that of spark.sql.shuffle.partitions at most.
-    starts, at = [], 0
-    for part, n in sorted(counts.collect()):
-        starts.append((part, at))
-        at += n
-    first = spark.createDataFrame(starts or [(0, 0)], "_part long, _start long")
-    index = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return dealt.join(F.broadcast(first), "_part").withColumn(name, index + F.col("_start")).drop("_at", "_part", "_start")
+    starts, upto = [], 0
+    for p, n in sorted(counts.collect()):
+        starts.append((p, upto))
+        upto += n
+    first = spark.createDataFrame(starts or [(0, 0)], f"{part} long, {start} long")
+    return dealt.join(F.broadcast(first), part).withColumn(name, F.col(at).bitwiseAND(low) + F.col(start)).drop(at, part, start)
 
 
 #: Bytes up to which a counted table is broadcast.

@@ -5,7 +5,8 @@ gets the fractional rank (r + 1/2) / n; all rows are sorted by it and cut into r
 differ by one at most. Each run then holds every source in the proportion of the whole.
 
 Edge cases: a null source is a source of its own; a null text has size 1; rows that repeat are kept
-and ordered among themselves by size and checksum; fewer rows than shards leave some shards empty.
+and ordered among themselves by size and checksum; fewer rows than shards leave some shards empty; an empty
+table gives an empty result; further columns, whatever their names, stay and break ties.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import global_rank, small, source_key, written
+from lectern.llm.common import fresh, global_rank, small, source_key, written
 
 
 def stratified_shards(rows: DataFrame, shards: int, seed: str = "lectern", key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -21,22 +22,23 @@ def stratified_shards(rows: DataFrame, shards: int, seed: str = "lectern", key:
 
     Both ranks come from range partitions, so a source with any share of the rows is spread evenly.
     """
+    src, mix, g, f, low, n = fresh(rows, "_src", "_mix", "_g", "_f", "_first", "_n")
     seeded = rows.withColumns(
-        {"_src": source_key(F.col(source)), "_mix": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))}
+        {src: source_key(F.col(source)), mix: F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))}
     )
     ties = [c for c in rows.columns if c != source]
-    ranked = global_rank(seeded, ["_src", "_mix", *ties], "_g")
+    ranked = global_rank(seeded, [src, mix, *ties], g)
     # One row for each source, broadcast so that a hot source's rows stay where they are.
-    per_source = small(written(ranked.groupBy("_src").agg(F.min("_g").alias("_first"), F.count("*").alias("_n"))))
-    place = (2 * (F.col("_g") - F.col("_first")) + 1) / (2 * F.col("_n"))
-    placed = ranked.join(per_source, "_src").withColumn("_f", place).drop("_g", "_first", "_n")
-    final = global_rank(placed, ["_f", "_src", "_mix", *ties], "_g")
-    n = max(final.count(), 1)
-    # Shard k starts at the first g with floor(g * shards / n) = k.
-    shard = f"((_g * {shards}) div {n})"
-    return final.withColumns(
-        {"shard": F.expr(shard).cast("int"), "slot": F.expr(f"_g - ({shard} * {n} + {shards - 1}) div {shards}")}
-    ).drop("_g", "_f", "_src", "_mix")
+    per_source = small(written(ranked.groupBy(src).agg(F.min(g).alias(low), F.count("*").alias(n))))
+    place = (2 * (F.col(g) - F.col(low)) + 1) / (2 * F.col(n))
+    placed = ranked.join(per_source, src).withColumn(f, place).drop(g, low, n)
+    final = global_rank(placed, [f, src, mix, *ties], g)
+    count = max(final.count(), 1)
+    # Shard k starts at the first g with floor(g * shards / count) = k.
+    shard = f"((`{g}` * {shards}) div {count})"
+    return final.select(
+        *rows.columns, F.expr(shard).cast("int").alias("shard"), F.expr(f"`{g}` - ({shard} * {count} + {shards - 1}) div {shards}").alias("slot")
+    )
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
