@@ -13,9 +13,11 @@ CHUNKS = "stream_id long, seq long, chunk string, is_last boolean, ts timestamp"
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share; a temporary one if unset."""
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share; in local mode a temporary one if unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-speech-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/speech-{uuid.uuid4().hex}"
