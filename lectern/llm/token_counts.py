@@ -1,6 +1,6 @@
 """Operator 5, edit-aware token counts.
 
-A document's pre-tokens are the leaves, a few dozen each, of a segment tree with sums of characters and
+A document's pre-tokens are the leaves, sixteen each, of a segment tree with sums of characters and
 tokens at every node. ``token_trees`` keeps the leaf sums as a table; ``count_edited`` reads them beside the text.
 An edit finds its leaves by descending the character sums, re-encodes them together with as much
 context as can change their pre-tokens, and updates the sums on the paths to the root; everything else keeps its
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import written
 
-LEAF = 32
+LEAF = 16
 CACHE = 1 << 17
 EDIT = "array<struct<start:int,end:int,replacement:string>>"
 
