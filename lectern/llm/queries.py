@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, hnsw, mil, mixing, quality, secrets, sharding, simhash, token_counts, warc
+from lectern.llm import bpe, hnsw, licenses, mil, mixing, quality, ranked, secrets, sharding, simhash, token_counts, warc, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,17 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_quality_classifier": mil.op9_quality_classifier,
         "op10_embedding_near_dedup": hnsw.op10_embedding_near_dedup,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_ranked_search": ranked.op12_ranked_search,
+        "op13_license_scans": licenses.op13_license_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL, "op2_warc": warc.OP2_SQL, "op3_sharding": sharding.OP3_SQL, "op10_embedding_near_dedup": hnsw.OP10_SQL}
+    return {
+        "op1_quality_rules": quality.OP1_SQL,
+        "op2_warc": warc.OP2_SQL,
+        "op3_sharding": sharding.OP3_SQL,
+        "op10_embedding_near_dedup": hnsw.OP10_SQL,
+        "op12_ranked_search": ranked.OP12_SQL,
+    }
