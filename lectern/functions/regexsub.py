@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 TAG = r"<[^>]*>|\[[^\]]*\]"
 #: Stand for openers < and [ behind the last closer, which can begin no tag.
 SEALS = "\ue002\ue003"
+#: Stands for a match where a text is parted.
+PART = "\ue004"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,14 +64,27 @@ def unsealed(text: Column, parts: Column) -> Column:
     return F.when(_has_seals(text), parts).otherwise(F.transform(parts, back))
 
 
+def parted(text: Column, pattern: str) -> Column:
+    """What stands between the matches of a pattern, as split gives it.
+
+    Substitution keeps its compiled pattern from row to row, which a split does not; so matches become one
+    character of private use, at which a split needs no pattern. Texts with that character are split plainly.
+    """
+    return F.when(text.contains(PART), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, PART), PART, -1))
+
+
 @bound
 def by_segment(text: Column, change: Callable[[Column], Column]) -> Column:
-    """change(plain text) on every stretch between control tags; the tags stay as they are."""
+    """change(plain text) on every stretch between control tags; the tags stay as they are.
+
+    Null where change gives null for any stretch.
+    """
     whole, closed = f"(?U)(?:{TAG})", sealed(text)
     closers = text.contains(">") | text.contains("]")
-    gaps = F.when(closers, unsealed(text, F.split(closed, whole, -1))).otherwise(F.array(text))
+    gaps = F.when(closers, unsealed(text, parted(closed, whole))).otherwise(F.array(text))
     tags = F.when(closers, F.regexp_extract_all(closed, F.lit(whole), F.lit(0)))
-    done = let(tags, lambda m: F.array_join(F.transform(gaps, lambda s, i: F.concat(change(s), F.coalesce(F.get(m, i), F.lit("")))), ""))
+    joined = lambda parts: F.when(~F.exists(parts, lambda x: x.isNull()), F.array_join(parts, ""))
+    done = let(tags, lambda m: let(F.transform(gaps, lambda s, i: F.concat(change(s), F.coalesce(F.get(m, i), F.lit("")))), joined))
     return F.when(text.isNotNull(), done)
 
 
@@ -77,15 +92,24 @@ def is_tag(match: Column) -> Column:
     return match.startswith("<") | match.startswith("[")
 
 
-def sides(m: Column, g: Column, i: Column, tags: bool = True) -> tuple[Column, Column]:
-    """The original text left and right of match i, given all matches and the gaps around them."""
+def sides(m: Column, g: Column, i: Column, tags: bool = True, reach: int = 0) -> tuple[Column, Column]:
+    """The original text left and right of match i, given all matches and the gaps around them.
+
+    Each side ends with the neighbouring match; with reach, the left holds that many characters, however
+    many matches are among them.
+    """
 
     def beyond(k: Column) -> Column:
         if not tags:
             return F.coalesce(F.get(m, k), F.lit(""))
         return F.when(F.coalesce(is_tag(F.get(m, k)), F.lit(True)), F.lit("")).otherwise(F.get(m, k))
 
-    return F.concat(beyond(i - 1), F.get(g, i)), F.concat(F.get(g, i + 1), beyond(i + 1))
+    left = F.concat(beyond(i - 1), F.get(g, i))
+    if reach and not tags:
+        pairs = lambda first: F.array_join(F.transform(F.slice(g, first + 1, i - first), lambda x, k: F.concat(x, F.get(m, first + k))), "")
+        far = let(F.greatest(i - reach, F.lit(0)), pairs)
+        left = F.when((F.length(left) < reach) & (i > 0), F.concat(far, F.get(g, i))).otherwise(left)
+    return left, F.concat(F.get(g, i + 1), beyond(i + 1))
 
 
 @bound
@@ -103,22 +127,22 @@ def regex_find(text: Column, pattern: str, gate: str | None = None) -> Column:
 
     closed = sealed(text)
     found = F.regexp_extract_all(closed, F.lit(whole), F.lit(0))
-    done = let(found, lambda m: F.when(F.size(m) > 0, let(unsealed(text, F.split(closed, whole, -1)), lambda g: listed(m, g))))
+    done = let(found, lambda m: F.when(F.size(m) > 0, let(unsealed(text, parted(closed, whole)), lambda g: listed(m, g))))
     return F.coalesce(F.when(like(text, gate), done) if gate else done, F.array().cast(kind))
 
 
 @bound
-def regex_sub(text: Column, pattern: str, render: Callable[[Column, Column, Column], Column], gate: str | None = None, tags: bool = True) -> Column:
+def regex_sub(text: Column, pattern: str, render: Callable[[Column, Column, Column], Column], gate: str | None = None, tags: bool = True, reach: int = 0) -> Column:
     """text with every match replaced by render(match, left, right).
 
     left and right are the original text next to the match: the gap and the match beyond it, cut at
-    tags. Rows without the gate pattern, or without a match, are passed on without being split.
+    tags; with reach and without tags, that many characters on the left. Rows without the gate pattern, or without a match, are passed on without being split.
     """
     whole = f"(?U)(?:{TAG}|{pattern})" if tags else f"(?U)(?:{pattern})"
 
     def rebuilt(m: Column, g: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
-            left, right = sides(m, g, i, tags)
+            left, right = sides(m, g, i, tags, reach)
             # Bound once: what surrounds a match is asked for many times.
             spoken = let(F.struct(left.alias("left"), right.alias("right")), lambda c: render(x, c["left"], c["right"]))
             return F.concat(F.get(g, i), F.when(is_tag(x), x).otherwise(F.coalesce(spoken, x)) if tags else F.coalesce(spoken, x))
@@ -127,7 +151,7 @@ def regex_sub(text: Column, pattern: str, render: Callable[[Column, Column, Colu
 
     closed = sealed(text) if tags else text
     found = F.regexp_extract_all(closed, F.lit(whole), F.lit(0))
-    gaps = lambda: unsealed(text, F.split(closed, whole, -1)) if tags else F.split(closed, whole, -1)
+    gaps = lambda: unsealed(text, parted(closed, whole)) if tags else parted(closed, whole)
     done = let(found, lambda m: F.when(F.size(m) > 0, let(gaps(), lambda g: rebuilt(m, g))).otherwise(text))
     return F.when(like(text, gate), done).otherwise(text) if gate else F.when(text.isNotNull(), done)
 
@@ -166,7 +190,7 @@ def date_boundary(left: Column, right: Column) -> Column:
     def beside(side: Column, trim, end, ok: str, within_marks: str) -> Column:
         bare = trim(side, F.lit("*_"))
         near = end(bare)
-        free = lambda chars: (near == "") | near.isin(*chars) | like(near, r"(?U)\s")
+        free = lambda chars: F.lit(chars).contains(near) | like(near, r"(?U)\s")  # noqa: E731  (near is one character or none)
         return F.when(bare == side, free(ok)).otherwise(free(within_marks))
 
     return beside(left, F.rtrim, last, OPENERS, OPENERS + STOPS) & beside(right, F.ltrim, first, CLOSERS + STOPS, CLOSERS + STOPS)

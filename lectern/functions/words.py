@@ -56,8 +56,13 @@ EN_100, DE_100 = [en_below_100(n) for n in range(100)], [de_below_100(n) for n i
 EN_DAYS, DE_DAYS = [en_ordinal(n) for n in range(1, 32)], [de_ordinal(n) for n in range(1, 32)]
 
 
+def listed(words: list[str]) -> Column:
+    """An array of words, made from one literal: a literal for each would take a call to the driver's JVM each."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
 def pick(table: list[str], at: Column) -> Column:
-    return F.get(F.array(*map(F.lit, table)), at.cast("int"))
+    return F.get(listed(table), at.cast("int"))
 
 
 def _en_group(n: Column) -> Column:
@@ -188,7 +193,32 @@ def de_year(y: Column) -> Column:
 
 #: Year words by language; others read a year as a number.
 YEAR = {"en": en_year, "de": de_year}
+#: The years of dates, whose words are looked up.
+YEARS = range(1900, 2100)
+
+
+def year_text(y: int, lang: str) -> str:
+    """The words of one of YEARS."""
+    high, low = divmod(y, 100)
+    if lang == "en":
+        if 2000 <= y < 2010:
+            return "two thousand" + (f" {EN_SMALL[low]}" if low else "")
+        return EN_100[high] + (" hundred" if not low else f" oh {EN_SMALL[low]}" if low < 10 else f" {EN_100[low]}")
+    if lang == "de":
+        tail = DE_100[low] if low else ""
+        return f"{DE_100[high]}hundert{tail}" if y < 2000 else f"zweitausend{tail}"
+    thousand, before, last = ("mille", FR_1000_SHORT, FR_1000) if lang == "fr" else ("mil", ES_1000_SHORT, ES_1000)
+    head = thousand if y < 2000 else f"{before[2]} {thousand}"
+    return head + (f" {last[y % 1000]}" if y % 1000 else "")
+
+
+def year_words(y: Column, lang: str, least: int = YEARS[0], most: int = YEARS[-1]) -> Column:
+    """The words of years between least and most."""
+    if least >= YEARS[0] and most <= YEARS[-1]:
+        return pick([year_text(k, lang) for k in YEARS], y - YEARS[0])
+    return YEAR.get(lang, CARDINAL[lang])(y)
 
 
-def year_words(y: Column, lang: str) -> Column:
-    return YEAR.get(lang, CARDINAL[lang])(y)
+def small_words(n: Column, lang: str) -> Column:
+    """The words of a day or month."""
+    return pick({"en": EN_100, "de": DE_100, "fr": FR_1000, "es": ES_1000}[lang][:32], n)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions.regexsub import DASHES, bound, by_segment, date_boundary, first, last, let, like, numeric_left, regex_sub
-from lectern.functions.words import CARDINAL, DE_DAYS, DE_MONTHS, EN_DAYS, EN_MONTHS, de_year, en_year, pick, year_words
+from lectern.functions.words import DE_DAYS, DE_MONTHS, EN_DAYS, EN_MONTHS, listed, pick, small_words, year_words
 from lectern.operators import units
 
 YEAR, DAY, MONTH = r"(?:19|20)\d{2}", r"(?:[12]\d|3[01]|0?[1-9])", r"(?:1[0-2]|0?[1-9])"
@@ -63,54 +63,72 @@ def normalize_locale(locale: str) -> str:
     return "-".join([head.lower(), *(p.upper() if len(p) == 2 else p for p in rest)])
 
 
+#: Days of the months of a leap year, two digits each.
+MONTH_DAYS = "312931303130313130313031"
+
+
 def valid_date(day: Column, month: Column, year: Column) -> Column:
     """A calendar check; without a year the 29th of February passes. Days and months below one are not asked for."""
     y = F.coalesce(year, F.lit(2000))
-    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).when(month <= 12, 31)
-    return F.coalesce((day >= 1) & (month >= 1) & (day <= days), F.lit(False))
+    days = F.substr(F.lit(MONTH_DAYS), month * 2 - 1, F.lit(2)).try_cast("int")
+    leap = (y % 400 == 0) | ((y % 4 == 0) & (y % 100 != 0))
+    return F.coalesce(day.between(1, days) & month.between(1, 12) & ((day < 29) | (month != 2) | leap), F.lit(False))
+
+
+#: Letters of the words that are context: of an ordinal's ending, of an identifier.
+LETTER = "[A-Za-zÄÖÜäöüß]"
 
 
 def ending(left: Column) -> Column:
-    word = F.lower(F.regexp_extract(last(left, 80), r"(?U)(\p{L}+)[^\p{L}\p{N}]*\z", 1))
-    out = F.lit("er")
-    for e, ws in ENDINGS.items():
-        out = F.when(word.isin(ws), F.lit(e)).otherwise(out)
-    return out
+    """The ending of a German ordinal by the word before it, which only white space may part from it."""
+
+    def by_word(word: Column) -> Column:
+        out = F.lit("er")
+        for e, ws in ENDINGS.items():
+            out = F.when(F.array_contains(listed(ws), word), F.lit(e)).otherwise(out)
+        return out
+
+    return let(F.lower(F.regexp_extract(last(left, 80), rf"(?U)({LETTER}+)\s*\z", 1)), by_word)
 
 
 def spoken_date(day: Column, month: Column, year: Column, locale: str, left: Column, renderer: str = "curated") -> Column:
     """A date in words; without words of its own for days and months a language reads numbers."""
     lang, _, region = normalize_locale(locale).partition("-")
     if renderer == "numeric_fallback" or lang not in CURATED:
-        return F.concat_ws(" ", CARDINAL[lang](day), CARDINAL[lang](month), F.when(year.isNotNull(), year_words(year, lang)))
+        return F.concat_ws(" ", small_words(day, lang), small_words(month, lang), year_words(year, lang))
     if lang == "de":
-        return F.concat_ws(" ", F.concat(pick(DE_DAYS, day - 1), ending(left)), pick(DE_MONTHS, month - 1), F.when(year.isNotNull(), de_year(year)))
-    name, nth, y = pick(EN_MONTHS, month - 1), pick(EN_DAYS, day - 1), F.when(year.isNotNull(), en_year(year))
+        return F.concat_ws(" ", F.concat(pick(DE_DAYS, day - 1), ending(left)), pick(DE_MONTHS, month - 1), year_words(year, lang))
+    name, nth, y = pick(EN_MONTHS, month - 1), pick(EN_DAYS, day - 1), year_words(year, lang)
     return F.concat_ws(" ", nth, F.lit("of"), name, y) if region in DMY_REGIONS else F.concat_ws(" ", name, nth, y)
 
 
 def month_number(name: Column, lang: str) -> Column:
     """The month of a name in the locale's own language, else null."""
-    known = {n.lower(): k for k, n in enumerate({"de": DE_MONTHS, "en": EN_MONTHS}.get(lang, ()), 1)}
-    known |= {"maerz": 3} if lang == "de" else {}
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair)) if known else F.create_map(F.lit(""), F.lit(0))
-    return F.try_element_at(table, F.lower(name))
+    known = [n.lower() for n in {"de": [*DE_MONTHS, "maerz"], "en": EN_MONTHS}.get(lang, [""])]
+    at = F.array_position(listed(known), F.lower(name)).cast("int")
+    return F.when(name == "", None).when(at == 13, 3).when(at > 0, at)
 
 
-def date_parts(match: Column, name: str, lang: str) -> Column:
-    """(day, month, year) of a match of a format; a part is null where the format has none."""
+def pieces(match: Column) -> Column:
+    """The numbers and names of a match."""
+    return F.split(F.regexp_replace(match, r"(?U)[^\p{L}\p{N}]+", " "), " ")
+
+
+def ordered(found: Column, name: str, lang: str) -> Column:
+    """(day, month, year) from the pieces of a match of a format; a part is null where the format has none."""
     parts = FORMATS[name][1]
 
-    def named(found: Column) -> Column:
-        def number(kind: str) -> Column:
-            k = parts.find(kind)
-            return F.get(found, F.lit(k)).try_cast("int") if k >= 0 else F.lit(None).cast("int")
+    def number(kind: str) -> Column:
+        k = parts.find(kind)
+        return F.get(found, F.lit(k)).try_cast("int") if k >= 0 else F.lit(None).cast("int")
 
-        month = month_number(F.get(found, F.lit(parts.find("n"))), lang) if "n" in parts else number("m")
-        return F.struct(number("d").alias("day"), month.alias("month"), number("y").alias("year"))
+    month = month_number(F.get(found, F.lit(parts.find("n"))), lang) if "n" in parts else number("m")
+    return F.struct(number("d").alias("day"), month.alias("month"), number("y").alias("year"))
 
-    return let(F.split(match, r"(?U)[^\p{L}\p{N}]+"), named)
+
+def date_parts(match: Column, name: str, lang: str) -> Column:
+    """(day, month, year) of a match of a format."""
+    return let(pieces(match), lambda found: ordered(found, name, lang))
 
 
 def search_pattern(name: str) -> str:
@@ -134,6 +152,11 @@ def accepted(parts: Column, left: Column, right: Column, name: str) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def kept_dot(right: Column) -> Column:
+    """The dot of a month that also ends a sentence, else nothing."""
+    return F.when(like(right, r"(?U)\A[ \t]*+(?:\z|[\r\n]|\p{Lu})"), F.lit(".")).otherwise(F.lit(""))
+
+
 #: What a text must hold for a format to occur in it, cheaper to look for than the format.
 MARKS = {"slash": "/", "dash": "-", "dot": "."}
 
@@ -151,7 +174,7 @@ def speak_format(text: Column, name: str, locale: str, renderer: str = "curated"
         def spoken(p: Column) -> Column:
             said = spoken_date(p["day"], p["month"], p["year"], locale, left, renderer)
             if dotted(name):
-                said = F.concat(said, F.when(like(right, r"(?U)\A[ \t]*+(?:\z|[\r\n]|\p{Lu})"), F.lit(".")).otherwise(F.lit("")))
+                said = F.concat(said, kept_dot(right))
             return F.when(accepted(p, left, right, name), said)
 
         return let(date_parts(x, name, lang), spoken)
@@ -169,17 +192,18 @@ _MEASURES = sorted({*map(str.lower, units.ALIASES), *map(str.lower, _UNIT_WORDS)
 UNITS_AFTER = rf"(?iuU)\A\s*+(?:{'|'.join(map(re.escape, _MEASURES))})(?=\z|[\s,.;:!?)\]}}])"
 
 
-def speak_years(text: Column, locale: str, least: int = 1900, most: int = 2099) -> Column:
-    """Standalone years in words; years that belong to identifiers, versions or measurements stay."""
-    lang = normalize_locale(locale).split("-")[0]
+def spoken_year(x: Column, left: Column, right: Column, locale: str, least: int = 1900, most: int = 2099) -> Column:
+    """The words of four digits that stand as a year, else null."""
+    lang, y = normalize_locale(locale).split("-")[0], x.try_cast("int")
+    # The last word within 80 characters, whatever else stands between.
+    before = F.lower(F.regexp_extract(last(F.regexp_replace(left, r"(?U)\s+\z", ""), 80), rf"(?s)({LETTER}+)[^A-Za-zÄÖÜäöüß]*\z", 1))
+    ok = y.between(least, most) & numeric_left(left) & ~like(first(right, 2), rf"(?U)\A(?:[\p{{L}}\p{{N}}_]|[.,:/+{DASHES}]\d)")
+    return F.when(ok & ~F.array_contains(listed(SKIP_WORDS), before) & ~like(right, UNITS_AFTER), year_words(y, lang, least, most))
 
-    def render(x: Column, left: Column, right: Column) -> Column:
-        y = x.try_cast("int")
-        before = F.lower(F.regexp_extract(last(left, 80), r"(?U)(\p{L}+)[^\p{L}\p{N}]*\z", 1))
-        ok = y.between(least, most) & numeric_left(left) & ~like(first(right, 2), rf"(?U)\A(?:[\p{{L}}\p{{N}}_]|[.,:/+{DASHES}]\d)")
-        return F.when(ok & ~before.isin(SKIP_WORDS) & ~like(right, UNITS_AFTER), year_words(y, lang))
 
-    return by_segment(text, lambda t: regex_sub(t, r"\d{4}", render, r"(?U)\d{4}", tags=False))
+def speak_years(text: Column, locale: str, least: int = 1900, most: int = 2099) -> Column:
+    """Standalone years in words; years that belong to identifiers, versions or measurements stay."""
+    return by_segment(text, lambda t: regex_sub(t, r"\d{4}", lambda x, left, right: spoken_year(x, left, right, locale, least, most), r"(?U)\d{4}", tags=False, reach=100))
 
 
 @bound

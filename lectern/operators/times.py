@@ -11,17 +11,24 @@ from lectern.functions.words import DE_100, EN_100, de_cardinal, en_cardinal, pi
 SUFFIX = r"(?i:uhr|a\.m\.|p\.m\.|am|pm)"
 CLOCK = rf"\d{{1,2}}:\d{{2}}(?:\s*{SUFFIX})?"
 RANGE = rf"{CLOCK}\s*(?:-|–|—|(?i:bis|to))\s*{CLOCK}"
+DURATIONS = (r"\d+:\d{2}:\d{2}", r"\d+:\d{2}\s*[hH](?![A-Za-z_])")
 
 
 def clock_words(token: Column, lang: str) -> Column:
     """The words of one clock time, or null where it is invalid in the language."""
-    hour, minute = (F.regexp_extract(token, r"(\d+):(\d+)", k).cast("int") for k in (1, 2))
-    suffix = F.regexp_replace(F.lower(F.regexp_extract(token, rf"\d\s*({SUFFIX})\z", 1)), r"\.", "")
+    read = F.struct(
+        F.regexp_extract(token, r"(\d+):", 1).try_cast("int").alias("hour"), F.regexp_extract(token, r":(\d+)", 1).try_cast("int").alias("minute"),
+        F.translate(F.lower(F.regexp_extract(token, rf"\d\s*({SUFFIX})\z", 1)), ".", "").alias("suffix"),
+    )
+    return let(read, lambda t: _clock_said(t["hour"], t["minute"], t["suffix"], lang))
+
+
+def _clock_said(hour: Column, minute: Column, suffix: Column, lang: str) -> Column:
     ok = minute <= 59
     if lang == "de":
-        ok = ok & (hour <= 23) & suffix.isin("", "uhr")
+        ok = ok & (hour <= 23) & like(suffix, r"\A(?:uhr)?\z")
         return F.when(ok, F.concat_ws(" ", F.when(hour == 1, F.lit("ein")).otherwise(pick(DE_100, hour)), F.lit("Uhr"), F.when(minute > 0, pick(DE_100, minute))))
-    half = suffix.isin("am", "pm")
+    half = like(suffix, r"\A[ap]m\z")
     ok = ok & (suffix != "uhr") & F.when(half, hour.between(1, 12)).otherwise(hour <= 23)
     return F.when(ok, F.concat_ws(" ", pick(EN_100, hour), F.when(minute.between(1, 9), F.lit("oh")), F.when(minute > 0, pick(EN_100, minute)), F.when(half, F.upper(suffix))))
 
@@ -66,7 +73,7 @@ def speak_times(text: Column, locale: str, clocks: bool = True, ranges: bool = T
         return lambda x, left, right: F.when(time_boundary(left, right), words(x, right))
 
     passes = [(ranges, RANGE, free(lambda x, right: range_words(x, lang)))]
-    passes += [(durations, p, free(lambda x, right: duration_said(x, right, lang))) for p in (r"\d+:\d{2}:\d{2}", r"\d+:\d{2}\s*[hH](?![A-Za-z_])")]
+    passes += [(durations, p, free(lambda x, right: duration_said(x, right, lang))) for p in DURATIONS]
     passes += [(clocks, CLOCK, free(lambda x, right: clock_words(x, lang)))]
 
     def one_pass(pattern: str, render):

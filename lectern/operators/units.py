@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.regexsub import DASHES, GROUP_SPACES, last, like, numeric_left, regex_sub
+from lectern.functions.regexsub import DASHES, GROUP_SPACES, last, let, like, numeric_left, regex_sub
+from lectern.functions.words import listed
 from lectern.operators.numbers import GROUPED, SIMPLE, plain_number
 
 # Alias -> unit (case matters for V, A, B and %), and the spoken forms.
@@ -56,23 +57,38 @@ def stands_whole(number: Column, left: Column, grouped: bool) -> Column:
     return ok if grouped else ok & ~like(number, rf"\A[{DASHES}]?[1-9]\d{{0,2}}[.,]\d{{3}}\z")
 
 
+#: Longest first: the first that fits is the alias.
+ALIAS = "|".join(re.escape(a) if a in EXACT else f"(?iu:{re.escape(a)})" for a in sorted(ALIASES, key=lambda a: -len(a)))
+
+
+def measurement(grouped: bool) -> str:
+    """The pattern of a number with a unit."""
+    return rf"{GROUPED if grouped else SIMPLE}\s*(?:{ALIAS})(?![\w/])"
+
+
+def measured(token: Column, left: Column, locale: str, grouped: bool = False, hint: str = "") -> Column:
+    """(number, words) of a measurement: the number's text and the unit in words; null if it does not stand free."""
+    # Aliases whose case matters are keys as they are; no other alias has their text in lower case.
+    known = {a if a in EXACT else a.lower(): forms(u, locale) for a, u in ALIASES.items()}
+    names, spoken = listed(list(known)), [listed([pair[k] for pair in known.values()]) for k in (0, 1)]
+
+    def of(p: Column) -> Column:
+        at = F.coalesce(F.nullif(F.array_position(names, p["unit"]), F.lit(0)), F.array_position(names, F.lower(p["unit"]))).cast("int") - 1
+
+        def one(parts: Column) -> Column:
+            return F.coalesce((F.get(parts, F.lit(0)).cast("long") == 1) & (F.coalesce(F.rtrim(F.get(parts, F.lit(1)), F.lit("0")), F.lit("")) == ""), F.lit(False))
+
+        words = let(plain_number(p["number"], grouped, hint or locale), lambda parts: F.when(parts.isNotNull(), F.when(one(parts), F.get(spoken[0], at)).otherwise(F.get(spoken[1], at))))
+        return F.when(stands_whole(p["number"], left, grouped), F.struct(p["number"].alias("number"), words.alias("words")))
+
+    number, unit = F.regexp_extract(token, rf"(?U)\A({GROUPED if grouped else SIMPLE})", 1), F.regexp_extract(token, rf"(?U)({ALIAS})\z", 1)
+    return F.when(numeric_left(left), let(F.struct(number.alias("number"), unit.alias("unit")), of))
+
+
 def speak_units(text: Column, locale: str, grouped: bool = False, hint: str = "") -> Column:
     """text with every measurement's unit in words; the number's text stays, one space follows it."""
-    ordered = sorted(ALIASES, key=lambda a: -len(a))
-    alias = "|".join(re.escape(a) if a in EXACT else f"(?iu:{re.escape(a)})" for a in ordered)
-    number = GROUPED if grouped else SIMPLE
 
     def render(x: Column, left: Column, right: Column) -> Column:
-        n = F.regexp_extract(x, rf"(?U)\A({number})", 1)
-        u = F.regexp_extract(x, rf"(?U)({alias})\z", 1)
-        parts = plain_number(n, grouped, hint or locale)
-        one = F.coalesce((F.get(parts, F.lit(0)).cast("long") == 1) & (F.coalesce(F.rtrim(F.get(parts, F.lit(1)), F.lit("0")), F.lit("")) == ""), F.lit(False))
-        said = F.lit(None).cast("string")
-        for a in reversed(ordered):
-            same = u == a if a in EXACT else F.lower(u) == a.lower()
-            single, plural = forms(ALIASES[a], locale)
-            said = F.when(same, F.when(one, F.lit(single)).otherwise(F.lit(plural))).otherwise(said)
-        ok = numeric_left(left) & stands_whole(n, left, grouped)
-        return F.when(ok & parts.isNotNull(), F.concat(n, F.lit(" "), said))
-
-    return regex_sub(text, rf"{number}\s*(?:{alias})(?![\w/])", render, gate=r"(?U)\d")
+        return let(measured(x, left, locale, grouped, hint), lambda p: F.concat(p["number"], F.lit(" "), p["words"]))
+
+    return regex_sub(text, measurement(grouped), render, gate=r"(?U)\d")

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import dates, emoji, markdown, numbers, rules, times, units
+from lectern.functions.columns import fresh
+from lectern.operators import dates, emoji, markdown, numbers, rules, scanner, times, units
 
 
 @dataclass(frozen=True)
@@ -72,31 +73,57 @@ def stages(p: Profile, speller=None, emoji_table: dict[str, str] | None = None)
     return [(name, settings, f) for on, name, settings, f in every if on]
 
 
+def tokens(p: Profile) -> scanner.Tokens:
+    """What a profile has the scanner speak."""
+    number = p.number_language or p.locale
+    date = p.date_locale or p.locale
+    return scanner.Tokens(
+        dates=date if p.dates else "", formats=tuple(p.formats) if p.formats is not None else tuple(dates.default_formats(date)),
+        years=p.years, renderer=p.date_renderer, year_min=p.year_min, year_max=p.year_max,
+        times=(p.time_locale or p.locale) if p.times else "", clocks=p.clocks, ranges=p.ranges, durations=p.durations,
+        units=(p.unit_locale or p.locale) if p.units else "", unit_hint=p.number_language or p.unit_locale or p.locale,
+        numbers=language(number) if p.numbers else "", number_hint=number, grouped=p.grouped,
+    )
+
+
+#: The stages that speak tokens, which the scanner does in one go.
+SPOKEN = ("dates", "times", "units", "numbers")
+
+
 def normalize(df: DataFrame, p: Profile, text: str = "text", speller=None, emoji_table: dict[str, str] | None = None) -> DataFrame:
-    """df with its text normalised, stage by stage; narrow projections only."""
-    for _, _, stage in stages(p, speller, emoji_table):
+    """df with its text normalised, stage by stage, those that speak tokens as one scan; narrow projections only."""
+    every = stages(p, speller, emoji_table)
+    for name, _, stage in every:
+        if name not in SPOKEN:
+            df = df.withColumn(text, stage(F.col(text)))
+    # A single stage of one pass has nothing to gain.
+    spoken = [stage for name, _, stage in every if name in SPOKEN]
+    if len(spoken) > 1 or p.dates:
+        return scanner.speak_tokens(df, tokens(p), text, speller)
+    for stage in spoken:
         df = df.withColumn(text, stage(F.col(text)))
     return df
 
 
 def change_rates(df: DataFrame, p: Profile, by: str, text: str = "text") -> DataFrame:
     """(by, stage, n, changed): how many texts each stage of a profile alters, in one scan."""
-    names, flags = [], []
-    for k, (name, _, stage) in enumerate(stages(p)):
-        after, flag = f"_after{k}", f"_changed{k}"
-        before = text if k == 0 else f"_after{k - 1}"
+    names, flags, before = [], [], text
+    for name, _, stage in stages(p):
+        after, flag = fresh(df, "_after", "_changed")
         df = df.withColumn(after, stage(F.col(before))).withColumn(flag, (~F.col(after).eqNullSafe(F.col(before))).cast("long"))
         names.append(name)
         flags.append(flag)
+        before = after
     sums = df.groupBy(by).agg(F.count("*").alias("n"), *(F.sum(f).alias(f) for f in flags))
     each = F.array(*(F.struct(F.lit(n).alias("stage"), F.col(f).alias("changed")) for n, f in zip(names, flags, strict=True)))
     return sums.select(by, "n", F.inline(each)).select(by, "stage", "n", "changed")
 
 
 def normalize_distinct(df: DataFrame, p: Profile, text: str = "text") -> DataFrame:
-    """Like normalize, with each distinct text worked on once and joined back by its 128-bit hash."""
-    key, said = "_text_key", "_text_said"
+    """Like normalize, with each distinct text worked on once and joined back by its 128-bit hash and itself."""
+    key, at, own, said = fresh(df, "_text_key", "_text_at", "_text_own", "_text_said")
     hashed = df.withColumn(key, F.when(F.col(text).isNotNull(), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))))
-    # By hash the copies of a text meet before its stages run; texts of one hash are one text.
-    once = hashed.filter(F.col(key).isNotNull()).groupBy(key).agg(F.first(text).alias(said))
-    return hashed.join(normalize(once, p, said), key, "left").withColumn(text, F.col(said)).drop(key, said)
+    # By hash the copies of a text meet before its stages run; texts that share a hash stay apart.
+    once = hashed.filter(F.col(key).isNotNull()).groupBy(key, F.col(text).alias(own)).count().select(key, own, F.col(own).alias(said))
+    done = normalize(once, p, said).withColumnRenamed(key, at)
+    return hashed.join(done, (F.col(key) == F.col(at)) & (F.col(text) == F.col(own)), "left").withColumn(text, F.col(said)).drop(key, at, own, said)

@@ -12,7 +12,7 @@ from lectern.operators import dates, emoji, extract, markdown, numbers, rules, t
 from lectern.plans import oracle as O
 from lectern.plans.normalize import Profile, change_rates, normalize, normalize_distinct
 from lectern.plans.profiles import canonical_profiles, load_profiles, normalize_by_profile, preview, preview_rejected, profile_rows, profiles_by_name, supported_locales, validate_profiles
-from lectern.sources.messages import read_chunks, work_folder, write_segments
+from lectern.sources.messages import read_chunks, spread, work_folder, write_segments
 from lectern.streaming.cutter import cut_segments, cut_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,7 @@ def _spoken(name: str, table: str, key: str, sentence: str, say: Callable[[Colum
     """A query over every row of a table: say(sentence) by key; sql is the expected text."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _table(spark, sf_dir, table).select(F.expr(key).alias("id"), F.expr(sentence).alias("text"))
+        rows = spread(_table(spark, sf_dir, table).select(F.expr(key).alias("id"), F.expr(sentence).alias("text")))
         return rows.select("id", say(F.col("text")).alias("spoken"))
 
     _QUERIES[name] = query
@@ -55,7 +55,7 @@ _dated("iso_ca", "Due ", "yyyy-MM-dd", "en-CA", None, f"{_MONTH} || ' ' || {_DAY
 _dated("month_name_en", "Due ", "MMMM d, yyyy", "en-US", ["mdy_month_name"], f"{_MONTH} || ' ' || {_DAY} || ' ' || {_YEAR}")
 for _name, _before, _form, _end in (
     ("iso_de", "Termin ", "yyyy-MM-dd", "er"), ("dot_de_am", "Termin am ", "dd.MM.yyyy", "en"), ("dot_de_der", "der ", "dd.MM.yyyy", "e"),
-    ("dot_de_ab", "gilt ab ", "dd.MM.yyyy", "em"), ("spaced_de", "Termin ", "d. M. yyyy", "er"),
+    ("dot_de_ab", "gilt ab ", "dd.MM.yyyy", "em"), ("spaced_de", "Termin ", "d. M. yyyy", "er"), ("dot_de_colon", "am: ", "dd.MM.yyyy", "er"), ("dot_de_bracket", "am (", "dd.MM.yyyy", "er"),
 ):
     _dated(_name, _before, _form, "de-DE", None, f"{_DE_DAY} || '{_end} ' || {_DE_MONTH} || ' ' || {_DE_YEAR}")
 _dated("no_year_de", "am ", "dd.MM.", "de-DE", None, f"{_DE_DAY} || 'en ' || {_DE_MONTH}")
@@ -136,8 +136,8 @@ _spoken("number_grouped_forms", "part", "p_partkey", "concat(p_size, '.222.333 '
         f"{O.de_number('(p_size * 1000000 + 222333)')} || ' ' || {O.de_number('(p_size * 1000 + 222)')} || ' ' || {O.de_number('(p_size * 1000 + 222)')} || ' Komma fünf ' || {O.de_number('(p_size * 1000 + 222)')} || ' Komma fünf'")
 _spoken("number_ambiguous", "part", "p_partkey", "concat(p_size, '.342 ', p_size, ',342')", lambda t: numbers.speak_numbers(t, "de", True), f"{O.de_number('(p_size * 1000 + 342)')} || ' ' || {O.de_below_100(_P)} || ' Komma drei vier zwei'")
 _CENTURY = "(1900 + o_orderkey % 200)"
-_spoken("years_en", "orders", "o_orderkey", f"concat('since ', {_CENTURY}, ', v', {_CENTURY}, '.1, port ', {_CENTURY}, ', ', {_CENTURY}, ' lux and ', {_CENTURY}, ' meters')", lambda t: dates.speak_years(t, "en-US"),
-        f"'since ' || {O.en_year(_CENTURY)} || ', v' || {_CENTURY} || '.1, port ' || {_CENTURY} || ', ' || {_CENTURY} || ' lux and ' || {_CENTURY} || ' meters'")
+_spoken("years_en", "orders", "o_orderkey", f"concat('since ', {_CENTURY}, ', v', {_CENTURY}, '.1, port ', {_CENTURY}, ', ', {_CENTURY}, ' lux and ', {_CENTURY}, ' meters, PIN 5 ', {_CENTURY}, ', version 2.0, ', {_CENTURY})", lambda t: dates.speak_years(t, "en-US"),
+        f"'since ' || {O.en_year(_CENTURY)} || ', v' || {_CENTURY} || '.1, port ' || {_CENTURY} || ', ' || {_CENTURY} || ' lux and ' || {_CENTURY} || ' meters, PIN 5 ' || {_CENTURY} || ', version 2.0, ' || {_CENTURY}")
 _spoken("years_de", "orders", "o_orderkey", f"concat('Seit ', {_CENTURY}, ' und 1899 und 2100')", lambda t: dates.speak_years(t, "de-DE"), f"'Seit ' || {O.de_year(_CENTURY)} || ' und 1899 und 2100'")
 _spoken("years_bounds", "orders", "o_orderkey", f"concat('in ', {_CENTURY}, '!')", lambda t: dates.speak_years(t, "en-US", 1950, 2050), f"'in ' || CASE WHEN {_CENTURY} BETWEEN 1950 AND 2050 THEN {O.en_year(_CENTURY)} ELSE {_CENTURY}::VARCHAR END || '!'")
 _dated("month_name_de", "Am ", "d. MMMM yyyy", "en-US", ["dmy_month_name"], f"{_MONTH} || ' ' || {_DAY} || ' ' || {_YEAR}")
@@ -166,9 +166,8 @@ _GERMAN = Profile("de-DE", dates=True, times=True, units=True, numbers=True, lin
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.expr(r"concat('Termin ', date_format(o_orderdate, 'dd.MM.yyyy'), '\n um 13:40 Uhr mit 30W.')").alias("text")
-    )
+    text = F.expr(r"concat('Termin ', date_format(o_orderdate, 'dd.MM.yyyy'), '\n um 13:40 Uhr mit 30W.')").alias("text")
+    return spread(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text))
 
 
 _FULL = f"SELECT o_orderkey AS id, 'Termin ' || {_DE_DAY} || 'er ' || {_DE_MONTH} || ' ' || {_DE_YEAR} || ' um dreizehn Uhr vierzig mit dreißig Watt.' AS text FROM orders"
@@ -177,6 +176,22 @@ _QUERIES["normalize_distinct"] = lambda spark, sf_dir: normalize_distinct(_sente
 _SQL["normalize_full"] = _SQL["normalize_distinct"] = _FULL
 
 
+# Tokens of every stage in one text, those that are looked at one by one and those that the stages must do.
+_TOKENS = Profile("de-DE", dates=True, years=True, times=True, units=True, numbers=True)
+
+
+def normalize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sentences with dates, times, measurements, years and numbers; every third with a date that none of it is."""
+    date = "date_format(o_orderdate, 'dd.MM.yyyy')"
+    text = F.expr(f"concat('Ab ', {date}, ' sind ', o_orderkey % 50 + 2, ' kWh und ', o_orderkey % 50, ', ', o_orderkey % 50 + 1, ' im Jahr ', year(o_orderdate), ' von 8:00 bis 9:30 da', CASE WHEN o_orderkey % 3 = 0 THEN ' x1.2.3' ELSE '' END)")
+    return normalize(spread(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"))), _TOKENS)
+
+
+_K = "o_orderkey % 50"
+_QUERIES["normalize_tokens"] = normalize_tokens
+_SQL["normalize_tokens"] = f"SELECT o_orderkey AS id, 'Ab ' || {_DE_DAY} || 'em ' || {_DE_MONTH} || ' ' || {_DE_YEAR} || ' sind ' || {O.de_below_100(f'({_K} + 2)')} || ' Kilowattstunden und ' || {O.de_below_100(f'({_K})')} || ', ' || {O.de_below_100(f'({_K} + 1)')} || ' im Jahr ' || {_DE_YEAR} || ' von acht Uhr bis neun Uhr dreißig da' || CASE WHEN o_orderkey % 3 = 0 THEN ' x1.2.3' ELSE '' END AS text FROM orders"
+
+
 # Audits.
 _QUERIES["rule_hits"] = lambda spark, sf_dir: rules.rule_hits(_table(spark, sf_dir, "part").select(F.col("p_name").alias("text")), [rules.Rule("a", "e"), rules.Rule("e", "i")])
 _SQL["rule_hits"] = "SELECT 1 AS rule_no, sum(length(p_name) - length(replace(p_name, 'a', '')))::BIGINT AS hits FROM part UNION ALL SELECT 2, sum(length(p_name) - length(replace(replace(p_name, 'a', 'e'), 'e', '')))::BIGINT FROM part"

@@ -46,3 +46,12 @@ def write_normalized(df: DataFrame, path: str, by: str = "lang") -> None:
 def write_segments(segments: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """A checkpointed writer of segments, in append mode; start() runs it."""
     return segments.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table of fewer partitions than there are cores is dealt anew, before work on its rows.
+
+    Tables of many files or row groups, as large ones are, stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
