@@ -24,8 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.messages import spread
+
 END = "￿"  # stands for the end-of-word suffix; never a byte-level character
-CACHE = 1 << 16
+#: Words and pairs of tokens that a worker remembers; of a word, its ids alone.
+CACHE = 1 << 17
 #: Longer words are encoded anew each time, so that the cache stays small.
 CACHED_CHARS = 48
 
@@ -82,6 +85,7 @@ class WordBpe:
         plain = pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")
         self.narrow = self.wide if "\\p" in plain or "(?" in plain else re.compile(plain, re.ASCII).findall
         self.chars = byte_chars()
+        self.usable, self.decimal = usable, [str(i) for i in range(len(names))]
         self.short_word = lru_cache(CACHE)(self._word)
 
     def _fits(self, a: int, b: int) -> bool:
@@ -117,8 +121,11 @@ class WordBpe:
         self.pair[a, b] = i
         return sound
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str]:
-        text = "".join([self.chars[b] for b in word.encode()]) + END
+    def _word(self, word: str) -> tuple[int, ...]:
+        # Letters, digits and marks of ASCII stand for themselves.
+        text = (word if word.isascii() and word.isalnum() else "".join([self.chars[b] for b in word.encode()])) + END
+        if (whole := self.usable.get(text)) is not None:
+            return (whole,)
         n = len(text)
         best = [None] * n
         longest = [0] * n
@@ -144,9 +151,9 @@ class WordBpe:
                 out.append(token)
                 pos = end
                 token = best[pos] if pos < n else None
-        return tuple(out), " ".join(map(str, out))
+        return tuple(out)
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
+    def word(self, word: str) -> tuple[int, ...]:
         return self.short_word(word) if len(word) <= CACHED_CHARS else self._word(word)
 
     def pieces(self, text: str):
@@ -156,20 +163,16 @@ class WordBpe:
         # Case is folded character by character, so a final sigma is not special.
         return self.wide(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Token ids, and the same in decimal joined by spaces."""
+    def encode(self, text: str) -> list[int]:
+        """Token ids."""
         ids: list[int] = []
-        names: list[str] = []
         for part in self.cut.split(text) if self.cut else (text,):
             if part in self.special:
                 ids.append(self.special[part])
-                names.append(str(self.special[part]))
                 continue
             for word in self.pieces(part):
-                found, name = self.word(word)
-                ids += found
-                names.append(name)
-        return ids, " ".join(names)
+                ids += self.word(word)
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         """The texts of the tokens joined by spaces, as UTF-8."""
@@ -195,7 +198,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text") -
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         bpe = loaded(path)
-        return pd.Series([bpe.encode(t or "")[0] for t in texts])
+        return pd.Series([bpe.encode(t or "") for t in texts])
 
     return docs.withColumn("token_ids", ids(F.col(text)))
 
@@ -223,7 +226,8 @@ def digest_texts(docs: DataFrame, path: str | None = None, text: str = "text") -
     def digest(texts: pd.Series) -> pd.DataFrame:
         bpe, rows = loaded(path), []
         for t in texts:
-            ids, names = bpe.encode(t or "")
+            ids = bpe.encode(t or "")
+            names = " ".join([bpe.decimal[i] for i in ids])
             rows.append((len(ids), hashlib.sha256(names.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -231,5 +235,5 @@ def digest_texts(docs: DataFrame, path: str | None = None, text: str = "text") -
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return digest_texts(docs).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")

@@ -3,10 +3,11 @@
 Equal vectors are one point with a multiplicity. Points are dealt by hash to shards of bounded bytes;
 each shard's graph is built layer by layer and written to the shared folder. Every point then queries
 every shard: a task holds a range of the points and loads one graph after the other, each once. Beams start
-narrow. A query whose beam is full of links is widened, and where a wider beam would look at as many nodes
-as the shard holds, all of them are looked at instead; the beams of all queries are widened until the links of an
-audit set, found by brute force in the shard, have all been found. Links are verified in double
-precision; a task returns counts and a spanning forest, not pairs, and ``components`` joins them.
+narrow. A query whose beam is full of links is widened, and where the widest is full as well the query looks at
+every node; the beams of all queries are widened until the links of an audit set, found by brute force in the
+shard, have all been found. Links are verified in double precision; a task returns counts and a spanning forest,
+not pairs, and ``components`` joins them. Whether both ends of every link have found it shows in a count and a
+checksum of either side; vectors for which they differ are compared with every vector.
 
 Edge cases: null, empty and zero vectors and those with null or non-finite components link with
 nothing and are their own component, as are rows without an id; vectors of unlike length never link; equal vectors
@@ -27,13 +28,15 @@ from lectern.llm.common import files, shared_dir, written
 from lectern.llm.components import components
 from lectern.llm.simhash import Forest
 
-#: Shards there are at least, so that building is spread; bytes of vectors and links that a shard may have.
-SHARDS = 6
-SHARD_BYTES = 512 << 20
+#: Up to so many shards a table is dealt by so many vectors each, so that building is spread; then by bytes of vectors and links.
+SHARDS, SHARD_POINTS = 6, 4096
+SHARD_BYTES = 128 << 20
 #: Query points of a task.
 RANGE = 20_000
 #: Links a node is given, beams for building and at the start of a query, and audited queries of a task and shard.
 LINKS, BUILD, BEAM, AUDIT = 16, 48, 16, 256
+#: The widest beam; a query that fills it with links looks at every node.
+WIDEST = 256
 
 
 #: Similarities compared at once where a query looks at every node.
@@ -154,14 +157,15 @@ class Graph:
             if full.any():
                 near[part[full]] = self.chosen(self.x[part[full]], ids[full], sims[full], cap)
 
-    def within(self, q: np.ndarray, least: float, width: int) -> list[np.ndarray]:
-        """For each query the nodes found at a similarity of least; beams full of them are widened."""
+    def within(self, q: np.ndarray, least: float, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each query the nodes found at a similarity of least, and which queries looked at every node."""
         out: list = [None] * len(q)
+        scanned = np.zeros(len(q), bool)
         full = []
         for k in range(0, len(q), self.batch):
             todo = np.arange(k, min(len(q), k + self.batch))
             entry, w = self.descend(q[todo], 0), width
-            while len(todo) and w * 2 * LINKS < len(self.x):
+            while len(todo) and w <= max(width, WIDEST):
                 ids, sims = self.beam(0, q[todo], entry, w, max(4, w // 16))
                 hit = sims >= least
                 whole = ~hit[:, -1]
@@ -169,11 +173,11 @@ class Graph:
                     out[i] = row[h]
                 todo, entry, w = todo[~whole], ids[~whole, 0], w * 4
             full.append(todo)
-        # A wider beam would compare with as many nodes as there are: these queries look at every node.
         left = np.concatenate(full) if full else np.zeros(0, np.int64)
+        scanned[left] = True
         for i, near in zip(left, self.scan(q[left], least), strict=True):
             out[i] = near
-        return out
+        return out, scanned
 
     def scan(self, q: np.ndarray, least: float):
         """For each query the nodes of a similarity of least, by looking at every node."""
@@ -183,14 +187,14 @@ class Graph:
             yield from np.split(near, np.searchsorted(row, np.arange(1, len(q[k : k + step]))))
 
 
-def audited(graph: Graph, q: np.ndarray, least: float) -> list[np.ndarray]:
+def audited(graph: Graph, q: np.ndarray, least: float) -> tuple[list[np.ndarray], np.ndarray]:
     """within(), with beams widened until the audited queries miss no link."""
     at = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT)).astype(int))
     # What is found is near enough, so equal counts are equal sets; products differ in the last digits.
     true = [len(near) for near in graph.scan(q[at], least + 1e-6)]
     width = BEAM
     while True:
-        got = graph.within(q[at], least, width)
+        got, _ = graph.within(q[at], least, width)
         if all(len(g) >= t for t, g in zip(true, got, strict=True)):
             return graph.within(q, least, width)
         width *= 2
@@ -202,8 +206,19 @@ def unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", embedding: str = "embedding", shards: int = SHARDS) -> DataFrame:
-    """(id, n_links, component_id, kept) of every vector."""
+def mixed_bits(ids: np.ndarray) -> np.ndarray:
+    """64 well mixed bits of each id, for checksums of sets by exclusive or."""
+    z = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return (z ^ (z >> np.uint64(31))).astype(np.int64)
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", embedding: str = "embedding", shards: int | None = None) -> DataFrame:
+    """(id, n_links, component_id, kept, n_walked, n_scanned) of every vector.
+
+    The last two count the shards in which its links were found by a walk, and by looking at every node.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("id"), F.col(embedding).alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -211,7 +226,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     rows = written(rows.withColumn("v", F.when(sound & F.col("id").isNotNull(), F.col("v"))))
     points = written(rows.filter("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("m")))
     n, size, path = *points.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first(), shared_dir(spark)
-    shards = max(shards, -(-(8 * size + 16 * LINKS * n) // SHARD_BYTES))
+    shards = shards or max(1, min(SHARDS, -(-n // SHARD_POINTS)), -(-(8 * size + 16 * LINKS * n) // SHARD_BYTES))
     graphs = points.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards))).withColumn("dim", F.size("v"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -227,20 +242,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
 
     listed = sorted(tuple(r) for r in written(graphs.groupBy("shard", "dim").applyInPandas(build, "name string, dim int")).collect())
 
-    def query(batches):
+    def query(batches, whole=False):
         fs, _ = files(path)
         every = pd.concat([pd.DataFrame({"rep": pd.Series([], dtype="int64"), "v": pd.Series([], dtype=object)}), *batches], ignore_index=True)
         for dim, own in every.groupby(every["v"].map(len)):
             exact, rep = unit(own["v"]), own["rep"].to_numpy(dtype=np.int64)
-            q, total = exact.astype(np.float32), np.zeros(len(own), np.int64)
+            q, total, sums = exact.astype(np.float32), np.zeros(len(own), np.int64), np.zeros((len(own), 4), np.int64)
             for name, d in listed:
                 if d != dim:
                     continue
                 with fs.open_input_stream(name, compression=None) as f:
                     g, raw, ids, m = pickle.loads(f.read())
                 names, place = np.unique(np.concatenate([rep, ids]), return_inverse=True)
-                forest = Forest(len(names))
-                for i, near in enumerate(audited(g, q, least - 1e-4)):
+                forest, bits, own_bits, met = Forest(len(names)), mixed_bits(ids), mixed_bits(rep), np.zeros((len(ids), 2), np.int64)
+                all_near, scanned = (g.scan(q, least - 1e-4), np.ones(len(q), bool)) if whole else audited(g, q, least - 1e-4)
+                sums[:, 2] += ~scanned
+                sums[:, 3] += scanned
+                for i, near in enumerate(all_near):
                     near = near[ids[near] != rep[i]]
                     if len(near):
                         # Single precision decides what is far from the line; what is near it is computed in double.
@@ -249,25 +267,45 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
                         near = np.concatenate([near[clear], edge[unit(raw[edge]) @ exact[i] >= least]]) if len(edge) else near
                     if len(near):
                         total[i] += m[near].sum()
+                        sums[i, 0] += len(near)
+                        sums[i, 1] ^= np.bitwise_xor.reduce(bits[near])
+                        met[near, 0] += 1
+                        met[near, 1] ^= own_bits[i]
                         forest.join(int(place[i]), place[len(rep) + near])
                 links = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"a": names[links[:, 0]], "b": names[links[:, 1]], "n": np.zeros(len(links), np.int64)})
-            yield pd.DataFrame({"a": rep, "b": rep, "n": total})
+                yield result(names[links[:, 0]], names[links[:, 1]])
+                seen = np.flatnonzero(met[:, 0])
+                yield result(ids[seen], ids[seen], back=-met[seen, 0], check=met[seen, 1])
+            yield result(rep, rep, total, sums[:, 0], sums[:, 1], sums[:, 2], sums[:, 3])
+
+    def result(a, b, n=0, back=0, check=0, walked=0, scanned=0) -> pd.DataFrame:
+        """Links, or counts of a vector: back and check come to zero where both ends found the same links."""
+        zeros = np.zeros(len(a), np.int64)
+        return pd.DataFrame({"a": a, "b": b, "n": zeros + n, "back": zeros + back, "bits": zeros + check, "walked": zeros + walked, "scanned": zeros + scanned})
 
+    kind = "a long, b long, n long, back long, bits long, walked long, scanned long"
     # Every point against every shard is by far the most work: it is spread evenly, whatever the files were.
-    dealt = points.repartition(max(12, -(-n // RANGE)), "rep").mapInPandas(query, "a long, b long, n long")
-    found = written(dealt)
-    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    reach = written(components(found.select("a", "b")))
+    found = written(points.repartition(max(12, -(-n // RANGE)), "rep").mapInPandas(query, kind))
+    counts = written(found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"), F.sum("back").alias("back"), F.bit_xor("bits").alias("bits"), F.sum("walked").alias("n_walked"), F.sum("scanned").alias("n_scanned")))
+    links = found.select("a", "b")
+    uneven = written(points.join(counts.filter("back <> 0 or bits <> 0").select("rep"), "rep"))
+    if not uneven.isEmpty():
+        again = written(uneven.mapInPandas(lambda batches: query(batches, whole=True), kind))
+        exact = again.filter("walked + scanned > 0").select(F.col("a").alias("rep"), F.col("n").alias("n_exact"), F.col("scanned").alias("more"))
+        counts = counts.join(exact, "rep", "left").withColumns({"n": F.coalesce("n_exact", "n"), "n_scanned": F.coalesce("more", "n_scanned"), "n_walked": F.when(F.col("more").isNull(), F.col("n_walked")).otherwise(0)})
+        links = links.union(again.select("a", "b"))
+    reach = written(components(links))
     joined = points.join(counts, "rep").join(reach, points["rep"] == reach["node"], "left")
-    classes = written(joined.select("v", (F.col("n") + F.col("m") - 1).alias("n"), F.coalesce("component", "rep").alias("c")))
+    classes = written(joined.select("v", (F.col("n") + F.col("m") - 1).alias("n"), F.coalesce("component", "rep").alias("c"), "n_walked", "n_scanned"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.join(classes, "v", "left").select(
-        "id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id")
-    ).withColumn("kept", F.col("id") == F.col("component_id"))
+        "id", zero("n").alias("n_links"), F.coalesce("c", "id").alias("component_id"), (F.col("id") == F.coalesce("c", "id")).alias("kept"), zero("n_walked").alias("n_walked"), zero("n_scanned").alias("n_scanned")
+    )
 
 
 def op10_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
 OP10_SQL = """

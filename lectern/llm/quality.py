@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import let, words
+from lectern.llm.common import fresh, let, words
+from lectern.sources.messages import spread
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -92,23 +93,24 @@ def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts and ratios that the threshold table may name."""
+    own_words, own_lines = fresh(docs, "_words", "_lines")
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda line: F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]")))
     size = lambda a: F.size(a).cast("long")
     counts = {
-        "n_words": size(F.col("_words")),
+        "n_words": size(F.col(own_words)),
         "word_chars": F.length(F.translate(body, " \t\n\x0b\f\r", "")).cast("long"),
         "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
-        "n_lines": size(F.col("_lines")),
-        "n_dup_lines": size(F.col("_lines")) - size(F.array_distinct("_lines")),
-        "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-        "n_stop_words": size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
-        "n_bullet_lines": size(F.filter("_lines", lambda x: F.regexp_like(x, F.lit(r"^[\x20\x09]*[-*]\x20")))),
-        "n_ellipsis_lines": size(F.filter("_lines", lambda x: x.endswith("...") | x.endswith("…"))),
+        "n_lines": size(F.col(own_lines)),
+        "n_dup_lines": size(F.col(own_lines)) - size(F.array_distinct(own_lines)),
+        "n_repeat_words": repeated_words(F.col(own_words)).cast("long"),
+        "n_stop_words": size(F.filter(own_words, lambda w: F.lower(w).isin(STOP_WORDS))),
+        "n_bullet_lines": size(F.filter(own_lines, lambda x: F.regexp_like(x, F.lit(r"^[\x20\x09]*[-*]\x20")))),
+        "n_ellipsis_lines": size(F.filter(own_lines, lambda x: x.endswith("...") | x.endswith("…"))),
     }
     return (
-        once(once(docs, {"_words": words(F.col(text)), "_lines": lines}), counts)
-        .drop("_words", "_lines")
+        once(once(docs, {own_words: words(F.col(text)), own_lines: lines}), counts)
+        .drop(own_words, own_lines)
         .withColumns(
             {
                 "repeat_percent": ratio(100 * F.col("n_repeat_words"), F.col("n_words")),
@@ -153,7 +155,7 @@ def passing(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return quality_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.array_join("failed_rules", ",").alias("failed_rules"),

@@ -3,7 +3,8 @@
 The base patterns (assignments, access keys, long hex runs) are always reported. Beside them every
 value that follows a credential word, and is not wholly in a base span, gets the least number of guesses that finds it, by dynamic
 programming over segmentations into words (a fixed list, then the words of the corpus by frequency), dates, repeats, sequences, keyboard walks and brute force;
-values that cost at least 10^8 guesses are reported as kind ``guess``.
+values that cost at least 10^8 guesses are reported as kind ``guess``. The words of the corpus are those of at least
+LEAST_TEXTS of its texts, so whether a value of rare words is reported depends on the other texts of the table.
 
 Edge cases: a null text is an empty text and has no spans; texts are scanned whole, whatever their
 length; repeated rows are scanned one by one; other columns pass through untouched.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import lru_cache
 from itertools import accumulate
 from math import inf, log10
 
@@ -20,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import fresh, small, written
+from lectern.llm.common import files, fresh, shared_dir, small, written
+from lectern.sources.messages import spread
 
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_LOG10 = 8.0
@@ -38,9 +41,14 @@ _AFTER_WORD = (
     r"[\"']?\x20*[:=]\x20*[\"']?(?:bearer\x20+)?" + _VALUE
 )
 _AFTER_BEARER = r"(?<![A-Za-z])bearer\x20+" + _VALUE
-_CONTEXTS = [re.compile(p, re.ASCII | re.IGNORECASE) for p in (_AFTER_WORD, _AFTER_BEARER)]
-_JAVA_VALUES = f"(?i)(?:{_AFTER_WORD}|{_AFTER_BEARER})"
-_RUN = re.compile(r"[^\W\d_]{3,}")
+#: In prose a value is one that holds a digit or a mark that words have not.
+_AFTER_IS = (
+    r"(?:(?<![A-Za-z])(?:passphrase|pass|pwd|private_?key|access_?key|login)|password|passwd|secret|token|api_?key)"
+    r"[\"']?(?:\x20+is:?\x20+|\x20*[-=]>\x20*)[\"']?(?=[^\s\"',;<>&]*[0-9#$%^*~_])" + _VALUE
+)
+_CONTEXTS = [re.compile(p, re.ASCII | re.IGNORECASE) for p in (_AFTER_WORD, _AFTER_BEARER, _AFTER_IS)]
+#: For Spark's filters: values to the next blank, quote or list mark. A loop over one class does not recurse, however long.
+_JAVA_VALUES = f"(?i)(?:{_AFTER_WORD}|{_AFTER_BEARER}|{_AFTER_IS})".replace(_VALUE, r"[^\s\"',;<>]{6,}+")
 #: A word counts as ordinary if so many texts have it outside credential contexts; longer words are brute force.
 LEAST_TEXTS = 3
 LONGEST_WORD = 32
@@ -155,39 +163,74 @@ def joined(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def corpus_ranks(docs: DataFrame, text: str, rank: dict[str, int], least: float) -> dict[str, int]:
-    """Ranks by number of texts, over the whole of docs, of the words inside values that rank alone finds costly.
+def _within_values(words: DataFrame, values: str) -> DataFrame:
+    """The rows of words (w, rank) whose word occurs in a value, or in its plain letters.
+
+    values is a folder of written values (v). Each batch of words becomes one automaton, and every value is read
+    past it, so a task holds a batch of words and a value however long a value is.
+    """
+
+    def met(batches):
+        import ahocorasick
+        import pyarrow.dataset as ds
+
+        fs, base = files(values)
+        for pdf in batches:
+            tree, seen = ahocorasick.Automaton(), set()
+            for w in pdf["w"]:
+                tree.add_word(w, w)
+            tree.make_automaton()
+            if len(pdf):
+                for batch in ds.dataset(base, filesystem=fs, format="parquet").to_batches(columns=["v"], batch_size=64):
+                    for v in batch.column(0):
+                        low = v.as_py().lower()
+                        for form in (low, low.translate(_LEET)):
+                            seen.update(w for _, w in tree.iter(form))
+            yield pdf[pdf["w"].isin(seen)]
+
+    return words.mapInPandas(met, "w string, rank long")
+
+
+def corpus_ranks(docs: DataFrame, text: str, rank: dict[str, int], least: float) -> str | None:
+    """A written table of (w, rank): words of the corpus by number of texts, as far as they occur in costly values.
 
-    Credential values are cut out before the words are counted, so a secret does not vouch for itself. Only
-    words that occur both in such a value and as a word of the corpus come to the driver.
+    Ranks are over the whole of docs. Credential values are cut out before the words are counted, so a secret
+    does not vouch for itself. None where no value is costly by the given ranks alone.
     """
+
     @F.pandas_udf("array<string>")
-    def parts(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            found = set()
-            for _, _, value in open_values(t, base_spans(t)):
-                if guess_cost(value, rank) >= least:
-                    for form in (value.lower(), value.lower().translate(_LEET)):
-                        for run in _RUN.findall(form):
-                            found |= {run[i:j] for i in range(len(run) - 2) for j in range(i + 3, min(len(run), i + LONGEST_WORD) + 1)}
-            out.append(sorted(found))
-        return pd.Series(out)
+    def costly(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({v for _, _, v in open_values(t, base_spans(t)) if guess_cost(v, rank) >= least}) for t in texts])
 
+    spark, values, ranks = docs.sparkSession, shared_dir(docs.sparkSession), shared_dir(docs.sparkSession)
     texts = docs.select(F.col(text).alias("t")).filter("t is not null")
-    wanted = written(texts.filter(F.col("t").rlike(_JAVA_VALUES)).select(F.explode(parts("t")).alias("w")).distinct())
-    if wanted.isEmpty():
-        return {}
+    texts.filter(F.col("t").rlike(_JAVA_VALUES)).select(F.explode(costly("t")).alias("v")).distinct().write.parquet(values)
+    if spark.read.schema("v string").parquet(values).isEmpty():
+        return None
     plain = F.lower(F.regexp_replace("t", F.lit(_JAVA_VALUES), F.lit(" ")))
-    each = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(\p{L}{3,32}+)(?!\p{L})"), F.lit(1)))
+    each = F.array_distinct(F.regexp_extract_all(plain, F.lit(rf"(\p{{L}}{{3,{LONGEST_WORD}}}+)(?!\p{{L}})"), F.lit(1)))
     counts = written(texts.select(F.explode(each).alias("w")).groupBy("w").count().filter(F.col("count") >= LEAST_TEXTS))
     # Rank: how many words are at least as frequent; words share counts, so the table by count is short.
-    sizes = sorted(counts.groupBy("count").agg(F.count("*").alias("n")).collect(), reverse=True)
-    at, place = {}, 0
+    sizes, place, at = sorted(counts.groupBy("count").agg(F.count("*").alias("n")).collect(), reverse=True), 0, []
     for c, n in sizes:
         place += n
-        at[c] = place
-    return {w: at[c] for w, c in counts.join(small(wanted), "w", "left_semi").collect()}
+        at.append((c, place))
+    ranked = counts.join(small(spark.createDataFrame(at or [(0, 0)], "count long, rank long")), "count").select("w", "rank")
+    _within_values(ranked, values).write.parquet(ranks)
+    return ranks
+
+
+@lru_cache(2)
+def loaded_ranks(path: str | None, words: tuple[str, ...]) -> dict[str, int]:
+    """The given words in order, then those of a written table behind them; read once by a worker."""
+    import pyarrow.dataset as ds
+
+    rank = {w: i + 1 for i, w in enumerate(words)}
+    if path is None:
+        return rank
+    fs, base = files(path)
+    rows = ds.dataset(base, filesystem=fs, format="parquet").to_table(columns=["w", "rank"])
+    return {w: r + len(rank) for w, r in zip(rows["w"].to_pylist(), rows["rank"].to_pylist(), strict=True)} | rank
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", words=tuple(WORDS), least_log10: float = LEAST_LOG10, into: str = "secrets") -> DataFrame:
@@ -195,12 +238,12 @@ def scan_secrets(docs: DataFrame, text: str = "text", words=tuple(WORDS), least_
 
     words are ranked first; the words of the corpus come after them, in the order of corpus_ranks.
     """
-    rank = {w: i + 1 for i, w in enumerate(words)}
-    rank = {w: r + len(rank) for w, r in corpus_ranks(docs, text, rank, least_log10).items()} | rank
+    words = tuple(words)
+    path = corpus_ranks(docs, text, {w: i + 1 for i, w in enumerate(words)}, least_log10)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, n_guess long, base string, spans string, masked string")
     def scan(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, rank = [], loaded_ranks(path, words)
         for t in texts:
             t = t or ""
             base = base_spans(t)
@@ -220,7 +263,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def op4_secret_scans(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     s = scan_secrets(docs)
     return s.select(
         "doc_id", "secrets.n_assign", "secrets.n_access", "secrets.n_hex",

@@ -14,6 +14,8 @@ def test_callers_columns_come_back(spark):
         assert got.columns == docs.columns
         assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in rows}
         assert stage(docs.limit(0)).count() == 0
+    measured = quality.quality_rules(docs.drop("n_words", "kept"))
+    assert {tuple(r)[:-2] for r in measured.select(*docs.drop("n_words", "kept").columns, "n_words", "kept").collect()} == {tuple(v for n, v in zip(docs.columns, r, strict=True) if n not in ("n_words", "kept")) for r in rows}
     sharded = sharding.stratified_shards(docs, 4)
     assert {tuple(r)[: len(rows[0])] for r in sharded.collect()} == {tuple(r) for r in rows} and sharded.columns == [*docs.columns, "shard", "slot"]
     assert sharding.stratified_shards(docs.limit(0), 4).count() == 0

@@ -141,14 +141,48 @@ def test_recall_on_many_vectors_with_a_dense_group():
     u = hnsw.unit(x)
     g = hnsw.Graph(u)
     assert [len(near) for near in g.layers] == g.sizes and len(g.sizes) >= 3
-    got = hnsw.audited(g, u[g.order].astype(np.float32), 0.9)
+    got, scanned = hnsw.audited(g, u[g.order].astype(np.float32), 0.9)
+    assert scanned.sum() < 4000  # the dense group alone
     want = list(g.scan(g.x, 0.9))
     links = sum(map(len, want))
     assert links > 1_000_000 and sum(len(set(a) & set(b)) for a, b in zip(got, want, strict=True)) >= 0.999 * links
-    walked = g.within(g.x[:500], 0.9, 64)  # the walk alone, without an audit
+    walked, _ = g.within(g.x[:500], 0.9, 64)  # the walk alone, without an audit
     assert sum(map(len, walked)) >= 0.9 * sum(map(len, want[:500]))
 
 
+@pytest.mark.parametrize("n, shards", [(60, 1), (3000, 1), (3000, 3)])
+def test_links_come_through_walks_alone(spark, n, shards):
+    rng = np.random.default_rng(n)
+    base = rng.standard_normal((n // 3, 16))
+    x = np.concatenate([base, base + 0.1 * rng.standard_normal(base.shape), base + 0.15 * rng.standard_normal(base.shape)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)
+    got = {r.id: r for r in hnsw.near_duplicates(rows, shards=shards).collect()}
+    u = hnsw.unit(x)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert [got[i].n_links for i in range(n)] == links.tolist() and links.sum() > n
+    assert {(r.n_walked, r.n_scanned) for r in got.values()} == {(shards, 0)}
+
+
+def test_links_seen_from_one_side_are_looked_at_again(spark, monkeypatch):
+    real = hnsw.audited
+
+    def forgetful(graph, q, least):
+        """Leaves out what every third query has found."""
+        found, scanned = real(graph, q, least)
+        return [near[:0] if k % 3 == 0 else near for k, near in enumerate(found)], scanned
+
+    monkeypatch.setattr(hnsw, "audited", forgetful)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((50, 12))
+    x = np.concatenate([base, base + 0.05 * rng.standard_normal(base.shape)])
+    got = hnsw.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    u = hnsw.unit(x)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    seen = {r.id: r for r in got}
+    whole = [i for i in range(100) if seen[i].n_links == links[i]]
+    assert sum(r.n_scanned for r in got) > 0 and len(whole) > 60  # only links that both ends forgot are gone
+
+
 def test_graphs_link_with_few_nodes_looked_at(spark, monkeypatch):
     monkeypatch.setattr(hnsw, "SHARD_BYTES", 20_000)
     rng = np.random.default_rng(9)

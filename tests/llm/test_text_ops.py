@@ -98,6 +98,21 @@ def test_whole_values_of_every_credential_context(spark):
     assert all(s.base == brute_base(t) for s, t in zip(got, texts, strict=True))
 
 
+def test_values_in_prose_and_behind_arrows(spark):
+    texts = ["my password is Xy#7!kk9$LmQ ok", "api_key -> Xy#7!kk9$LmQ", "token => 'Xy#7!kk9$LmQ'", "the password is unguessable", "your secret is required!", "the key is Xy#7!kk9$LmQ"]
+    got = [r.secrets.masked for r in secrets.scan_secrets(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["my [secret] ok", "[secret]", "[secret]'", *texts[3:]]
+
+
+def test_one_value_of_a_million_letters(spark):
+    value = "".join(random.Random(2).choices("qzjxkvwpgh", k=1_000_000))
+    rows = docs(spark, ["ordinary words here"] * 3 + [f"pass: {value}", f"pass: ordinary{value[:9]}ordinary"])
+    got = [r.secrets for r in secrets.scan_secrets(rows).orderBy("doc_id").collect()]
+    assert [s.spans for s in got] == ["", "", "", f"guess:0:{len(value) + 6}", "guess:0:31"]
+    path = secrets.corpus_ranks(rows, "text", {}, 8.0)
+    assert secrets.loaded_ranks(path, ()) == {"ordinary": 3}  # "words" and "here" occur in no value
+
+
 def test_ordinary_words_of_the_corpus_are_no_secrets(spark):
     prose = ["it is required that a certificate stays disabled", "nicht vollständig, aber required", "Vollständig disabled certificate; required", "vollständig und disabled: certificate"]
     clean = ["login: required", "auth: disabled", "credentials: certificate", "pass: vollständig"]
@@ -172,3 +187,9 @@ def test_token_count_query_shape(spark):
     for r in token_counts.count_edited(token_counts.token_trees(d)).collect():
         assert r.counts.n_tokens == len(enc.encode_ordinary(r.text or ""))
         assert r.counts.n_tokens_edited == len(enc.encode_ordinary(re.sub(r"[ \t]*[\r\n]+[ \t]*", " ", r.text or "")))
+
+
+def test_bpe_of_an_empty_table(spark):
+    for made in (bpe.encode_texts, bpe.digest_texts):
+        assert made(docs(spark, [])).count() == 0
+    assert bpe.decode_ids(bpe.encode_texts(docs(spark, []))).count() == 0
