@@ -1,5 +1,7 @@
 """Long runs of one character, unclosed marks and awkward edges: right, and in little time."""
 
+import random
+import re
 import time
 
 import pytest
@@ -31,6 +33,35 @@ def test_long_runs_pass_every_stage(spark):
     assert got[0][0] == "" and got[1][0] == texts[1] and got[2][1] == "fire" and got[4][5] == "[" * N + " one"
 
 
+@pytest.mark.parametrize("text", ["**a " * 50_000, "_a " * 60_000, "~~a ~~" * 30_000, "*a* **b" * 20_000, "**a " * 40_000 + "b**", "*" * 100_000 + "a*", "* a" * 60_000 + "*", "__a__ _" * 20_000 + "\n_b_"])
+def test_unmatched_marks_take_little_time(spark, text):
+    began = time.time()
+    got = said(spark, [text], markdown.strikethrough(markdown.emphasis(F.col("t"))))[0][0]
+    assert time.time() - began < 20
+    assert got == text if text.startswith("_a ") else len(got) <= len(text)
+
+
+def slow_pairs(line, mark, outside):
+    """Tries every opener with every closer behind it."""
+    out, at, n = "", 0, len(mark)
+    adjoins = lambda k: 0 <= k < len(line) and bool(outside) and re.match(outside, line[k]) is not None
+    while at < len(line):
+        opens = line.startswith(mark, at) and not adjoins(at - 1) and not line[at + n : at + n + 1].isspace()
+        close = next((k for k in range(at + n + 1, len(line)) if line.startswith(mark, k) and not line[k - 1].isspace() and not adjoins(k + n)), None) if opens else None
+        if close is None:
+            out, at = out + line[at], at + 1
+        else:
+            out, at = out + line[at + n : close], close + n
+    return out
+
+
+def test_marks_against_a_slow_version(spark):
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("**__~~ab \r\u2028") for _ in range(draw.randrange(14))) for _ in range(1500)]
+    for mark, outside in (("**", r"\*"), ("__", "_"), ("*", r"\*"), ("_", "[A-Za-z0-9_]"), ("~~", "")):
+        assert [r[0] for r in said(spark, texts, markdown.paired(F.col("t"), mark, outside))] == [slow_pairs(t, mark, outside) for t in texts]
+
+
 def test_tables_of_many_rows(spark):
     text = "| A | B |\n| --- | --- |\n" + "| 1 | 2 |\n" * 30_000 + "end"
     assert said(spark, [text], markdown.tables(F.col("t"))) == [("A. B.\n" + "1. 2.\n" * 30_000 + "end",)]
