@@ -302,6 +302,23 @@ _SQL["segments_normalized"] = _SQL["segments_streamed_normalized"] = _SQL["segme
 _SQL["reassembled_normalized"] = "SELECT conv_id, replace(coalesce(string_agg(text, '' ORDER BY turn, text), ''), 'the', 'THE') AS text FROM conversations GROUP BY conv_id"
 
 
+def segments_streamed_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sentences a part, sent in three chunks that divide a date: segments as cut, each spoken under a full profile."""
+    folder, size = work_folder(spark), "cast(p_size as string)"
+    text = f"concat('Am 14.05.2026 wurden ', {size}, ' kWh gemessen. Danach um 13:40 Uhr waren es ', {size}, '°C bei gutem Wetter und leichtem Wind aus dem Westen und ohne Regen.')"
+    whole = spread(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stream_id"), F.expr(text).alias("t")))
+    chunk = "CASE seq WHEN 0 THEN substr(t, 1, 7) WHEN 1 THEN substr(t, 8, 30) ELSE substr(t, 38) END"
+    rows = whole.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(2)))).selectExpr("stream_id", "cast(seq as long) AS seq", f"{chunk} AS chunk", "seq = 2 AS is_last", "timestamp_seconds(seq + 86400) AS ts")
+    rows.write.parquet(f"{folder}/chunks")
+    spoken = normalize(cut_stream(read_chunks(spark, f"{folder}/chunks")), _TOKENS, "segment")
+    write_segments(spoken, f"{folder}/segments", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("stream_id long, seg_no long, segment string, late boolean").parquet(f"{folder}/segments").filter("not late").drop("late")
+
+
+_QUERIES["segments_streamed_spoken"] = segments_streamed_spoken
+_SQL["segments_streamed_spoken"] = f"SELECT p_partkey AS stream_id, k::BIGINT AS seg_no, CASE k WHEN 0 THEN 'Am vierzehnten Mai zweitausendsechsundzwanzig wurden ' || {O.de_below_100(_P)} || CASE WHEN p_size = 1 THEN ' Kilowattstunde' ELSE ' Kilowattstunden' END || ' gemessen. ' ELSE 'Danach um dreizehn Uhr vierzig waren es ' || {O.de_below_100(_P)} || ' Grad bei gutem Wetter und leichtem Wind aus dem Westen und ohne Regen.' END AS segment FROM part, (VALUES (0), (1)) AS v(k)"
+
+
 # Token tables; sentences are written from columns, and the SQL takes the same columns.
 def _written(spark: SparkSession, sf_dir: str, table: str, key: str, sentence: str) -> DataFrame:
     return _table(spark, sf_dir, table).select(F.expr(key).alias("id"), F.expr(sentence).alias("text"))

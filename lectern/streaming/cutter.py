@@ -16,7 +16,8 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.readwriter import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.functions.words import DE_MONTHS, EN_MONTHS
 
@@ -125,49 +126,124 @@ def cut_segments(chunks: DataFrame, tail: int = TAIL, most: int = BUFFER) -> Dat
     return placed.repartition("stream_id").sortWithinPartitions("stream_id", "seq", "chunk").mapInPandas(cut, "stream_id long, seg_no long, segment string")
 
 
-def cut_stream(chunks: DataFrame, tail: int = TAIL, most: int = BUFFER, delay: str = "10 minutes", idle_ms: int = 600_000, first_seq: int = 0) -> DataFrame:
-    """The segments of a stream of chunks, (stream_id, seg_no, segment, late), in append mode.
+#: Where state is a map of keys, as early chunks are, Spark asks for this store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    Chunks wait until those before them have come. ``is_last`` ends a stream and flushes it; so does event
-    time that passes idle_ms beyond a stream's last chunk, then over any gap. A chunk whose seq was already
-    passed, or that comes again, is handed on unchanged as a row with ``late`` true and no seg_no.
-    Spark itself leaves out rows whose ts the watermark has passed, so delay must cover the latest arrivals.
+
+class StreamCutter(StatefulProcessor):
+    """The cut of one stream: what is pending as a value, chunks that came early as a map by seq, a timer for silence.
+
+    A batch reads and writes the early chunks that it brings or needs, not those that wait, so a missing chunk
+    costs no more than what comes in. The timer of a stream moves with its latest chunk.
     """
-    check_buffer(tail, most)
-    state_type = "next_seq long, seg_no long, pending string, seqs array<long>, held array<string>, last_seq long"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fresh = (first_seq, 0, "", [], [], None)
-        due, n, pending, seqs, held, last = state.get if state.exists else fresh
-        waiting, out, newest = dict(zip(seqs, held)), [], 0  # noqa: B905
-        if not state.hasTimedOut:
-            for pdf in batches:
-                for seq, chunk, is_last, ts in pdf[["seq", "chunk", "is_last", "ts"]].itertuples(index=False):
-                    newest = newest if pd.isna(ts) else max(newest, int(pd.Timestamp(ts).timestamp() * 1000))
-                    if pd.isna(seq) or seq < due or seq in waiting:
-                        out.append((key[0], None, chunk, True))
-                        continue
-                    waiting[int(seq)] = chunk or ""
-                    last = int(seq) if is_last is not None and not pd.isna(is_last) and is_last else last
+
+    def __init__(self, tail: int, most: int, idle_ms: int, first_seq: int):
+        self.tail, self.most, self.idle_ms, self.first_seq = tail, most, idle_ms, first_seq
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "due long, seg_no long, pending string, last_seq long, newest long, timer long")
+        self.early = handle.getMapState("early", "seq long", "chunk string")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due, n, pending, last, newest, timer = self.head.get() if self.head.exists() else (self.first_seq, 0, "", None, 0, None)
+        new: dict[int, str] = {}
+        out = []
+        for pdf in rows:
+            for seq, chunk, is_last, ts in pdf[["seq", "chunk", "is_last", "ts"]].itertuples(index=False):
+                newest = newest if pd.isna(ts) else max(newest, int(pd.Timestamp(ts).timestamp() * 1000))
+                if pd.isna(seq) or seq < due or seq in new or (seq > due and self.early.containsKey((int(seq),))):
+                    out.append((key[0], None, chunk, True))
+                    continue
+                new[int(seq)] = chunk or ""
+                last = int(seq) if is_last is not None and not pd.isna(is_last) and is_last else last
         ready = []
-        for seq in sorted(waiting) if state.hasTimedOut else iter(lambda: due if due in waiting else None, None):
-            ready.append(waiting.pop(seq))
-            due = int(seq) + 1
-        for segment, pending in segments(pending, ready, tail, most):  # noqa: B020
+        while due in new or self.early.containsKey((due,)):
+            if due in new:
+                ready.append(new.pop(due))
+            else:
+                ready.append(self.early.getValue((due,))[0])
+                self.early.removeKey((due,))
+            due += 1
+        for segment, pending in segments(pending, ready, self.tail, self.most):  # noqa: B020
             if segment:
                 out.append((key[0], n, segment, False))
                 n += 1
-        if state.hasTimedOut or (last is not None and due > last):
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        if last is not None and due > last:
             out += [(key[0], n, pending, False)] if pending else []
             # What was sent beyond the end belongs to no place in the stream.
-            out += [(key[0], None, waiting[s], True) for s in sorted(waiting)]
-            state.remove()
+            beyond = new | {k[0]: v[0] for k, v in self.early.iterator()}
+            out += [(key[0], None, beyond[q], True) for q in sorted(beyond)]
+            self.head.clear()
+            self.early.clear()
         else:
-            state.update((due, n, pending, list(waiting), list(waiting.values()), last))
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1) + idle_ms)
-        yield pd.DataFrame(out, columns=["stream_id", "seg_no", "segment", "late"]).astype({"seg_no": "Int64"})
-
-    return (
-        chunks.withWatermark("ts", delay).groupBy("stream_id")
-        .applyInPandasWithState(step, SEGMENTS, state_type, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+            for seq, chunk in new.items():
+                self.early.updateValue((seq,), (chunk,))
+            timer = max(newest, timerValues.getCurrentWatermarkInMs() + 1) + self.idle_ms
+            self.handle.registerTimer(timer)
+            self.head.update((due, n, pending, last, newest, timer))
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Flushes a silent stream, over any gap."""
+        out = []
+        if self.head.exists():
+            _, n, pending, *_ = self.head.get()
+            held = sorted((k[0], v[0]) for k, v in self.early.iterator())
+            for segment, pending in segments(pending, [chunk for _, chunk in held], self.tail, self.most):  # noqa: B020
+                if segment:
+                    out.append((key[0], n, segment, False))
+                    n += 1
+            out += [(key[0], n, pending, False)] if pending else []
+            self.head.clear()
+            self.early.clear()
+        yield self._rows(out)
+
+    @staticmethod
+    def _rows(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["stream_id", "seg_no", "segment", "late"]).astype({"seg_no": "Int64"})
+
+
+def cut_stream(chunks: DataFrame, tail: int = TAIL, most: int = BUFFER, delay: str = "10 minutes", idle_ms: int = 600_000, first_seq: int = 0) -> DataFrame:
+    """The segments of a stream of chunks, (stream_id, seg_no, segment, late), in append mode.
+
+    Chunks wait until those before them have come. ``is_last`` ends a stream and flushes it; so does event
+    time that passes idle_ms beyond a stream's last chunk, then over any gap. A chunk whose seq was already
+    passed, or that comes again, is handed on unchanged as a row with ``late`` true and no seg_no.
+    Spark itself leaves out rows whose ts the watermark has passed: ``split_late`` puts them aside before.
+    Sets the session's state store to the one that holds maps, if it is another.
+    """
+    check_buffer(tail, most)
+    spark = chunks.sparkSession
+    if spark.conf.get(STORE[0]) != STORE[1]:
+        spark.conf.set(*STORE)
+    keyed = chunks.withWatermark("ts", delay).groupBy("stream_id")
+    return keyed.transformWithStateInPandas(StreamCutter(tail, most, idle_ms, first_seq), SEGMENTS, "Append", "EventTime")
+
+
+def split_late(chunks: DataFrame, on_time: str, late: str, checkpoint: str, delay: str = "10 minutes") -> DataStreamWriter:
+    """A writer that parts a stream of chunks before any watermark: rows that one would pass over go to ``late``.
+
+    Row by row, a chunk is late if its ts is by delay or more behind the newest ts of its own batch and all before.
+    The others are written to ``on_time``, a folder for each batch, for ``cut_stream(read_chunks(spark, f"{on_time}/*"), delay=delay)``:
+    whatever files of a batch it reads first, its watermark is never ahead of the mark of that batch, so nothing is
+    left out there. A backlog should be read in batches that span less than the delay. A batch that is repeated
+    writes its own folders again. Rows without ts are on time.
+    """
+
+    def part(batch: DataFrame, number: int) -> None:
+        spark, folder = batch.sparkSession, f"{number:012d}"
+        marks = f"{checkpoint}/marks"
+        # One row a batch; a batch that is repeated sees no later ones.
+        batch.agg(F.max("ts").alias("newest")).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{marks}/{folder}")
+        newest = spark.read.schema("newest timestamp, batch long").parquet(f"{marks}/*").filter(F.col("batch") <= number).agg(F.max("newest")).first()[0]
+        behind = F.lit(False) if newest is None else F.coalesce(F.col("ts") <= F.lit(newest) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        batch.filter(behind).write.mode("overwrite").parquet(f"{late}/{folder}")
+        batch.filter(~behind).write.mode("overwrite").parquet(f"{on_time}/{folder}")
+
+    return chunks.writeStream.foreachBatch(part).option("checkpointLocation", f"{checkpoint}/split")

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from lectern.sources.messages import read_chunks, read_messages, write_normalized, write_segments
-from lectern.streaming.cutter import cut_at, cut_segments, cut_stream, date_dot, segments
+from lectern.streaming.cutter import cut_at, cut_segments, cut_stream, date_dot, segments, split_late
 
 
 def joined(chunks, tail, most):
@@ -122,3 +122,46 @@ def test_messages_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in read_messages(spark, str(tmp_path / "m")).select("msg_id", "lang", "text").collect()) == rows
     (tmp_path / "t.txt").write_text("x\ny\n")
     assert [r.text for r in read_messages(spark, str(tmp_path / "t.txt"), "text").collect()] == ["x", "y"]
+
+
+def run_to_end(writer):
+    run = writer.trigger(availableNow=True).start()
+    assert run.awaitTermination(300) is not False and run.exception() is None
+    return run
+
+
+def test_early_chunks_cost_what_comes_in_and_survive_restarts(spark, tmp_path):
+    n, parts = 8000, 4
+    rows = [(1, k, f"word{k}. ", k == n, f"2024-01-01 00:{k // 200:02d}:00") for k in range(1, n + 1)]
+    spent = []
+    for k in range(parts + 1):
+        part = rows[k * n // parts : (k + 1) * n // parts] if k < parts else [(1, 0, "first. ", False, "2024-01-01 00:40:00")]
+        table(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        # Each run is a restart from the checkpoint of the one before.
+        run = run_to_end(write_segments(cut_stream(read_chunks(spark, str(tmp_path / "in")), 5, 40, delay="1 day", idle_ms=10**9), str(tmp_path / "out"), str(tmp_path / "check")))
+        spent.append(sum(p["durationMs"].get("addBatch", 0) for p in run.recentProgress if p["numInputRows"]))
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("seg_no").collect()
+    assert "".join(r.segment for r in got) == "first. " + "".join(r[2] for r in rows) and not any(r.late for r in got)
+    assert max(spent[1:parts]) < 3 * spent[0] + 2000
+
+
+def test_every_chunk_of_a_shuffled_replay_is_somewhere(spark, tmp_path):
+    draw = random.Random(11)
+    rows = [(s, k, f"{s}-{k}. ", k == 39, f"2024-01-01 {k // 4:02d}:{k % 4 * 15:02d}:00") for s in range(5) for k in range(40)]
+    order = sorted(rows, key=lambda r: r[4] if draw.random() < 0.8 else f"2024-01-02 {draw.randrange(9)}")  # a fifth comes after all others
+    for k in range(0, len(order), 20):
+        table(spark, order[k : k + 20]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    on_time, late = str(tmp_path / "ontime"), str(tmp_path / "late")
+    for _ in range(2):  # the second run finds nothing new
+        run_to_end(split_late(read_chunks(spark, str(tmp_path / "in"), files_per_trigger=1), on_time, late, str(tmp_path / "split"), delay="1 hour"))
+    run_to_end(write_segments(cut_stream(read_chunks(spark, f"{on_time}/*", files_per_trigger=1), 5, 40, delay="1 hour", idle_ms=1000), str(tmp_path / "out"), str(tmp_path / "check")))
+    behind = [r.chunk for r in spark.read.parquet(f"{late}/*").collect()]
+    assert behind and spark.read.parquet(f"{on_time}/*").count() + len(behind) == len(rows)
+    # A last chunk far ahead in time brings what still waits for a gap.
+    table(spark, [(99, 0, "end", True, "2024-03-01 00:00:00")]).coalesce(1).write.parquet(f"{on_time}/999999999998")
+    table(spark, [(98, 0, "end", True, "2024-04-01 00:00:00")]).coalesce(1).write.parquet(f"{on_time}/999999999999")
+    for _ in range(2):
+        run_to_end(write_segments(cut_stream(read_chunks(spark, f"{on_time}/*", files_per_trigger=1), 5, 40, delay="1 hour", idle_ms=1000), str(tmp_path / "out"), str(tmp_path / "check")))
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    said = [p for r in out for p in re.findall(r"\d+-\d+\. ", r.segment)]
+    assert sorted(said + behind) == sorted(r[2] for r in rows)
