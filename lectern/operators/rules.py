@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +35,47 @@ def load_rules(rows: list[dict]) -> list[Rule]:
         if rule.mode not in ("literal", "regex") or not rule.find:
             raise ValueError(f"rule {k}: needs a known mode and something to find")
         if rule.mode == "regex":
-            try:
-                re.compile(rule.find)
-            except re.error as e:
-                raise ValueError(f"rule {k}: {e}") from e
+            if (wrong := pattern_error(rule.find)) is not None:
+                raise ValueError(f"rule {k}: {wrong}")
         out.append(rule)
     return out
 
 
+@lru_cache(1 << 14)
+def pattern_error(find: str) -> str | None:
+    """Why a regular expression does not compile, else null."""
+    try:
+        re.compile(find)
+    except (re.error, OverflowError, RecursionError) as e:
+        return str(e)
+    return None
+
+
+def rule_errors(rules: Column) -> Column:
+    """For each rule of an array of (mode, find) what is wrong with it, else null; a worker compiles a pattern once."""
+    kinds = {"literal": lambda find: None, "regex": pattern_error}
+
+    @F.pandas_udf("array<string>")
+    def wrong(rows: pd.Series) -> pd.Series:
+        said = lambda r: "unknown mode" if r["mode"] not in kinds else "nothing to find" if not r["find"] else kinds[r["mode"]](r["find"])
+        return pd.Series([None if row is None else [said(r) for r in row] for row in rows])
+
+    return wrong(rules)
+
+
+@lru_cache(1 << 14)
+def java_compiles(pattern: str) -> bool:
+    """Whether Java's engine takes a pattern; asked of the running session's JVM, taken as true where there is none."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return True
+    try:
+        context._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def java_pattern(rule: Rule) -> str:
     find = re.sub(r"\(\?P<", "(?<", rule.find) if rule.mode == "regex" else r"\Q" + rule.find.replace(r"\E", r"\E\\E\Q") + r"\E"
     return ("(?iuU)" if rule.ignore_case else "(?U)") + find
@@ -60,6 +96,8 @@ def python_only(rule: Rule) -> bool:
         or any("[" in c or "&&" in c or c.startswith("]") for c in inner)
         or re.compile(rule.find).groups > 9
         or re.search(r"\\(?!\d|g<)", rule.replace)
+        or re.search(r"\{,\d", find)  # from nothing on, to Python alone
+        or not java_compiles(java_pattern(rule))
     )
 
 

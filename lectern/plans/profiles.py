@@ -82,6 +82,16 @@ def canonical_profiles(profiles: DataFrame) -> DataFrame:
     return out.withColumn("rules", F.transform(F.coalesce("rules", F.array().cast(FIELDS["rules"])), rule))
 
 
+def _rule_errors():
+    return rules.rule_errors(F.transform("rules", lambda r: F.struct(r["mode"].alias("mode"), r["find"].alias("find"))))
+
+
+def invalid_rules(profiles: DataFrame) -> DataFrame:
+    """(profile, rule_no, find, error) of the rules of canonical profiles that cannot be used; rules count from 1."""
+    each = profiles.select("profile", F.posexplode(F.arrays_zip("rules", _rule_errors().alias("error"))).alias("k", "r"))
+    return each.filter("r.error is not null").select("profile", (F.col("k") + 1).alias("rule_no"), F.col("r.rules.find").alias("find"), F.col("r.error").alias("error"))
+
+
 def validate_profiles(profiles: DataFrame) -> DataFrame:
     """Canonical profiles with ``error``: the code of the first check that fails, else null."""
     def language(name: str):
@@ -89,7 +99,7 @@ def validate_profiles(profiles: DataFrame) -> DataFrame:
 
     spoken = list(CARDINAL)
     buffer = (F.col("safety_tail_chars") < 0) | (F.col("max_buffer_chars") <= 0) | (F.col("max_buffer_chars") <= F.col("safety_tail_chars"))
-    bad_rule = F.exists("rules", lambda r: ~r["mode"].isin("literal", "regex") | (r["find"] == ""))
+    bad_rule = F.exists(_rule_errors(), lambda e: e.isNotNull())
     formats = F.size(F.array_except(F.coalesce("date_formats", F.array().cast("array<string>")), F.array(*map(F.lit, FORMATS)))) > 0
     nothing = (F.size(F.coalesce("date_formats", F.array(F.lit("")))) == 0) & ~F.col("standalone_years")
     years = F.col("standalone_years") & (F.col("year_min") > F.col("year_max"))

@@ -11,7 +11,7 @@ from lectern.functions.words import CARDINAL
 from lectern.operators import dates, emoji, extract, markdown, numbers, rules, times, units
 from lectern.plans import oracle as O
 from lectern.plans.normalize import Profile, change_rates, normalize, normalize_distinct
-from lectern.plans.profiles import canonical_profiles, load_profiles, normalize_by_profile, preview, preview_rejected, profile_rows, profiles_by_name, supported_locales, validate_profiles
+from lectern.plans.profiles import canonical_profiles, invalid_rules, load_profiles, normalize_by_profile, preview, preview_rejected, profile_rows, profiles_by_name, supported_locales, validate_profiles
 from lectern.sources.messages import read_chunks, spread, work_folder, write_segments
 from lectern.streaming.cutter import cut_segments, cut_stream
 
@@ -379,6 +379,19 @@ def profiles_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES["profiles_invalid"] = profiles_invalid
 _SQL["profiles_invalid"] = "SELECT p_partkey::VARCHAR AS profile, CASE p_size % 10 WHEN 0 THEN 'invalid_buffer_config' WHEN 1 THEN 'invalid_buffer_config' WHEN 2 THEN 'invalid_rule' WHEN 3 THEN 'invalid_emoji_normalizer' WHEN 4 THEN 'invalid_date_normalizer' WHEN 5 THEN 'invalid_date_normalizer' WHEN 6 THEN 'invalid_time_normalizer' WHEN 7 THEN 'invalid_number_normalizer' END AS error FROM part"
+def rules_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unusable rules of a profile for each part, three rules each; beside the first is one for the whole profile."""
+    size = F.col("p_size")
+    first = F.when(size % 5 == 0, "(a").when(size % 5 == 1, "[b").otherwise("(?P<n>c)(?P=n)")
+    rule = lambda mode, find: F.struct(mode.alias("mode"), find.alias("find"))
+    each = F.array(rule(F.lit("regex"), first), rule(F.when(size % 5 == 2, "odd").otherwise("literal"), F.lit("(a")), rule(F.lit("regex"), F.when(size % 5 == 3, "").otherwise("x{,3}")))
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("profile"), F.to_json(F.struct(F.lit("en-US").alias("output_language"), each.alias("rules"))).alias("data"), F.lit("{}").alias("options"))
+    bad = invalid_rules(canonical_profiles(load_profiles(rows)))
+    return bad.select("profile", "rule_no", "find", F.regexp_extract("error", r"^\w+", 0).alias("error"))
+
+
+_QUERIES["rules_invalid"] = rules_invalid
+_SQL["rules_invalid"] = "SELECT p_partkey::VARCHAR AS profile, CASE p_size % 5 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END::INTEGER AS rule_no, CASE p_size % 5 WHEN 0 THEN '(a' WHEN 1 THEN '[b' WHEN 2 THEN '(a' ELSE '' END AS find, CASE p_size % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'unterminated' WHEN 2 THEN 'unknown' ELSE 'nothing' END AS error FROM part WHERE p_size % 5 < 4"
 _QUERIES["documents_by_stage_support"] = lambda spark, sf_dir: _table(spark, sf_dir, "documents").select("doc_id", "lang").join(F.broadcast(supported_locales(spark)).withColumnRenamed("locale", "lang"), "lang").groupBy("lang").agg(F.countDistinct("stage").alias("stages"), F.countDistinct("doc_id").alias("docs"))
 _SQL["documents_by_stage_support"] = "SELECT lang, CASE WHEN lang IN ('de', 'en') THEN 4 ELSE 2 END::BIGINT AS stages, count(DISTINCT doc_id) AS docs FROM documents WHERE lang IN ('de', 'en', 'fr', 'es') GROUP BY lang"
 _QUERIES["preview_rejected"] = lambda spark, sf_dir: preview_rejected(_table(spark, sf_dir, "documents"), "doc_id")

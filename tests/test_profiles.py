@@ -1,9 +1,11 @@
 """Profiles: overlay, canonical form, the first failing check, and messages by profile."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from lectern.operators import rules
 from lectern.plans.normalize import Profile
-from lectern.plans.profiles import canonical_profiles, load_profiles, normalize_by_profile, preview, profile_rows, profiles_by_name, validate_profiles
+from lectern.plans.profiles import canonical_profiles, invalid_rules, load_profiles, normalize_by_profile, preview, profile_rows, profiles_by_name, validate_profiles
 
 GOOD = {"language": {"output_language": " de_de "}, "number": {"number_enabled": True}, "preview_text": "x"}
 
@@ -42,6 +44,20 @@ def test_messages_by_profile(spark):
     assert {r.id: r.text for r in normalize_by_profile(rows, known).collect()} == {1: "a zwei", 2: "B two", 3: "a 2", 4: "2", 5: None}
 
 
+def test_a_bad_pattern_stops_its_own_profile_alone(spark):
+    bad = {**GOOD, "rules": [{"find": "ok"}, {"find": "(", "mode": "regex"}, {"find": "[", "mode": "regex"}]}
+    rows = canonical_profiles(load_profiles(profile_rows(spark, [("de", GOOD, {}), ("bad", bad, {}), ("none", {**GOOD, "rules": []}, {})])))
+    assert set(profiles_by_name(validate_profiles(rows))) == {"de", "none"}
+    assert [(r.profile, r.rule_no, r.find) for r in invalid_rules(rows).orderBy("rule_no").collect()] == [("bad", 2, "("), ("bad", 3, "[")]
+    assert {r.profile: r.error for r in validate_profiles(rows).collect()} == {"de": None, "bad": "invalid_rule", "none": None}
+
+
+def test_what_java_does_not_take_goes_to_python(spark):
+    rule = rules.Rule("a{,2}b", "x", "regex")
+    assert rules.python_only(rule) and not rules.python_only(rules.Rule("a{0,2}b", "x", "regex"))
+    assert spark.createDataFrame([("aab b",)], "t string").select(rules.apply_rule(F.col("t"), rule)).first()[0] == "x x"
+
+
 def test_markdown_switches(spark):
     some = {"markdown": {"markdown_enabled": True, "strip_emphasis": False, "remove_plain_urls": True}}
     known = profiles_by_name(checked(spark, ("all", {"output_language": "en", "markdown_enabled": True}, {}), ("some", {"output_language": "en"}, some)))
