@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.regexsub import by_segment, last, let, like, regex_sub
+from lectern.functions.words import listed
 
 #: The code points with Unicode's property Emoji, in hexadecimal; digits, # and * are emoji in keycaps only.
 EMOJI = (
@@ -68,6 +69,25 @@ def emoji_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "seq string, lang string, name string")
 
 
+#: Rows of one language that a vocabulary may have, several times what Unicode has sequences.
+MOST_NAMES = 50_000
+
+
+def names_of(vocabulary: DataFrame, lang: str) -> dict[str, str]:
+    """The names of a language in a vocabulary table, for ``spell_emoji``; English ones where it has none.
+
+    Names may be written with colons and underscores; of two for a sequence the greater holds. A language of
+    more than MOST_NAMES rows is refused, as the names travel with the plan.
+    """
+    rows = vocabulary.filter(F.col("lang").isin(lang, "en") & F.col("seq").isNotNull() & F.col("name").isNotNull())
+    clean = F.trim(F.regexp_replace(F.translate(F.trim("name", F.lit(":")), "_", " "), r"\s+", " "))
+    each = rows.groupBy(F.translate("seq", "\ufe0f", "").alias("seq")).agg(F.coalesce(F.max(F.when(F.col("lang") == lang, clean)), F.max(clean)).alias("name"))
+    found = each.filter("seq <> '' and name <> ''").limit(MOST_NAMES + 1).collect()
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names of emoji")
+    return {r.seq: r.name for r in found}
+
+
 def named(sequences: DataFrame, vocabulary: DataFrame, lang: str, seq: str = "seq") -> DataFrame:
     """sequences with ``name``: the one in the language, else the English one, else null. The vocabulary is bounded by Unicode."""
     own, english = (vocabulary.filter(F.col("lang") == x).groupBy(F.col("seq").alias("_seq")).agg(F.max("name").alias(c)) for x, c in ((lang, "_own"), ("en", "_en")))
@@ -126,18 +146,26 @@ def tidied(said: Column, text: Column) -> Column:
 def spell_emoji(text: Column, lang: str, names: dict[str, str] | None = None) -> Column:
     """Known emoji as ", name,", with the commas tidied; stretches without any stay untouched.
 
-    names: sequences and names that win over the vocabulary's.
+    names: sequences and names that win over those built in, such as ``names_of`` a vocabulary table. The whole
+    sequence is looked up first, then without its skin tone, then pictures joined into one by their parts.
     """
-    known = english_names() | NAMES.get(lang, {}) | (names or {})
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    tones = F.create_map(*(F.lit(x) for pair in TONE_NAMES.items() for x in pair))
+    known = english_names() | NAMES.get(lang, {}) | {s.replace("\ufe0f", ""): n for s, n in (names or {}).items()}
+    table = F.map_from_arrays(listed(list(known)), listed(list(known.values())))
+    tones = F.map_from_arrays(listed(list(TONE_NAMES)), listed(list(TONE_NAMES.values())))
 
-    def name(x: Column) -> Column:
-        bare = F.translate(x, "️", "")
+    def single(bare: Column) -> Column:
         tone = F.regexp_extract(bare, f"({TONES})\\z", 1)
         toned = F.concat(F.try_element_at(table, F.regexp_replace(bare, f"{TONES}\\z", "")), F.lit(" "), F.try_element_at(tones, tone), F.lit(" skin tone"))
         return F.coalesce(F.try_element_at(table, bare), toned)
 
+    def name(x: Column) -> Column:
+        def of(bare: Column) -> Column:
+            parts = F.transform(F.split(bare, "\u200d"), single)
+            together = let(parts, lambda ps: F.when(~F.exists(ps, lambda p: p.isNull()), F.array_join(ps, " ")))
+            return F.coalesce(single(bare), F.when(bare.contains("\u200d"), together))
+
+        return let(F.translate(x, "\ufe0f", ""), of)
+
     def spoken(t: Column) -> Column:
         said = regex_sub(t, SEQUENCE, lambda x, left, right: F.concat(F.lit(", "), name(x), F.lit(",")), tags=False)
         return let(said, lambda s: F.when(s == t, t).otherwise(tidied(s, t)))

@@ -123,6 +123,20 @@ _spoken("md_plain_urls", "part", "p_partkey", "concat('see https://x.y/', p_size
 _spoken("emoji_remove", "part", "p_partkey", "concat('A ', p_size, ' 🔥 B')", emoji.remove_emoji, "'A ' || p_size || ' B'")
 _spoken("emoji_spell", "part", "p_partkey", "concat('Wert ', p_size, ' 🔥👍')", lambda t: emoji.spell_emoji(t, "de"), "'Wert ' || p_size || ', feuer, thumbs up'")
 
+def _vocabulary(spark: SparkSession) -> DataFrame:
+    """The built-in names and a language of its own, in the raw form that emoji tables have."""
+    own = [("🔥", "nl", ":vuur:"), ("👩‍💻", "nl", ":vrouwelijke_programmeur:"), ("🇳🇱", "nl", ":vlag_Nederland:"), ("☁️", "nl", ":wolk:")]
+    return emoji.emoji_names(spark).unionByName(spark.createDataFrame(own, "seq string, lang string, name string"))
+
+
+_SIGNS = "CASE p_size % 5 WHEN 0 THEN '🔥' WHEN 1 THEN '👩‍💻' WHEN 2 THEN '🇳🇱' WHEN 3 THEN '☁️' ELSE '🚀' END"
+_SPOKEN_SIGNS = "CASE p_size % 5 WHEN 0 THEN 'vuur' WHEN 1 THEN 'vrouwelijke programmeur' WHEN 2 THEN 'vlag Nederland' WHEN 3 THEN 'wolk' ELSE 'rocket' END"
+_QUERIES["emoji_vocabulary"] = lambda spark, sf_dir: _written(spark, sf_dir, "part", "p_partkey", f"concat('Maat ', p_size, ' ', {_SIGNS}, '!')").select("id", emoji.spell_emoji(F.col("text"), "nl", emoji.names_of(_vocabulary(spark), "nl")).alias("spoken"))
+_SQL["emoji_vocabulary"] = f"SELECT p_partkey AS id, 'Maat ' || p_size || ', ' || {_SPOKEN_SIGNS} || '!' AS spoken FROM part"
+_QUERIES["emoji_named"] = lambda spark, sf_dir: emoji.named(_table(spark, sf_dir, "part").select("p_partkey", F.expr("CASE p_size % 3 WHEN 0 THEN '🔥' WHEN 1 THEN '🚀' ELSE '⛺x' END").alias("seq")), emoji.emoji_names(spark), "de")
+_SQL["emoji_named"] = "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '🔥' WHEN 1 THEN '🚀' ELSE '⛺x' END AS seq, CASE p_size % 3 WHEN 0 THEN 'feuer' WHEN 1 THEN 'rakete' END AS name FROM part"
+_spoken("emoji_joined", "part", "p_partkey", "concat(p_size, ' 👩‍💻 👩🏽‍🚒 x')", lambda t: emoji.spell_emoji(t, "en"), "p_size || ', woman personal computer, woman medium skin tone fire engine, x'")
+
 # More of the rules, beyond one sentence each: wide values, all of a century's years, vetoes, rejected forms.
 _BIG = "(o_orderkey * 99991 % 1000000000)"
 _spoken("number_wide_en", "orders", "o_orderkey", f"concat('n ', {_BIG}, ' and ', {_BIG} % 1000, ' or ', {_BIG} % 1000000)", lambda t: numbers.speak_numbers(t, "en"),
