@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import accumulate
 from math import inf, log10
 
@@ -49,6 +49,8 @@ _AFTER_IS = (
 _CONTEXTS = [re.compile(p, re.ASCII | re.IGNORECASE) for p in (_AFTER_WORD, _AFTER_BEARER, _AFTER_IS)]
 #: For Spark's filters: values to the next blank, quote or list mark. A loop over one class does not recurse, however long.
 _JAVA_VALUES = f"(?i)(?:{_AFTER_WORD}|{_AFTER_BEARER}|{_AFTER_IS})".replace(_VALUE, r"[^\s\"',;<>]{6,}+")
+#: One of these is in every credential context and every assignment, in either case: what a text is searched for first.
+KEYWORDS = ("pass", "pwd", "credential", "bearer", "auth", "key", "login", "secret", "token")
 #: A word counts as ordinary if so many texts have it outside credential contexts; longer words are brute force.
 LEAST_TEXTS = 3
 LONGEST_WORD = 32
@@ -124,10 +126,15 @@ def guess_cost(value: str, rank: dict[str, int]) -> float:
     return best[n]
 
 
+def has_keyword(text: str) -> bool:
+    low = text.lower()
+    return any(k in low for k in KEYWORDS)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, leftmost and non-overlapping within each kind."""
-    found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
-    found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8] if has_keyword(text) else []
+    found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16] if "AKIA" in text else []
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     return sorted(found)
 
@@ -135,6 +142,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def open_values(text: str, base: list) -> list[tuple[int, int, str]]:
     """(start, end, value) of the credential contexts whose value no base span covers to its end."""
     found: dict[int, tuple[int, int, str]] = {}
+    if not has_keyword(text):
+        return []
     starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for pattern in _CONTEXTS:
         for m in pattern.finditer(text):
@@ -204,10 +213,12 @@ def corpus_ranks(docs: DataFrame, text: str, rank: dict[str, int], least: float)
 
     spark, values, ranks = docs.sparkSession, shared_dir(docs.sparkSession), shared_dir(docs.sparkSession)
     texts = docs.select(F.col(text).alias("t")).filter("t is not null")
-    texts.filter(F.col("t").rlike(_JAVA_VALUES)).select(F.explode(costly("t")).alias("v")).distinct().write.parquet(values)
+    low = F.lower("t")
+    keyed = reduce(lambda a, b: a | b, (low.contains(k) for k in KEYWORDS))
+    texts.filter(keyed & F.col("t").rlike(_JAVA_VALUES)).select(F.explode(costly("t")).alias("v")).distinct().write.parquet(values)
     if spark.read.schema("v string").parquet(values).isEmpty():
         return None
-    plain = F.lower(F.regexp_replace("t", F.lit(_JAVA_VALUES), F.lit(" ")))
+    plain = F.when(keyed, F.lower(F.regexp_replace("t", F.lit(_JAVA_VALUES), F.lit(" ")))).otherwise(low)
     each = F.array_distinct(F.regexp_extract_all(plain, F.lit(rf"(\p{{L}}{{3,{LONGEST_WORD}}}+)(?!\p{{L}})"), F.lit(1)))
     counts = written(texts.select(F.explode(each).alias("w")).groupBy("w").count().filter(F.col("count") >= LEAST_TEXTS))
     # Rank: how many words are at least as frequent; words share counts, so the table by count is short.
