@@ -19,7 +19,7 @@ chk("date us",lambda x:dates.speak_dates(x,"en-US"),[("on 03/15/2026.","on March
 chk("date gb",lambda x:dates.speak_dates(x,"en-GB"),[("15/03/2026","fifteenth of March twenty twenty-six")])
 chk("date de",lambda x:dates.speak_dates(x,"de-DE"),[("14.05.2026","vierzehnter Mai zweitausendsechsundzwanzig"),("am 14.05.2026","am vierzehnten Mai zweitausendsechsundzwanzig"),("ab 2026-05-14","ab vierzehntem Mai zweitausendsechsundzwanzig"),("23.05. 27.05.","23.05. 27.05."),("der 14.05.\n","der vierzehnte Mai.\n"),("14. 5. 1984","vierzehnter Mai neunzehnhundertvierundachtzig"),("114.05.2026","114.05.2026")])
 chk("date name",lambda x:dates.speak_dates(x,"en-US",["mdy_month_name","dmy_month_name"]),[("May 5, 2021 and 3 june","May fifth twenty twenty-one and June third")])
-chk("year",lambda x:dates.speak_dates(x,"en-US",[],True),[("in 1942, 1942 W PIN 1942 v2025.1 2005","in nineteen forty-two, 1942 W PIN 1942 v2025.1 two thousand five")])
+chk("year",lambda x:dates.speak_dates(x,"en-US",[],True),[("in 1942, 1942 W PIN 1942 v2025.1 2005 in 2005","in nineteen forty-two, 1942 W PIN 1942 v2025.1 2005 in two thousand five")])
 chk("clock de",lambda x:times.speak_times(x,"de"),[("13:40 Uhr","dreizehn Uhr vierzig"),("1:05 Uhr","ein Uhr fünf"),("24:00 Uhr 16:9 192.168.1.1:8123","24:00 Uhr 16:9 192.168.1.1:8123"),("14:30-15:30","vierzehn Uhr dreißig bis fünfzehn Uhr dreißig"),("13:40:05 Uhr","13:40:05 Uhr")])
 chk("clock en",lambda x:times.speak_times(x,"en-US",durations=True),[("08:05","eight oh five"),("12:00 PM","twelve PM"),("2:30pm-3:30pm","two thirty PM to three thirty PM"),("02:01:05","two hours one minute five seconds"),("1:30h","one hour thirty minutes")])
 chk("unit de",lambda x:units.speak_units(x,"de"),[("Temp 25°C und -5°F, Wolken 92%.","Temp 25 Grad und -5 Grad Fahrenheit, Wolken 92 Prozent."),("5m 25C sensor_30W 30Wert","5m 25C sensor_30W 30Wert"),("1.000W","1.000W")])
