@@ -215,7 +215,7 @@ _SQL["extract_tags"] = r"SELECT page_id, len(regexp_extract_all(html, '<[^>]*>|\
 
 def token_counts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric tokens by language, source and kind, with subtotals."""
-    return extract.token_rollup(_table(spark, sf_dir, "documents"), "de", ["lang", "source"])
+    return extract.token_rollup(spread(_table(spark, sf_dir, "documents").select("lang", "source", "text")), "de", ["lang", "source"])
 
 
 _QUERIES["token_counts_rollup"] = token_counts_rollup
