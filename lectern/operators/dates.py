@@ -77,6 +77,12 @@ def valid_date(day: Column, month: Column, year: Column) -> Column:
 
 #: Letters of the words that are context: of an ordinal's ending, of an identifier.
 LETTER = "[A-Za-zÄÖÜäöüß]"
+NO_LETTER = LETTER.replace("[", "[^")
+#: The last word, behind it only characters of a class. Read from the end, and each word but once: looked for from the
+#: left, every letter before it would be a start to try.
+LAST_WORD = rf"(?sU)\A(?:.*{NO_LETTER})?({LETTER}++){{}}*+\z"
+#: What Java's expressions take for white space in Unicode.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def ending(left: Column) -> Column:
@@ -88,7 +94,7 @@ def ending(left: Column) -> Column:
             out = F.when(F.array_contains(listed(ws), word), F.lit(e)).otherwise(out)
         return out
 
-    return let(F.lower(F.regexp_extract(last(left, 80), rf"(?U)({LETTER}+)\s*\z", 1)), by_word)
+    return let(F.lower(F.regexp_extract(last(left, 80), LAST_WORD.format(r"\s"), 1)), by_word)
 
 
 def spoken_date(day: Column, month: Column, year: Column, locale: str, left: Column, renderer: str = "curated") -> Column:
@@ -196,9 +202,9 @@ def spoken_year(x: Column, left: Column, right: Column, locale: str, least: int
     """The words of four digits that stand as a year, else null."""
     lang, y = normalize_locale(locale).split("-")[0], x.try_cast("int")
     # The last word within 80 characters, whatever else stands between.
-    before = F.lower(F.regexp_extract(last(F.regexp_replace(left, r"(?U)\s+\z", ""), 80), rf"(?s)({LETTER}+)[^A-Za-zÄÖÜäöüß]*\z", 1))
+    before = F.lower(F.regexp_extract(last(F.rtrim(left, F.lit(BLANKS)), 80), LAST_WORD.format(NO_LETTER), 1))
     ok = y.between(least, most) & numeric_left(left) & ~like(first(right, 2), rf"(?U)\A(?:[\p{{L}}\p{{N}}_]|[.,:/+{DASHES}]\d)")
-    return F.when(ok & ~F.array_contains(listed(SKIP_WORDS), before) & ~like(right, UNITS_AFTER), year_words(y, lang, least, most))
+    return F.when(ok & (F.find_in_set(before, F.lit(",".join(SKIP_WORDS))) == 0) & ~like(right, UNITS_AFTER), year_words(y, lang, least, most))
 
 
 def speak_years(text: Column, locale: str, least: int = 1900, most: int = 2099) -> Column:

@@ -104,3 +104,17 @@ def test_emoji(spark, text, spelled, removed):
     got = said(spark, [text], emoji.spell_emoji(F.col("t"), "de"), emoji.remove_emoji(F.col("t")))[0]
     assert got[1] == removed
     assert spelled is None or got[0] == spelled
+
+
+def test_last_word_is_read_from_the_end(spark):
+    """The word before a date or year, as a search from the left finds it, in time that grows with the text alone."""
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("aüZ   \n,.7-") for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for behind, plain in ((dates.NO_LETTER, rf"(?s)({dates.LETTER}+){dates.NO_LETTER}*\z"), (r"\s", rf"(?U)({dates.LETTER}+)\s*\z")):
+        assert df.filter(F.regexp_extract("t", dates.LAST_WORD.format(behind), 1) != F.regexp_extract("t", plain, 1)).count() == 0
+    assert df.filter(F.rtrim("t", F.lit(dates.BLANKS)) != F.regexp_replace("t", r"(?U)\s+\z", "")).count() == 0
+    long = spark.createDataFrame([("a" * 20_000 + ".",)] * 8, "t string")
+    began = time.time()
+    assert long.select(F.regexp_extract("t", dates.LAST_WORD.format(r"\s"), 1)).distinct().count() == 1
+    assert time.time() - began < 5
