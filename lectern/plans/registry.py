@@ -335,7 +335,7 @@ _SQL["segments_streamed_spoken"] = f"SELECT p_partkey AS stream_id, k::BIGINT AS
 
 # Token tables; sentences are written from columns, and the SQL takes the same columns.
 def _written(spark: SparkSession, sf_dir: str, table: str, key: str, sentence: str) -> DataFrame:
-    return _table(spark, sf_dir, table).select(F.expr(key).alias("id"), F.expr(sentence).alias("text"))
+    return spread(_table(spark, sf_dir, table).select(F.expr(key).alias("id"), F.expr(sentence).alias("text")))
 
 
 _QUERIES["extract_numbers"] = lambda spark, sf_dir: extract.extract_numbers(_written(spark, sf_dir, "part", "p_partkey", "concat('a ', p_size, ' b 0', p_size, ' v', p_size, ' ', p_size, ',5')"), "id", "de").withColumn("value", F.col("value").cast("double"))

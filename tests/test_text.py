@@ -61,3 +61,11 @@ def test_queries_match_their_sql_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_written_sentences_are_dealt_over_all_cores(spark):
+    """A table of a single file, however many rows it has, is not left to one task."""
+    from lectern.plans import registry
+
+    rows = registry._written(spark, "/root/testdata/sf0.01", "part", "p_partkey", "cast(p_size as string)")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 2000
