@@ -18,9 +18,12 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,8 +166,12 @@ class WordBpe:
         # Case is folded character by character, so a final sigma is not special.
         return self.wide(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def encode(self, text: str) -> list[int]:
-        """Token ids."""
+    def encode(self, text: str) -> tuple[list[int], str]:
+        """Token ids, and the same in decimal joined by spaces."""
+        ids = self.token_ids(text)
+        return ids, " ".join([self.decimal[i] for i in ids])
+
+    def token_ids(self, text: str) -> list[int]:
         ids: list[int] = []
         for part in self.cut.split(text) if self.cut else (text,):
             if part in self.special:
@@ -195,10 +202,14 @@ def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text") -
     """docs with ``token_ids``."""
     path = path or vocabulary()
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        bpe = loaded(path)
-        return pd.Series([bpe.encode(t or "") for t in texts])
+    # A batch's texts stay in Arrow but for the one encoded, and its ids are one flat array: no lists of a whole batch.
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        bpe, flat, ends = loaded(path), array("i"), array("i", [0])
+        for t in texts:
+            flat.extend(bpe.token_ids(t.as_py() or ""))
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(np.asarray(ends)), pa.array(np.asarray(flat)))
 
     return docs.withColumn("token_ids", ids(F.col(text)))
 
@@ -226,8 +237,7 @@ def digest_texts(docs: DataFrame, path: str | None = None, text: str = "text") -
     def digest(texts: pd.Series) -> pd.DataFrame:
         bpe, rows = loaded(path), []
         for t in texts:
-            ids = bpe.encode(t or "")
-            names = " ".join([bpe.decimal[i] for i in ids])
+            ids, names = bpe.encode(t or "")
             rows.append((len(ids), hashlib.sha256(names.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -193,3 +193,22 @@ def test_bpe_of_an_empty_table(spark):
     for made in (bpe.encode_texts, bpe.digest_texts):
         assert made(docs(spark, [])).count() == 0
     assert bpe.decode_ids(bpe.encode_texts(docs(spark, []))).count() == 0
+
+
+def test_pretokens_of_ascii_are_those_of_the_pattern():
+    """The narrow pattern takes ASCII texts apart as the given one does, control characters and contractions too."""
+    counter, rnd = token_counts.loaded(*token_counts.ranks()), random.Random(3)
+    assert counter.narrow is not counter.wide
+    for _ in range(5000):
+        text = "".join(rnd.choice([chr(rnd.randrange(128)), rnd.choice(" \n\t'stremvldA1_"), rnd.choice(" \x1c\x1f\x0b\x0c\x00")]) for _ in range(rnd.randint(0, 25)))
+        assert counter.narrow(text) == counter.wide(text) == counter.split(text)
+
+
+def test_token_ids_of_a_batch_are_one_flat_array(spark):
+    """Ids and their decimal form agree; null, empty and only empty texts have none."""
+    code = bpe.loaded(bpe.vocabulary())
+    rows = spark.createDataFrame([(0, "a plain Text"), (1, None), (2, ""), (3, "x " * 3000)], "i int, text string")
+    got = {r.i: r.token_ids for r in bpe.encode_texts(rows).collect()}
+    assert got == {0: code.encode("a plain Text")[0], 1: [], 2: [], 3: code.token_ids("x " * 3000)}
+    assert code.encode("a plain Text")[1] == " ".join(map(str, got[0]))
+    assert [r.token_ids for r in bpe.encode_texts(rows.filter("i = 1")).collect()] == [[]] and bpe.encode_texts(rows.limit(0)).count() == 0
