@@ -149,19 +149,22 @@ class StreamCutter(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due, n, pending, last, newest, timer = self.head.get() if self.head.exists() else (self.first_seq, 0, "", None, 0, None)
+        # Without a head there are no early chunks either: a stream that comes whole asks for its state once.
+        known = self.head.exists()
+        due, n, pending, last, newest, timer = self.head.get() if known else (self.first_seq, 0, "", None, 0, None)
+        waits = lambda seq: known and self.early.containsKey((seq,))
         new: dict[int, str] = {}
         out = []
         for pdf in rows:
             for seq, chunk, is_last, ts in pdf[["seq", "chunk", "is_last", "ts"]].itertuples(index=False):
                 newest = newest if pd.isna(ts) else max(newest, int(pd.Timestamp(ts).timestamp() * 1000))
-                if pd.isna(seq) or seq < due or seq in new or (seq > due and self.early.containsKey((int(seq),))):
+                if pd.isna(seq) or seq < due or seq in new or (seq > due and waits(int(seq))):
                     out.append((key[0], None, chunk, True))
                     continue
                 new[int(seq)] = chunk or ""
                 last = int(seq) if is_last is not None and not pd.isna(is_last) and is_last else last
         ready = []
-        while due in new or self.early.containsKey((due,)):
+        while due in new or waits(due):
             if due in new:
                 ready.append(new.pop(due))
             else:
@@ -177,10 +180,11 @@ class StreamCutter(StatefulProcessor):
         if last is not None and due > last:
             out += [(key[0], n, pending, False)] if pending else []
             # What was sent beyond the end belongs to no place in the stream.
-            beyond = new | {k[0]: v[0] for k, v in self.early.iterator()}
+            beyond = new | ({k[0]: v[0] for k, v in self.early.iterator()} if known else {})
             out += [(key[0], None, beyond[q], True) for q in sorted(beyond)]
-            self.head.clear()
-            self.early.clear()
+            if known:
+                self.head.clear()
+                self.early.clear()
         else:
             for seq, chunk in new.items():
                 self.early.updateValue((seq,), (chunk,))

@@ -165,3 +165,23 @@ def test_every_chunk_of_a_shuffled_replay_is_somewhere(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     said = [p for r in out for p in re.findall(r"\d+-\d+\. ", r.segment)]
     assert sorted(said + behind) == sorted(r[2] for r in rows)
+
+
+def test_a_stream_that_comes_whole_asks_for_its_state_once():
+    """Each call for state is a round trip; without a head there is nothing early, out of order or beyond the end."""
+    from lectern.streaming.cutter import StreamCutter
+
+    import pandas as pd
+
+    asked = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *args: asked.append(name)
+
+    cutter = StreamCutter(64, 500, 1000, 0)
+    cutter.head, cutter.early, cutter.handle = State(), State(), State()
+    ts = pd.Timestamp("2026-01-01")
+    rows = pd.DataFrame([(1, "lo.", True, ts), (0, "Hel", False, ts), (5, "x", False, ts)], columns=["seq", "chunk", "is_last", "ts"])
+    out = [tuple(r) for pdf in cutter.handleInputRows((7,), iter([rows]), None) for r in pdf[["segment", "late"]].itertuples(index=False)]
+    assert out == [("Hello.", False), ("x", True)] and asked == ["exists"]
