@@ -30,13 +30,17 @@ EMOJI = (
     "1FACE-1FADB 1FAE0-1FAE8 1FAF0-1FAF8"
 )
 SPANS = [tuple(int(x, 16) for x in (span.split("-") * 2)[:2]) for span in EMOJI.split()]
-ONE = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in SPANS) + "]"
+_LISTED = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in SPANS)
+#: Four spans around all of these. A class tries its spans one by one, so that letters and digits are turned away by few
+#: comparisons instead of by one for each span listed.
+_AROUND = r"\xA9\xAE\x{203C}-\x{2B55}\x{3030}-\x{303D}\x{3297}-\x{3299}\x{1F004}-\x{1FAF8}"
+ONE = f"[{_AROUND}&&[{_LISTED}]]"
 STYLE, TONES = r"\x{FE0F}", r"[\x{1F3FB}-\x{1F3FF}]"
 #: A picture with its style, skin tone and tag letters; joined pictures; keycaps; flags.
 PICTURE = rf"{ONE}{STYLE}?{TONES}?(?:[\x{{E0020}}-\x{{E007E}}]+\x{{E007F}})?"
 SEQUENCE = rf"(?:[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|[0-9#*]{STYLE}?\x{{20E3}}|{PICTURE}(?:\x{{200D}}{PICTURE})*)"
 #: Any character that an emoji can begin with, but for the signs of keycaps, which need their cap.
-GATE = rf"{ONE}|[\x{{1F1E6}}-\x{{1F1FF}}]|\x{{20E3}}"
+GATE = rf"[{_AROUND}&&[{_LISTED}\x{{1F1E6}}-\x{{1F1FF}}\x{{20E3}}]]"
 #: Names that differ from those of the Unicode characters, and the names in other languages.
 ENGLISH = {
     "⚡": "high voltage", "❤": "red heart", "☀": "sun", "✅": "check mark button", "⭐": "star", "🙏": "folded hands", "💡": "light bulb", "🏠": "house",

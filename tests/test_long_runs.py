@@ -118,3 +118,21 @@ def test_last_word_is_read_from_the_end(spark):
     began = time.time()
     assert long.select(F.regexp_extract("t", dates.LAST_WORD.format(r"\s"), 1)).distinct().count() == 1
     assert time.time() - began < 5
+
+
+def test_emoji_are_the_listed_characters_and_plain_text_is_passed_quickly(spark):
+    """Plain text was compared with each span of the emoji, at some hundred times the cost of a look for one character."""
+    signs = spark.range(1, 0x110000).filter("id NOT BETWEEN 55296 AND 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    listed = {c for a, b in emoji.SPANS for c in range(a, b + 1)}
+    assert {r.id for r in signs.filter(F.col("c").rlike(emoji.ONE)).collect()} == listed
+    assert {r.id for r in signs.filter(F.col("c").rlike(emoji.GATE)).collect()} == listed | {*range(0x1F1E6, 0x1F200), 0x20E3}
+
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.concat("id", F.lit(" Übung, a „quoted“ word – and more. ")), 100).alias("t"))
+
+    def took(column):
+        began = time.time()
+        assert texts.select(column.alias("x")).agg(F.count("x")).first()[0] == 4000
+        return time.time() - began
+
+    once = lambda column: min(took(column) for _ in range(3))
+    assert once(emoji.remove_emoji(F.col("t"))) < 12 * once(F.col("t").rlike("[\x01-\x02]")) + 1
