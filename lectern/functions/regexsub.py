@@ -188,10 +188,11 @@ def date_boundary(left: Column, right: Column) -> Column:
     """Whether a date stands between blanks, brackets, quotes, punctuation behind it, or emphasis marks beside those."""
 
     def beside(side: Column, trim, end, ok: str, within_marks: str) -> Column:
-        bare = trim(side, F.lit("*_"))
-        near = end(bare)
-        free = lambda chars: F.lit(chars).contains(near) | like(near, r"(?U)\s")  # noqa: E731  (near is one character or none)
-        return F.when(bare == side, free(ok)).otherwise(free(within_marks))
+        near = end(side)
+        free = lambda c, chars: F.lit(chars).contains(c) | like(c, r"(?U)\s")  # noqa: E731  (c is one character or none)
+        # Marks are looked behind only where there are any.
+        marked = (near != "") & F.lit("*_").contains(near)
+        return F.when(marked, free(end(trim(side, F.lit("*_"))), within_marks)).otherwise(free(near, ok))
 
     return beside(left, F.rtrim, last, OPENERS, OPENERS + STOPS) & beside(right, F.ltrim, first, CLOSERS + STOPS, CLOSERS + STOPS)
 

@@ -83,7 +83,7 @@ def en_cardinal(n: Column) -> Column:
             F.when(thousands > 0, F.concat(_en_group(thousands), F.lit(" thousand"))),
             F.when(rest >= 100, _en_group(rest)),
         )
-        return F.when(v < 1000, _en_group(v)).otherwise(
+        return F.when(v.between(0, 99), pick(EN_100, v)).when(v < 1000, _en_group(v)).otherwise(
             F.when((rest > 0) & (rest < 100), F.concat(big, F.lit(" and "), pick(EN_100, rest))).otherwise(big)
         )
 
@@ -106,7 +106,7 @@ def de_cardinal(n: Column) -> Column:
             F.when(thousands > 0, F.concat(_de_group(thousands, False), F.lit("tausend"))),
             F.when((rest > 0) | (v == 0), _de_group(rest, True)),
         )
-        return F.concat_ws(" ", head, F.when(tail != "", tail))
+        return F.when(v.between(0, 99), pick(DE_100, v)).otherwise(F.concat_ws(" ", head, F.when(tail != "", tail)))
 
     return let(n.cast("long"), body)
 

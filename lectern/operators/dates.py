@@ -88,13 +88,10 @@ BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B
 def ending(left: Column) -> Column:
     """The ending of a German ordinal by the word before it, which only white space may part from it."""
 
-    def by_word(word: Column) -> Column:
-        out = F.lit("er")
-        for e, ws in ENDINGS.items():
-            out = F.when(F.array_contains(listed(ws), word), F.lit(e)).otherwise(out)
-        return out
-
-    return let(F.lower(F.regexp_extract(last(left, 80), LAST_WORD.format(r"\s"), 1)), by_word)
+    words = [(w, e) for e, ws in ENDINGS.items() for w in ws]
+    at = F.find_in_set(F.lower(F.regexp_extract(last(left, 80), LAST_WORD.format(r"\s"), 1)), F.lit(",".join(w for w, _ in words)))
+    # Position 0, of a word that is none of them, has the ending that other words give.
+    return F.get(listed(["er", *(e for _, e in words)]), at)
 
 
 def spoken_date(day: Column, month: Column, year: Column, locale: str, left: Column, renderer: str = "curated") -> Column:

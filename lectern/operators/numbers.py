@@ -21,6 +21,8 @@ def groups_of_three(mark: str, point: str) -> str:
 #: Grouped by spaces, by dots before a comma, by commas before a dot; else plain. The leftmost that fits wins.
 GROUPED = rf"{SIGN}?(?:" + "|".join([groups_of_three(SPACES, "[.,]"), groups_of_three(r"\.", ","), groups_of_three(",", r"\."), SIMPLE.removeprefix(f"{SIGN}?")]) + ")"
 MAX_INTEGER, MAX_FRACTION = 9, 6
+#: Characters a text can have.
+MOST = 2**31 - 1
 #: The mark between thousands.
 GROUP_MARK = {"de": ".", "en": ",", "es": "."}
 
@@ -30,25 +32,29 @@ def plain_number(token: Column, grouped: bool = False, hint: str = "") -> Column
 
     The fraction is null where there is no decimal mark.
     """
-    u = F.regexp_replace(token, rf"\A{SIGN}", "")
     mark = GROUP_MARK.get(hint.replace("_", "-").split("-")[0].lower(), "")
+    none, digits = F.lit(None).cast("string"), lambda c: F.regexp_replace(c, r"\D", "")
 
     def parts(integer: Column, fraction: Column) -> Column:
-        ok = (F.length(integer).between(1, MAX_INTEGER)) & (fraction.isNull() | F.length(fraction).between(1, MAX_FRACTION))
-        return F.when(ok, F.array(integer, fraction))
-
-    none, digits = F.lit(None).cast("string"), lambda c: F.regexp_replace(c, r"\D", "")
-    out = F.when(like(u, r"\A\d+\z"), parts(u, none))
-    if grouped:
-        one_space = F.lit(False)
-        for s in (" ", "\\u00a0", "\\u202f", "\\u2009"):
-            one_space = one_space | like(u, rf"\A[1-9]\d{{0,2}}(?:{s}\d{{3}})+(?:[.,]\d+)?\z")
-        out = out.when(one_space, parts(digits(F.regexp_extract(u, r"\A([^.,]*)", 1)), F.nullif(F.regexp_extract(u, r"[.,](\d+)\z", 1), F.lit(""))))
-        for g, d in ((r"\.", ","), (",", r"\.")):
-            out = out.when(like(u, rf"\A[1-9]\d{{0,2}}(?:{g}\d{{3}})+{d}\d+\z"), parts(digits(F.regexp_extract(u, rf"\A(.*){d}", 1)), F.regexp_extract(u, rf"{d}(\d+)\z", 1)))
-            many = "{2,}" if mark != g.strip("\\") else "+"
-            out = out.when(like(u, rf"\A[1-9]\d{{0,2}}(?:{g}\d{{3}}){many}\z"), parts(digits(u), none))
-    return out.when(like(u, r"\A\d+[.,]\d+\z"), parts(F.regexp_extract(u, r"\A(\d+)", 1), F.regexp_extract(u, r"(\d+)\z", 1)))
+        fits = lambda p: F.when(F.length(p[0]).between(1, MAX_INTEGER) & (p[1].isNull() | F.length(p[1]).between(1, MAX_FRACTION)), p)
+        return let(F.array(integer, fraction), fits)
+
+    def read(u: Column) -> Column:
+        """The parts of a number without its sign; u is bound, as each form asks for it again."""
+        out = F.when(like(u, r"\A\d+\z"), parts(u, none))
+        if grouped:
+            one_space = F.lit(False)
+            for s in (" ", "\\u00a0", "\\u202f", "\\u2009"):
+                one_space = one_space | like(u, rf"\A[1-9]\d{{0,2}}(?:{s}\d{{3}})+(?:[.,]\d+)?\z")
+            out = out.when(one_space, parts(digits(F.regexp_extract(u, r"\A([^.,]*)", 1)), F.nullif(F.regexp_extract(u, r"[.,](\d+)\z", 1), F.lit(""))))
+            for g, d in ((r"\.", ","), (",", r"\.")):
+                out = out.when(like(u, rf"\A[1-9]\d{{0,2}}(?:{g}\d{{3}})+{d}\d+\z"), parts(digits(F.regexp_extract(u, rf"\A(.*){d}", 1)), F.regexp_extract(u, rf"{d}(\d+)\z", 1)))
+                many = "{2,}" if mark != g.strip("\\") else "+"
+                out = out.when(like(u, rf"\A[1-9]\d{{0,2}}(?:{g}\d{{3}}){many}\z"), parts(digits(u), none))
+        return out.when(like(u, r"\A\d+[.,]\d+\z"), parts(F.regexp_extract(u, r"\A(\d+)", 1), F.regexp_extract(u, r"(\d+)\z", 1)))
+
+    signed = (token != "") & F.lit(SIGN.strip("[]")).contains(F.left(token, F.lit(1)))
+    return let(F.when(signed, F.substring(token, 2, MOST)).otherwise(token), read)
 
 
 def number_words(token: Column, lang: str, grouped: bool = False, hint: str = "", speller=None) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.columns import fresh
-from lectern.functions.regexsub import CLOSERS, OPENERS, STOPS, by_segment, date_boundary, let, like, numeric_boundary, parted, time_boundary
+from lectern.functions.regexsub import CLOSERS, OPENERS, PART, STOPS, by_segment, date_boundary, let, like, numeric_boundary, time_boundary
 from lectern.operators import dates, numbers, times, units
 
 
@@ -87,10 +87,12 @@ def _date(x: Column, left: Column, right: Column, s: Tokens) -> Column:
     if not s.formats:
         return F.lit(None).cast("string")
 
+    valid = lambda p: F.when(dates.valid_date(p["date"]["day"], p["date"]["month"], p["date"]["year"]), p)
+
     def parts(found: Column) -> Column:
         read = lambda name: F.struct(dates.ordered(found, name, lang).alias("date"), F.lit(dates.dotted(name)).alias("dotted"))
-        each = F.array(*(F.when(like(x, f"(?U){whole(dates.search_pattern(name))}"), read(name)) for name in s.formats))
-        return F.get(F.filter(each, lambda p: p.isNotNull() & dates.valid_date(p["date"]["day"], p["date"]["month"], p["date"]["year"])), F.lit(0))
+        # One after the other: formats behind the one that takes it are not looked at.
+        return F.coalesce(*(F.when(like(x, f"(?U){whole(dates.search_pattern(name))}"), let(read(name), valid)) for name in s.formats))
 
     def said(p: Column) -> Column:
         words = dates.spoken_date(p["date"]["day"], p["date"]["month"], p["date"]["year"], s.dates, left, renderer)
@@ -124,8 +126,8 @@ def _rendered(x: Column, left: Column, right: Column, s: Tokens, speller) -> Col
     plain = F.when(like(x, f"(?U){whole(number)}"), F.struct(x.alias("number"), F.lit("").alias("words")))
     if s.units:
         unit = let(units.measured(x, left, s.units, s.grouped, s.unit_hint), lambda p: F.struct(p["number"].alias("number"), F.concat(F.lit(" "), p["words"]).alias("words")))
-        plain = F.when(like(x, r"(?U)[^\d\s.,:]\z") & like(x, f"(?U){whole(units.measurement(s.grouped))}"), unit).otherwise(plain)
-    said = let(plain, spoken)
+        plain = F.when(like(x, r"(?U)[^\d\s.,:]\z"), unit).otherwise(plain)
+    said = let(plain, lambda p: F.when(p.isNotNull(), spoken(p)))
     if s.dates and s.years:
         said = F.coalesce(F.when(like(x, r"(?U)\A\d{4}\z"), dates.spoken_year(x, left, right, s.dates, s.year_min, s.year_max)), said)
     if s.times:
@@ -156,7 +158,12 @@ def _scanned(text: Column, s: Tokens, speller) -> Column:
         whole_text = lambda w: F.when(~F.exists(w, lambda x: x.isNull()), F.concat(F.array_join(F.transform(w, lambda x, i: F.concat(F.get(gaps, i), x)), ""), F.element_at(gaps, -1)))
         return F.when(fits, let(said, whole_text))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(parted(text, pattern), lambda g: joined(m, g)))
+    # One search gives both: gaps and tokens take turns. Texts that hold the mark themselves are searched twice.
+    turns = lambda m: F.flatten(F.transform(F.split(text, pattern, -1), lambda g, i: F.when(i < F.size(m), F.array(g, F.get(m, i))).otherwise(F.array(g))))
+    marked = F.split(F.regexp_replace(text, pattern, f"{PART}$0{PART}"), PART, -1)
+    pieces = F.when(text.contains(PART), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), turns)).otherwise(marked)
+    nth = lambda ps, odd: F.filter(ps, lambda x, i: i % 2 == odd)
+    return let(pieces, lambda ps: let(nth(ps, 1), lambda m: let(nth(ps, 0), lambda g: joined(m, g))))
 
 
 def scanned(text: Column, s: Tokens, speller=None) -> Column:
@@ -173,5 +180,6 @@ def speak_tokens(df: DataFrame, s: Tokens, text: str = "text", speller=None) ->
     said, rest = fresh(df, "_said", "_rest")
     out = df.withColumn(said, scanned(F.col(text), s, speller)).withColumn(rest, F.when(F.col(said).isNull(), F.col(text)))
     for _, stage in in_order(s, speller):
-        out = out.withColumn(rest, stage(F.col(rest)))
+        # Where nothing is left, a stage's functions are not entered.
+        out = out.withColumn(rest, F.when(F.col(rest).isNotNull(), stage(F.col(rest))))
     return out.withColumn(text, F.coalesce(said, rest)).drop(said, rest)

@@ -67,21 +67,22 @@ def measurement(grouped: bool) -> str:
 
 
 def measured(token: Column, left: Column, locale: str, grouped: bool = False, hint: str = "") -> Column:
-    """(number, words) of a measurement: the number's text and the unit in words; null if it does not stand free."""
+    """(number, words) of a measurement: the number's text and the unit in words; null if it does not stand free or is none."""
     # Aliases whose case matters are keys as they are; no other alias has their text in lower case.
     known = {a if a in EXACT else a.lower(): forms(u, locale) for a, u in ALIASES.items()}
-    names, spoken = listed(list(known)), [listed([pair[k] for pair in known.values()]) for k in (0, 1)]
+    names, spoken = F.lit(",".join(known)), [listed([pair[k] for pair in known.values()]) for k in (0, 1)]
 
     def of(p: Column) -> Column:
-        at = F.coalesce(F.nullif(F.array_position(names, p["unit"]), F.lit(0)), F.array_position(names, F.lower(p["unit"]))).cast("int") - 1
+        at = F.coalesce(F.nullif(F.find_in_set(p["unit"], names), F.lit(0)), F.find_in_set(F.lower(p["unit"]), names)) - 1
 
         def one(parts: Column) -> Column:
             return F.coalesce((F.get(parts, F.lit(0)).cast("long") == 1) & (F.coalesce(F.rtrim(F.get(parts, F.lit(1)), F.lit("0")), F.lit("")) == ""), F.lit(False))
 
         words = let(plain_number(p["number"], grouped, hint or locale), lambda parts: F.when(parts.isNotNull(), F.when(one(parts), F.get(spoken[0], at)).otherwise(F.get(spoken[1], at))))
-        return F.when(stands_whole(p["number"], left, grouped), F.struct(p["number"].alias("number"), words.alias("words")))
+        return F.when((p["unit"] != "") & stands_whole(p["number"], left, grouped), F.struct(p["number"].alias("number"), words.alias("words")))
 
-    number, unit = F.regexp_extract(token, rf"(?U)\A({GROUPED if grouped else SIMPLE})", 1), F.regexp_extract(token, rf"(?U)({ALIAS})\z", 1)
+    form = GROUPED if grouped else SIMPLE
+    number, unit = F.regexp_extract(token, rf"(?U)\A({form})", 1), F.regexp_extract(token, rf"(?U)\A(?:{form})\s*({ALIAS})\z", 1)
     return F.when(numeric_left(left), let(F.struct(number.alias("number"), unit.alias("unit")), of))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import dates, scanner
+from lectern.operators import dates, numbers, scanner
 from lectern.plans.normalize import Profile, normalize, normalize_distinct
 
 PARTS = (
@@ -71,3 +71,16 @@ def test_distinct_keeps_the_callers_columns(spark):
     got = normalize_distinct(rows, Profile("en-US", units=True))
     assert got.columns == rows.columns
     assert {r.id: (r.text, r._text_key, r._text_said) for r in got.collect()} == {i: ("1 watt" if i % 3 == 1 else f"{i % 3} watts", "k", "s") for i in range(9)} | {9: (None, "k", "s")}
+
+
+def test_a_sign_is_taken_off_without_a_search(spark):
+    """It was searched for anew wherever the number behind it is asked for, four times for plain digits."""
+    texts = {"-5": ["5", None], "−−5": None, "": None, "12,50": ["12", "50"], "–1.5": ["1", "5"], "0123456789": None, "-": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", numbers.plain_number(F.col("t"), False, "de").alias("p"))
+    assert {r.t: r.p for r in rows.collect()} == texts
+    assert "regexp_replace" not in rows._jdf.queryExecution().analyzed().toString().lower()
+
+
+@pytest.mark.parametrize("text, want", [("am 14.05.2026 \ue004 um 8:00", "am vierzehnten Mai zweitausendsechsundzwanzig \ue004 um acht Uhr"), ("\ue0045 W", "\ue0045 W"), ("5 W, 7", "fünf Watt, sieben")])
+def test_texts_that_hold_the_mark(spark, text, want):
+    assert normalize(spark.createDataFrame([(text,)], "text string"), ALL).first()[0] == want
