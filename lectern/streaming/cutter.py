@@ -23,6 +23,8 @@ from lectern.functions.words import DE_MONTHS, EN_MONTHS
 
 TAIL, BUFFER = 64, 500
 SEGMENTS = "stream_id long, seg_no long, segment string, late boolean"
+#: Streams are dealt to so many groups of state; rows without a stream are one stream, in a group of its own.
+GROUPS, NAMELESS = 4096, -1
 
 _END = re.compile(r"""[.!?:;]["')\]}]*\s+""")
 _DAY_LEFT = re.compile(r"(?<![0-9])([0-9]{1,2})\Z")
@@ -149,20 +151,27 @@ class StreamCutter(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        came = (
+            (None if pd.isna(seq) else int(seq), chunk, is_last is not None and not pd.isna(is_last) and is_last, 0 if pd.isna(ts) else int(pd.Timestamp(ts).timestamp() * 1000))
+            for pdf in rows for seq, chunk, is_last, ts in pdf[["seq", "chunk", "is_last", "ts"]].itertuples(index=False)
+        )
+        yield self.rows(self.cut(key[0], came, timerValues))
+
+    def cut(self, stream, came: Iterable[tuple], timerValues) -> list[tuple]:  # noqa: N803
+        """The rows that chunks (seq, chunk, whether the last, ms of their ts) bring, with the state moved on."""
         # Without a head there are no early chunks either: a stream that comes whole asks for its state once.
         known = self.head.exists()
         due, n, pending, last, newest, timer = self.head.get() if known else (self.first_seq, 0, "", None, 0, None)
         waits = lambda seq: known and self.early.containsKey((seq,))
         new: dict[int, str] = {}
         out = []
-        for pdf in rows:
-            for seq, chunk, is_last, ts in pdf[["seq", "chunk", "is_last", "ts"]].itertuples(index=False):
-                newest = newest if pd.isna(ts) else max(newest, int(pd.Timestamp(ts).timestamp() * 1000))
-                if pd.isna(seq) or seq < due or seq in new or (seq > due and waits(int(seq))):
-                    out.append((key[0], None, chunk, True))
-                    continue
-                new[int(seq)] = chunk or ""
-                last = int(seq) if is_last is not None and not pd.isna(is_last) and is_last else last
+        for seq, chunk, is_last, ms in came:
+            newest = max(newest, ms)
+            if seq is None or seq < due or seq in new or (seq > due and waits(seq)):
+                out.append((stream, None, chunk, True))
+                continue
+            new[seq] = chunk or ""
+            last = seq if is_last else last
         ready = []
         while due in new or waits(due):
             if due in new:
@@ -173,15 +182,15 @@ class StreamCutter(StatefulProcessor):
             due += 1
         for segment, pending in segments(pending, ready, self.tail, self.most):  # noqa: B020
             if segment:
-                out.append((key[0], n, segment, False))
+                out.append((stream, n, segment, False))
                 n += 1
         if timer is not None:
             self.handle.deleteTimer(timer)
         if last is not None and due > last:
-            out += [(key[0], n, pending, False)] if pending else []
+            out += [(stream, n, pending, False)] if pending else []
             # What was sent beyond the end belongs to no place in the stream.
             beyond = new | ({k[0]: v[0] for k, v in self.early.iterator()} if known else {})
-            out += [(key[0], None, beyond[q], True) for q in sorted(beyond)]
+            out += [(stream, None, beyond[q], True) for q in sorted(beyond)]
             if known:
                 self.head.clear()
                 self.early.clear()
@@ -191,29 +200,164 @@ class StreamCutter(StatefulProcessor):
             timer = max(newest, timerValues.getCurrentWatermarkInMs() + 1) + self.idle_ms
             self.handle.registerTimer(timer)
             self.head.update((due, n, pending, last, newest, timer))
-        yield self._rows(out)
+        return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Flushes a silent stream, over any gap."""
+        yield self.rows(self.flush(key[0]))
+
+    def flush(self, stream) -> list[tuple]:
+        """The rows of a silent stream, over any gap; its state is cleared."""
         out = []
         if self.head.exists():
             _, n, pending, *_ = self.head.get()
             held = sorted((k[0], v[0]) for k, v in self.early.iterator())
             for segment, pending in segments(pending, [chunk for _, chunk in held], self.tail, self.most):  # noqa: B020
                 if segment:
-                    out.append((key[0], n, segment, False))
+                    out.append((stream, n, segment, False))
                     n += 1
-            out += [(key[0], n, pending, False)] if pending else []
+            out += [(stream, n, pending, False)] if pending else []
             self.head.clear()
             self.early.clear()
-        yield self._rows(out)
+        return out
 
     @staticmethod
-    def _rows(out: list) -> pd.DataFrame:
+    def rows(out: list) -> pd.DataFrame:
         return pd.DataFrame(out, columns=["stream_id", "seg_no", "segment", "late"]).astype({"seg_no": "Int64"})
 
 
-def cut_stream(chunks: DataFrame, tail: int = TAIL, most: int = BUFFER, delay: str = "10 minutes", idle_ms: int = 600_000, first_seq: int = 0) -> DataFrame:
+class Member:
+    """One stream's part of its group's state, as the head and the timers that ``StreamCutter`` asks for."""
+
+    def __init__(self, group: GroupCutter, stream: int):
+        self.group, self.stream = group, stream
+        # Where no stream of the group waits, none is asked for. Spark warns of each value that is not there.
+        found = group.head.getValue((stream,)) if group.waiting and group.head.containsKey((stream,)) else None
+        self.value, (held, writes) = (found[:-2], found[-2:]) if found else (None, (0, 0))
+        self.early = MemberEarly(group, stream, found[0] if found else 0, held, writes)
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self) -> tuple:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.early.write()
+        self.group.head.updateValue((self.stream,), (*value, self.early.held, self.early.writes))
+
+    def clear(self) -> None:
+        self.group.head.removeKey((self.stream,))
+
+    def registerTimer(self, timer: int) -> None:  # noqa: N802
+        # A timer of a group is for all streams that wait for it; those that moved on are passed over when it comes.
+        if not self.exists() or self.value[-1] != timer:
+            self.group.timers.setdefault(timer, []).append(self.stream)
+
+    def deleteTimer(self, timer: int) -> None:  # noqa: N802
+        pass
+
+
+class MemberEarly:
+    """One stream's early chunks in its group's map. Each write notes its seqs, so that they are found without looking at other streams."""
+
+    def __init__(self, group: GroupCutter, stream: int, due: int, held: int, writes: int):
+        self.group, self.stream, self.due, self.held, self.writes = group, stream, due, held, writes
+        self.taken: set[int] = set()
+        self.new: list[int] = []
+
+    def containsKey(self, key: tuple) -> bool:  # noqa: N802
+        return self.held > 0 and self.group.early.containsKey((self.stream, *key))
+
+    def getValue(self, key: tuple) -> tuple:  # noqa: N802
+        return self.group.early.getValue((self.stream, *key))
+
+    def removeKey(self, key: tuple) -> None:  # noqa: N802
+        self.group.early.removeKey((self.stream, *key))
+        self.taken.update(key)
+        self.held -= 1
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        self.group.early.updateValue((self.stream, *key), value)
+        self.new += key
+        self.held += 1
+
+    def write(self) -> None:
+        if not self.held:
+            self.clear()
+        if self.new:
+            self.group.order.updateValue((self.stream, self.writes), (self.new,))
+            self.writes, self.new = self.writes + 1, []
+
+    def iterator(self) -> Iterator[tuple[tuple, tuple]]:
+        for seq in self._seqs():
+            yield (seq,), self.getValue((seq,))
+
+    def clear(self) -> None:
+        for seq in self._seqs():
+            self.removeKey((seq,))
+        for k in range(self.writes):
+            self.group.order.removeKey((self.stream, k))
+        self.writes = 0
+
+    def _seqs(self) -> list[int]:
+        """Those noted that the stream has not come to yet."""
+        noted = (seq for k in range(self.writes if self.held else 0) for seq in self.group.order.getValue((self.stream, k))[0])
+        return [seq for seq in noted if seq >= self.due and seq not in self.taken]
+
+
+class GroupCutter(StatefulProcessor):
+    """The cut of a group of streams, each as ``StreamCutter`` does it on its part of the group's state.
+
+    Calls for state, frames and Arrow batches come once a group and not once a stream, and streams that wait
+    are asked for only where there are any. A batch still reads and writes what it brings or needs alone.
+    """
+
+    def __init__(self, tail: int, most: int, idle_ms: int, first_seq: int):
+        self.one = StreamCutter(tail, most, idle_ms, first_seq)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getMapState("head", "stream_id long", "due long, seg_no long, pending string, last_seq long, newest long, timer long, held long, writes long")
+        self.early = handle.getMapState("early", "stream_id long, seq long", "chunk string")
+        self.order = handle.getMapState("order", "stream_id long, write long", "seqs array<long>")
+        self.quiet = handle.getMapState("quiet", "timer long", "streams array<long>")
+
+    def close(self) -> None:
+        pass
+
+    def member(self, stream: int) -> StreamCutter:
+        self.one.head = self.one.handle = Member(self, stream)
+        self.one.early = self.one.head.early
+        return self.one
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        came: dict[int, list[tuple]] = {}
+        for pdf in rows:
+            for stream, *chunk in zip(*(pdf[c].tolist() for c in ("stream_id", "seq", "chunk", "is_last", "ms"))):  # noqa: B905
+                came.setdefault(stream, []).append(chunk)
+        self.waiting, self.timers, out = self.head.exists(), {}, []
+        for stream, chunks in came.items():
+            out += self.member(stream).cut(None if key[0] == NAMELESS else stream, chunks, timerValues)
+        for timer, streams in self.timers.items():
+            if self.quiet.containsKey((timer,)):
+                streams = [*self.quiet.getValue((timer,))[0], *streams]
+            else:
+                self.handle.registerTimer(timer)
+            self.quiet.updateValue((timer,), (streams,))
+        yield StreamCutter.rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        timer, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        self.waiting = self.head.exists()
+        for stream in self.quiet.getValue((timer,))[0]:
+            cutter = self.member(stream)
+            if cutter.head.exists() and cutter.head.get()[-1] == timer:
+                out += cutter.flush(None if key[0] == NAMELESS else stream)
+        self.quiet.removeKey((timer,))
+        yield StreamCutter.rows(out)
+
+
+def cut_stream(chunks: DataFrame, tail: int = TAIL, most: int = BUFFER, delay: str = "10 minutes", idle_ms: int = 600_000, first_seq: int = 0, groups: int | None = GROUPS) -> DataFrame:
     """The segments of a stream of chunks, (stream_id, seg_no, segment, late), in append mode.
 
     Chunks wait until those before them have come. ``is_last`` ends a stream and flushes it; so does event
@@ -221,13 +365,25 @@ def cut_stream(chunks: DataFrame, tail: int = TAIL, most: int = BUFFER, delay: s
     passed, or that comes again, is handed on unchanged as a row with ``late`` true and no seg_no.
     Spark itself leaves out rows whose ts the watermark has passed: ``split_late`` puts them aside before.
     Sets the session's state store to the one that holds maps, if it is another.
+    State is kept by groups of streams, as many as ``groups`` says; a checkpoint is to be read with the same number. With
+    None each stream is a group, and none may be null: for few streams, and for checkpoints from before there were groups.
     """
     check_buffer(tail, most)
+    if groups is not None and groups < 1:
+        raise ValueError(f"there must be a group or more: {groups}")
     spark = chunks.sparkSession
     if spark.conf.get(STORE[0]) != STORE[1]:
         spark.conf.set(*STORE)
-    keyed = chunks.withWatermark("ts", delay).groupBy("stream_id")
-    return keyed.transformWithStateInPandas(StreamCutter(tail, most, idle_ms, first_seq), SEGMENTS, "Append", "EventTime")
+    timed = chunks.withWatermark("ts", delay)
+    if groups is None:
+        return timed.groupBy("stream_id").transformWithStateInPandas(StreamCutter(tail, most, idle_ms, first_seq), SEGMENTS, "Append", "EventTime")
+    stream, group = F.col("stream_id").cast("long"), F.pmod(F.xxhash64(F.col("stream_id").cast("long")), F.lit(groups)).cast("int")
+    # Without nulls, numbers stay numbers on the way to Python. No seq is before the least, so a missing one is late.
+    dealt = timed.select(
+        F.when(stream.isNull(), NAMELESS).otherwise(group).alias("group"), F.coalesce(stream, F.lit(0)).alias("stream_id"), F.coalesce(F.col("seq").cast("long"), F.lit(-(2**63))).alias("seq"),
+        "chunk", F.coalesce("is_last", F.lit(False)).alias("is_last"), F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("ms"), "ts",
+    )
+    return dealt.groupBy("group").transformWithStateInPandas(GroupCutter(tail, most, idle_ms, first_seq), SEGMENTS, "Append", "EventTime")
 
 
 def split_late(chunks: DataFrame, on_time: str, late: str, checkpoint: str, delay: str = "10 minutes") -> DataStreamWriter:

@@ -185,3 +185,65 @@ def test_a_stream_that_comes_whole_asks_for_its_state_once():
     rows = pd.DataFrame([(1, "lo.", True, ts), (0, "Hel", False, ts), (5, "x", False, ts)], columns=["seq", "chunk", "is_last", "ts"])
     out = [tuple(r) for pdf in cutter.handleInputRows((7,), iter([rows]), None) for r in pdf[["segment", "late"]].itertuples(index=False)]
     assert out == [("Hello.", False), ("x", True)] and asked == ["exists"]
+
+
+def test_a_group_of_new_streams_asks_for_its_state_once():
+    """Streams that come whole cost one call for state and one frame a group, not each."""
+    from lectern.streaming.cutter import GroupCutter
+
+    import pandas as pd
+
+    asked = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *args: asked.append(name)
+
+    cutter = GroupCutter(64, 500, 1000, 0)
+    cutter.head = cutter.early = cutter.order = cutter.quiet = cutter.handle = State()
+    rows = pd.DataFrame([(s, k, f"{s}{'ab'[k]}", k == 1, 0) for k in (1, 0) for s in range(50)], columns=["stream_id", "seq", "chunk", "is_last", "ms"])
+    out = [[tuple(r) for r in pdf.itertuples(index=False)] for pdf in cutter.handleInputRows((7,), iter([rows[:70], rows[70:]]), None)]
+    assert out == [[(s, 0, f"{s}a{s}b", False) for s in range(50)]] and asked == ["exists"]
+
+
+def awkward_rows(draw, streams):
+    """Chunks in parts, with some lost, repeated, beyond the end or without a place, and streams without an end or begun anew."""
+    rows = []
+    for s in range(streams):
+        n = draw.randrange(1, 9)
+        for k in range(n):
+            text = draw.choice([None, "", "alpha beta. ", "am 3.", " Mai gamma! ", "<i>", "x! y ", "word " * 20])
+            rows += [(s, k, text, k == n - 1 and draw.random() < 0.9, f"2024-01-01 {k:02d}:{draw.randrange(60):02d}:00")] * (draw.random() > 0.06)
+            rows += [(s, k, text, k == n - 1, rows[-1][4])] * (rows != [] and draw.random() < 0.1)
+            rows += [(s, draw.choice([None, n + 1, n + 2]), f"beyond {len(rows)}", False, "2024-01-01 03:00:00")] * (draw.random() < 0.08)
+        rows += [(s, 0, "anew", True, "2024-01-01 09:00:00")] * (draw.random() < 0.1)
+    rows.sort(key=lambda r: r[4] if draw.random() < 0.8 else f"2024-01-01 1{draw.randrange(9)}")
+    # Two last ones far ahead in time bring what waits.
+    return [rows[k * len(rows) // 4 : (k + 1) * len(rows) // 4] for k in range(4)] + [[(999, 0, "end", True, "2024-01-03 00:00:00")], [(998, 0, "end", True, "2024-01-05 00:00:00")]]
+
+
+def grouped(spark, tmp_path, groups):
+    stream = cut_stream(read_chunks(spark, str(tmp_path / "in" / "*"), files_per_trigger=1), 5, 40, delay="12 hours", idle_ms=3_600_000, groups=groups)
+    run_to_end(write_segments(stream, str(tmp_path / f"out{groups}"), str(tmp_path / f"check{groups}")))
+    return sorted((tuple(r) for r in spark.read.parquet(str(tmp_path / f"out{groups}")).collect()), key=str)
+
+
+def test_groups_of_streams_give_what_each_gives_alone(spark, tmp_path):
+    for k, part in enumerate(awkward_rows(random.Random(3), 60)):
+        table(spark, part).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    want = grouped(spark, tmp_path, None)
+    assert grouped(spark, tmp_path, 3) == want and sum(r[3] for r in want) > 9 and len(want) > 99
+
+
+def test_rows_without_a_stream_leave_others_alone(spark, tmp_path):
+    """A null among the names made numbers of all others inexact, and streams were taken for each other."""
+    big = 2**60
+    rows = [(big + s, k, f"{s}-{k}. ", k == 2, f"2024-01-01 00:00:0{k}") for s in range(4) for k in range(3)] + [(None, k, f"none-{k}. ", k == 2, "2024-01-01 00:00:00") for k in range(3)]
+    for k in range(2):
+        table(spark, rows[k::2]).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = cut_stream(read_chunks(spark, str(tmp_path / "in" / "*"), files_per_trigger=1), 0, 40)
+    run_to_end(write_segments(stream, str(tmp_path / "out"), str(tmp_path / "check")))
+    said = {}
+    for r in sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r.seg_no):
+        said[r.stream_id] = said.get(r.stream_id, "") + r.segment
+    assert said == {**{big + s: f"{s}-0. {s}-1. {s}-2. " for s in range(4)}, None: "none-0. none-1. none-2. "}
